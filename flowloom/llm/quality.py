@@ -30,8 +30,9 @@ class Hasher:
         tokens, known = words(text), self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(tokens) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in tokens:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
         return (np.concatenate((h, (pairs ^ pairs >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))) >> np.uint64(16)) % np.uint64(self.buckets)

@@ -29,8 +29,6 @@ class PieceCounter:
         self.known: dict[str, int] = {}
 
     def learn(self, new: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         # the library puts a space in front, so the pre-token's first one goes; a lone space would leave nothing to encode
         ids = self.model.encode([t[1:] for t in new], num_threads=1)
         self.known.update((t, len(x) if len(t) > 1 else 1) for t, x in zip(new, ids, strict=True))
@@ -39,11 +37,10 @@ class PieceCounter:
         if not self.splits:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         tables = [Counter(PRETOKEN.findall(" " + t.replace("▁", " "))) if t else {} for t in texts]
-        new = set().union(*tables) - self.known.keys()
-        if new and len(self.known) > REMEMBERED:
-            new = set().union(*tables)
-        if new:
-            self.learn(list(new))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := [t for t in set().union(*tables) if t not in self.known]:
+            self.learn(new)
         known = self.known
         return [sum(n * known[t] for t, n in table.items()) for table in tables]
 
