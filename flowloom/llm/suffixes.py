@@ -299,14 +299,21 @@ def _merge(length: int):
                 return
             earliest: dict[bytes, tuple[int, int, int]] = {}
             for key, doc, mark, first, n, _ in group:
+                begun = None  # of a stretch of windows of this suffix that go
                 for i in range(n):
                     window = key[8 + i : 8 + i + length]
                     here, seen = (doc, mark, first + i), earliest.get(window)
-                    if seen is None:
-                        earliest[window] = here
-                    elif here != seen:
-                        earliest[window] = min(here, seen)
-                        out.append((*max(here, seen), 1, None))
+                    if seen is not None and here > seen:
+                        begun = i if begun is None else begun
+                        continue
+                    if begun is not None:
+                        out.append((doc, mark, first + begun, i - begun, None))
+                        begun = None
+                    earliest[window] = here
+                    if seen is not None and here != seen:
+                        out.append((*seen, 1, None))
+                if begun is not None:
+                    out.append((doc, mark, first + begun, n - begun, None))
 
         group: list[list] = []
         for common, e in merged(trees):
