@@ -1 +1 @@
-
+"""Scalar expressions: identities, paths, secrets, timestamps, labels."""

@@ -1 +1 @@
-
+"""Graph operators: merging, validation, traversal, projection, overlay, storage."""

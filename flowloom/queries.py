@@ -1,15 +1,479 @@
-"""Queries over the driver's tables, one for each graph operator, and their SQL."""
+"""Queries over the driver's tables, one for each graph operator, and their SQL.
+
+The tables hold no application source, so they are read as a graph: regions, nations,
+customers, orders, parts and suppliers are nodes in layers, their keys are edges, and
+pages are routes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.functions import identity, paths, text
+from flowloom.model import Graph
+from flowloom.operators import merge, overlay, project, store, traverse, validate
+from flowloom.plans.lineage import written
+from flowloom.plans.ranking import numbered
+from flowloom.session import table
+from flowloom.sources import files, html
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+LAYER = {"region": "data", "nation": "data", "customer": "frontend", "orders": "http", "part": "data", "supplier": "backend"}
+
+
+def _id(kind: str, key: Column) -> Column:
+    return identity.node_id(F.lit("commerce"), F.lit(kind), F.lit(kind), key.cast("string"), ascii_only=True)
+
+
+def commerce(spark: SparkSession, sf_dir: str) -> Graph:
+    t = lambda name: table(spark, sf_dir, name)
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    nodes = merge.union(*[t(k).select(_id(k, F.col(c)).alias("id"), F.lit(k).alias("kind"), F.lit(LAYER[k]).alias("layer"), F.col(c).cast("long").alias("key")) for k, c in keys.items()])
+
+    def arcs(rows: DataFrame, a: str, ka: str, b: str, kb: str, kind: str) -> DataFrame:
+        s = rows.select(_id(a, F.col(ka)).alias("source"), _id(b, F.col(kb)).alias("target"), F.lit(kind).alias("kind"))
+        return s.select(identity.edge_id(F.col("source"), F.col("target"), F.col("kind")).alias("id"), "source", "target", "kind")
+
+    lines = t("lineitem")
+    edges = merge.union(
+        arcs(t("nation"), "region", "n_regionkey", "nation", "n_nationkey", "contains"),
+        arcs(t("customer"), "nation", "c_nationkey", "customer", "c_custkey", "hosts"),
+        arcs(t("supplier"), "nation", "s_nationkey", "supplier", "s_suppkey", "hosts"),
+        arcs(t("orders"), "customer", "o_custkey", "orders", "o_orderkey", "calls"),
+        arcs(lines.select("l_orderkey", "l_partkey").distinct(), "orders", "l_orderkey", "part", "l_partkey", "carries"),
+        arcs(lines.select("l_suppkey", "l_partkey").distinct(), "supplier", "l_suppkey", "part", "l_partkey", "accesses"),
+    )
+    return Graph(nodes, edges)
+
+
+def _sid(kind: str, key: str) -> str:
+    return f"""'n_' || sha256('["node","commerce","{kind}","{kind}","' || {key} || '"]')"""
+
+
+_ARCS = [
+    ("region", "n_regionkey", "nation", "n_nationkey", "contains", "nation"), ("nation", "c_nationkey", "customer", "c_custkey", "hosts", "customer"),
+    ("nation", "s_nationkey", "supplier", "s_suppkey", "hosts", "supplier"), ("customer", "o_custkey", "orders", "o_orderkey", "calls", "orders"),
+    ("orders", "l_orderkey", "part", "l_partkey", "carries", "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"),
+    ("supplier", "l_suppkey", "part", "l_partkey", "accesses", "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"),
+]
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+NODES = "nodes AS (" + " UNION ALL ".join(f"SELECT {_sid(k, c)} AS id, '{k}' AS kind, '{LAYER[k]}' AS layer, {c}::BIGINT AS key FROM {k}" for k, c in _KEYS.items()) + ")"
+EDGES = (
+    "arcs AS (" + " UNION ALL ".join(f"SELECT {_sid(a, ka)} AS source, {_sid(b, kb)} AS target, '{kind}' AS kind FROM {rows}" for a, ka, b, kb, kind, rows in _ARCS)
+    + """), edges AS (SELECT 'e_' || sha256('["edge","' || source || '","' || target || '","' || kind || '"]') AS id, source, target, kind FROM arcs)"""
+)
+GRAPH = f"{NODES}, {EDGES}"
+ROOT = _sid("region", "0")
+DEPTHS = f"""walk(node, depth) AS (SELECT {ROOT}, 0 UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.node),
+bfs AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+
+
+def _root(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(_id("region", F.lit(0)).alias("node"))
+
+
+@query(f"WITH {NODES} SELECT * FROM nodes")
+def node_identity(spark, sf_dir):
+    return commerce(spark, sf_dir).nodes
+
+
+@query(f"WITH {EDGES} SELECT * FROM edges")
+def edge_identity(spark, sf_dir):
+    return commerce(spark, sf_dir).edges
+
+
+@query("""WITH u AS (SELECT DISTINCT * FROM (SELECT o_orderkey, o_orderstatus FROM orders
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END FROM orders))
+SELECT o_orderkey AS id, count(*) AS n_values FROM u GROUP BY 1 HAVING count(*) > 1""")
+def dedup_conflict(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    b = a.withColumn("o_orderstatus", F.when(F.col("id") % 7 == 0, F.concat("o_orderstatus", F.lit("!"))).otherwise(F.col("o_orderstatus")))
+    return merge.dedup_conflict(merge.union(a, b))[1]
+
+
+HREFS = f"hrefs AS (SELECT page_id, unnest(regexp_extract_all(html, '{html.HREF}', 1)) AS href FROM pages)"
+PATHS = r"paths AS (SELECT page_id, url, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)', 2) AS p FROM pages))"
+
+
+@query(f"WITH {HREFS} SELECT href, count(*) AS n FROM hrefs GROUP BY href")
+def href_extract(spark, sf_dir):
+    return project.counts(html.links(table(spark, sf_dir, "pages")), "href")
+
+
+def _resolved(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    targets = pages.select(F.col("page_id").cast("string").alias("target_id"), paths.url_path(F.col("url")).alias("path"), F.lit("GET").alias("method"), F.lit("site").alias("repository"))
+    wanted = html.links(pages).select(F.col("href").alias("path")).union(targets.select("path")).distinct()
+    calls = wanted.select(F.col("path").alias("call_id"), "path", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("target_repository"))
+    return merge.resolve_literal(calls, targets)
+
+
+RESOLVED = f"""{HREFS}, {PATHS}, wanted AS (SELECT href AS path FROM hrefs UNION SELECT path FROM paths),
+found AS (SELECT w.path, count(DISTINCT p.page_id) AS n FROM wanted w LEFT JOIN paths p ON p.path = w.path GROUP BY 1),
+routed AS (SELECT path AS call_id, n AS n_candidates, CASE WHEN n = 0 THEN 'unmatched' WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS outcome FROM found)"""
+
+
+@query(f"WITH {RESOLVED} SELECT outcome, count(*) AS n FROM routed GROUP BY outcome")
+def link_resolution(spark, sf_dir):
+    return project.counts(_resolved(spark, sf_dir), "outcome")
+
+
+@query(f"WITH {RESOLVED} SELECT * FROM routed")
+def resolution_cardinality(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("call_id", F.size("candidates").cast("long").alias("n_candidates"), "outcome")
+
+
+@query(f"""WITH {RESOLVED} SELECT call_id, CASE WHEN outcome = 'exact' THEN 'exact_endpoint' ELSE 'unbounded' END AS tier,
+CASE outcome WHEN 'unmatched' THEN 'url_target_unmatched' WHEN 'ambiguous' THEN 'url_target_ambiguous' END AS code FROM routed""")
+def resolution_diagnostics(spark, sf_dir):
+    return merge.resolution_edges(_resolved(spark, sf_dir)).select("call_id", "tier", "code")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS call_id, CASE count(DISTINCT l_linenumber) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS outcome
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def order_line_cardinality(spark, sf_dir):
+    calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("call_id"), F.col("o_orderkey").alias("path"))
+    targets = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("target_id"), F.col("l_orderkey").alias("path"))
+    return merge.cardinality(calls, targets, ["path"]).select("call_id", "outcome")
+
+
+@query(f"WITH {HREFS}, {PATHS} SELECT DISTINCT href AS id FROM hrefs WHERE NOT EXISTS (SELECT 1 FROM paths WHERE path = href)")
+def missing_targets(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return merge.missing_targets(pages.select(paths.url_path(F.col("url")).alias("id")), html.links(pages).select(F.col("href").alias("target")))
+
+
+LEGAL = [("contains", "region", "nation"), ("hosts", "nation", "customer"), ("calls", "customer", "orders"), ("carries", "orders", "part")]
+
+
+@query(f"""WITH {GRAPH} SELECT e.kind, s.kind AS source_kind, t.kind AS target_kind, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target
+WHERE (e.kind, s.kind, t.kind) NOT IN ({", ".join(map(str, LEGAL))}) GROUP BY ALL""")
+def legal_tuple_violations(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    legal = spark.createDataFrame(LEGAL, "kind string, source_kind string, target_kind string")
+    return project.counts(validate.illegal_edges(g.nodes, g.edges, legal), "kind", "source_kind", "target_kind")
+
+
+@query(f"""WITH {GRAPH} SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN edges e ON e.source = n.id AND e.kind = 'carries'
+WHERE n.kind = 'orders' GROUP BY n.id HAVING count(e.id) <> 1""")
+def degree_violations(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return validate.degree_violations(g.nodes, g.edges, "orders", "carries", incoming=False)
+
+
+@query(f"""WITH {GRAPH}, known AS (SELECT * FROM nodes WHERE kind <> 'supplier')
+SELECT id, 'source' AS "end" FROM edges WHERE source NOT IN (SELECT id FROM known) UNION ALL SELECT id, 'target' FROM edges WHERE target NOT IN (SELECT id FROM known)""")
+def ref_integrity(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return validate.dangling(g.nodes.filter("kind <> 'supplier'"), g.edges)
+
+
+@query(f"WITH {GRAPH} SELECT id, 'kind' AS rule FROM nodes UNION ALL SELECT id, 'layer' FROM nodes")
+def node_violations(spark, sf_dir):
+    return validate.node_violations(commerce(spark, sf_dir).nodes)
+
+
+@query(f"WITH {PATHS} SELECT page_id, 'GET ' || path AS endpoint FROM paths")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.endpoint_id(F.lit("get"), paths.url_path(F.col("url"))).alias("endpoint"))
+
+
+@query(f"""WITH {PATHS}, cut AS (SELECT page_id, path, regexp_extract(path, '^/[^/]+') AS base FROM paths)
+SELECT page_id, CASE WHEN path LIKE '/a/b/%' THEN substr(path, 5) WHEN path = '/a/b' THEN '/' WHEN path LIKE '/blog/%' THEN substr(path, 6) WHEN path = '/blog' THEN '/' ELSE path END AS path FROM cut""")
+def base_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.strip_base(paths.url_path(F.col("url")), ["/blog/", "/a/b", "/"]).alias("path"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events")
+def timestamp_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.rendered_ms(F.col("ts")).alias("at"))
+
+
+_SECRET = r"(?i)(^|[^A-Za-z0-9_])(authorization|cookie|set[ _-]?cookie|password|passwd|pwd|secret|token|access[ _-]?token|refresh[ _-]?token|api[ _-]?key|apikey|credential|credentials|private[ _-]?key|client[ _-]?secret|session|sessionid|csrf|xsrf|baggage)[ \t\n\r\f\v]*[:=][ \t\n\r\f\v]*[^ \t\n\r\f\v]"
+_OTHERS = [
+    r"(?i)-----BEGIN ([A-Z ]+ )?PRIVATE KEY-----", r"(?i)(^|[^A-Za-z0-9_])(bearer|basic)[ \t\n]+[A-Za-z0-9._~+/-]{8,}", r"(^|[^A-Za-z0-9_])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"(^|[^A-Za-z0-9_])(AKIA|ASIA)[A-Z0-9]{16}([^A-Za-z0-9_]|$)", r"(^|[^A-Za-z0-9])[A-Za-z0-9+_-]{32,}([^A-Za-z0-9+_-]|$)",
+]
+
+
+@query("SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in [_SECRET, *_OTHERS]) + " AS secret FROM documents")
+def secret_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_secret_value(F.col("text")).alias("secret"))
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    """Evidence of customers from their events: errors are unresolved, purchases observed, the rest inferred."""
+    kind = F.when(F.col("event_type") == "purchase", "observed").when(F.col("event_type") == "error", "unresolved").otherwise("inferred")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), kind.alias("kind"), F.col("event_id"), text.rendered_ms(F.col("ts")).alias("timestamp"))
+
+
+EVIDENCE = """evidence AS (SELECT user_id AS id, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp,
+CASE event_type WHEN 'purchase' THEN 'observed' WHEN 'error' THEN 'unresolved' ELSE 'inferred' END AS kind FROM events),
+strong AS (SELECT id, CASE WHEN bool_or(kind = 'observed') THEN 'observed' WHEN bool_or(kind = 'unresolved') THEN 'unresolved' ELSE 'inferred' END AS strongest FROM evidence GROUP BY id)"""
+
+
+@query(f"WITH {EVIDENCE} SELECT * FROM strong")
+def evidence_strongest(spark, sf_dir):
+    return _evidence(spark, sf_dir).groupBy("id").agg(F.collect_set("kind").alias("kinds")).select("id", text.strongest(F.col("kinds")).alias("strongest"))
+
+
+@query(f"WITH {EVIDENCE} SELECT strongest, count(*) AS n FROM strong GROUP BY strongest")
+def evidence_counts(spark, sf_dir):
+    return project.counts(evidence_strongest(spark, sf_dir), "strongest")
+
+
+@query(f"WITH {NODES} SELECT layer, count(*) AS n FROM nodes GROUP BY layer")
+def layer_counts(spark, sf_dir):
+    return project.counts(commerce(spark, sf_dir).nodes, "layer")
+
+
+@query(f"WITH {GRAPH} SELECT 'node ' || kind AS kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge ' || kind, count(*) FROM edges GROUP BY kind")
+def kind_counts(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return project.counts(g.nodes.select(F.concat(F.lit("node "), "kind").alias("kind")).union(g.edges.select(F.concat(F.lit("edge "), "kind").alias("kind"))), "kind")
+
+
+@query(f"""WITH {GRAPH}, {EVIDENCE}, shown AS (SELECT n.id FROM nodes n LEFT JOIN strong s ON n.kind = 'customer' AND s.id = n.key
+WHERE layer IN ('frontend', 'http') AND coalesce(strongest, 'inferred') IN ('observed', 'inferred'))
+SELECT id, source, target FROM edges WHERE source IN (FROM shown) AND target IN (FROM shown)""")
+def visible_graph(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    strong = evidence_strongest(spark, sf_dir).select(_id("customer", F.col("id")).alias("id"), F.col("strongest").alias("evidence"))
+    nodes = g.nodes.join(strong, "id", "left").fillna("inferred", ["evidence"])
+    return traverse.visible(nodes, g.edges, ["frontend", "http"], ["observed", "inferred"])[1].select("id", "source", "target")
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {DEPTHS} SELECT node FROM bfs")
+def reachable(spark, sf_dir):
+    return traverse.reachable(written(commerce(spark, sf_dir).edges), _root(spark))[0].select("node")
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {DEPTHS} SELECT node, depth::INT AS depth FROM bfs")
+def bfs_depth(spark, sf_dir):
+    return traverse.bfs(written(commerce(spark, sf_dir).edges), _root(spark))
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {DEPTHS} SELECT id FROM nodes WHERE id NOT IN (SELECT node FROM bfs)")
+def detached(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return traverse.detached(g.nodes, traverse.bfs(written(g.edges), _root(spark))).select("id")
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, open AS (SELECT id FROM nodes WHERE kind IN ('region', 'nation')),
+few AS (SELECT * FROM edges WHERE source IN (FROM open) OR id IN (SELECT min(id) FROM edges GROUP BY source)),
+walk(node) AS (SELECT {ROOT} UNION SELECT e.target FROM walk w JOIN few e ON e.source = w.node) SELECT node FROM walk""")
+def route_scope(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    opened = g.nodes.filter("kind in ('region', 'nation')").select(F.col("id").alias("node"))
+    return traverse.route_scope(written(g.edges), _root(spark), opened)[0].select("node")
+
+
+_PART = _sid("part", "1")
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, parent AS (SELECT target, arg_min(source, id) AS source, min(id) AS id, count(*) - 1 AS alternates FROM edges GROUP BY target),
+walk(node, step) AS (SELECT {_PART}, 0 UNION ALL SELECT p.source, step + 1 FROM walk w JOIN parent p ON p.target = w.node)
+SELECT node, p.id AS edge, coalesce(alternates, 0)::INT AS alternates FROM walk LEFT JOIN parent p ON p.target = node""")
+def focus_path(spark, sf_dir):
+    selected = spark.range(1).select(_id("part", F.lit(1))).first()[0]
+    path, _ = traverse.focus(commerce(spark, sf_dir).edges, selected)
+    return spark.createDataFrame(path, "node string, edge string, alternates int")
+
+
+@query(f"WITH {GRAPH} SELECT layer, n.id, (SELECT count(*) FROM edges e WHERE e.target = n.id) AS n_in, (SELECT count(*) FROM edges e WHERE e.source = n.id) AS n_out FROM nodes n")
+def flow_layers(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return project.flow_layers(g.nodes, written(g.edges))
+
+
+_PLACE = "CASE layer WHEN 'frontend' THEN 1 WHEN 'http' THEN 2 WHEN 'backend' THEN 3 WHEN 'data' THEN 4 WHEN 'external' THEN 5 ELSE 6 END"
+
+
+@query(f"""WITH {GRAPH}, placed AS (SELECT id, {_PLACE} AS at_layer FROM nodes)
+SELECT s.at_layer::BIGINT AS source_layer, t.at_layer::BIGINT AS target_layer, count(*) AS n FROM edges e JOIN placed s ON s.id = e.source JOIN placed t ON t.id = e.target GROUP BY ALL""")
+def flow_edges(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return project.counts(project.flow_edges(g.nodes, g.edges), "source_layer", "target_layer")
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {DEPTHS}
+SELECT node, depth::INT AS depth, (28 + 260 * depth)::BIGINT AS x, (28 + 92 * (row_number() OVER (PARTITION BY depth ORDER BY node) - 1))::BIGINT AS y FROM bfs""")
+def layout(spark, sf_dir):
+    return traverse.layout(written(commerce(spark, sf_dir).edges), _root(spark))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, (row_number() OVER w)::INT AS occurrence, count(*) OVER (PARTITION BY p_name) AS occurrences FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)")
+def outline_occurrence(spark, sf_dir):
+    return traverse.occurrences(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(role || ' ' || coalesce(text, '')), 'user') AND contains(lower(role || ' ' || coalesce(text, '')), 'the')")
+def outline_search(spark, sf_dir):
+    haystack = F.concat_ws(" ", "role", F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").filter(text.matches_terms(haystack, text.query_terms(F.lit("  The USER ")))).select("conv_id", "turn")
+
+
+@query("SELECT p_partkey AS id, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part) WHERE rank BETWEEN 101 AND 200")
+def outline_page(spark, sf_dir):
+    return traverse.page(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name"), "p_name", "id", number=2).select("id", "rank")
+
+
+_OLD = "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 0"
+_NEW = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0"
+DIFF = f"""a AS ({_OLD}), b AS ({_NEW}), d AS (SELECT coalesce(a.id, b.id) AS id,
+CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.status <> b.status OR a.price <> b.price THEN 'changed' END AS status FROM a FULL JOIN b ON a.id = b.id)"""
+
+
+@query(f"WITH {DIFF} SELECT * FROM d WHERE status IS NOT NULL")
+def snapshot_diff(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    new = o.filter("id % 3 <> 0").withColumn("status", F.when(F.col("id") % 11 == 0, "X").otherwise(F.col("status")))
+    return project.diff(o.filter("id % 5 <> 0"), new, ["id"])
+
+
+@query(f"WITH {DIFF} SELECT status, count(*) AS n FROM d WHERE status IS NOT NULL GROUP BY status")
+def diff_counts(spark, sf_dir):
+    return project.counts(snapshot_diff(spark, sf_dir), "status")
+
+
+@query(f"WITH {EVIDENCE} SELECT timestamp, event_id, id FROM evidence WHERE kind = 'observed'")
+def receipts(spark, sf_dir):
+    items = _evidence(spark, sf_dir).select("id", F.array(F.struct("kind", "timestamp", "event_id")).alias("evidence"))
+    return project.receipts(items).select("timestamp", "event_id", F.explode("items").alias("id"))
+
+
+@query("""WITH c AS (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)
+SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN n = 0 THEN 'unmatched' ELSE 'observed' END AS outcome
+FROM events LEFT JOIN c ON c_custkey = user_id""")
+def overlay_match(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("endpoint_id"), F.lit(None).cast("string").alias("view_name"))
+    urls = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), F.col("c_custkey").alias("endpoint_id"))
+    views = spark.createDataFrame([], "view string, view_name string")
+    links = spark.createDataFrame([], "url long, view string")
+    calls = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("edge"))
+    return overlay.match(events, urls, views, links, calls).select("event_id", "outcome")
+
+
+@query(f"""WITH {EVIDENCE} SELECT id, timestamp, event_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp, event_id) AS r FROM evidence) WHERE r <= 32""")
+def overlay_evidence_cap(spark, sf_dir):
+    return overlay.capped(_evidence(spark, sf_dir).select("id", "timestamp", "event_id"), "id", "timestamp", "event_id")
+
+
+@query(f"WITH {EVIDENCE} SELECT id, CASE WHEN strongest = 'observed' THEN greatest((id % 100) / 100, 0.95::DOUBLE) ELSE (id % 100) / 100 END::DOUBLE AS confidence FROM strong")
+def observed_confidence(spark, sf_dir):
+    s = evidence_strongest(spark, sf_dir)
+    return s.select("id", overlay.lifted((F.col("id") % 100) / 100, F.col("strongest") == "observed").alias("confidence"))
+
+
+@query("SELECT event_id, event_type FROM events")
+def event_dedup(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return merge.dedup_conflict(e.union(e), "event_id")[0]
+
+
+_VERSIONS = """v AS (SELECT o_orderkey AS id, o_orderstatus AS status, 1 AS version FROM orders
+UNION ALL SELECT o_orderkey, 'X', 2 FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey + 10000000, 'N', 3 FROM orders WHERE o_orderkey % 6 = 0)"""
+
+
+def _versions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
+    again = o.filter("id % 4 = 0").select("id", F.lit("X").alias("status"), F.lit(2).alias("version"))
+    return o, merge.union(again, o.filter("id % 6 = 0").select((F.col("id") + 10000000).alias("id"), F.lit("N").alias("status"), F.lit(3).alias("version")))
+
+
+@query(f"WITH {_VERSIONS} SELECT id, arg_max(status, version) AS status, max(version) AS version FROM v GROUP BY id")
+def latest_upsert(spark, sf_dir):
+    return store.latest(merge.union(*_versions(spark, sf_dir)), ["id"], "version")
+
+
+@query(f"WITH {_VERSIONS} SELECT id, arg_max(status, version) AS status, max(version) AS version FROM v GROUP BY id")
+def snapshot_upsert(spark, sf_dir):
+    return store.upserted(*_versions(spark, sf_dir), ["id"])
+
+
+@query(f"WITH {_VERSIONS} SELECT id, arg_min(status, version) AS status, min(version) AS version FROM v GROUP BY id")
+def insert_ignore(spark, sf_dir):
+    return store.insert_ignore(*_versions(spark, sf_dir), ["id"], "version")
+
+
+_REASON = "CASE WHEN props IS NULL OR props NOT LIKE '{%' THEN 'invalid_payload' WHEN value < 5 THEN 'unsafe_content' WHEN event_type = 'error' THEN 'legacy_incompatible' END"
+
+
+def _routed(spark, sf_dir):
+    reasons = {"invalid_payload": F.col("props").isNull() | ~F.col("props").startswith("{"), "unsafe_content": F.col("value") < 5, "legacy_incompatible": F.col("event_type") == "error"}
+    return store.routed(table(spark, sf_dir, "events"), reasons)
+
+
+@query(f"SELECT event_id, {_REASON} AS reason FROM events")
+def quarantine_route(spark, sf_dir):
+    return _routed(spark, sf_dir).select("event_id", "reason")
+
+
+@query(f"""WITH r AS (SELECT event_id, {_REASON} AS reason FROM events) SELECT count(*) AS n_source, count(*) FILTER (reason IS NULL OR event_id % 10 = 0) AS n_migrated,
+count(*) FILTER (reason IS NOT NULL) AS n_quarantined, count(*) FILTER (reason IS NOT NULL AND event_id % 10 = 0) AS n_both, 0::BIGINT AS n_lost FROM r""")
+def accounting(spark, sf_dir):
+    r = _routed(spark, sf_dir)
+    return store.accounted(r, r.filter("reason is null or event_id % 10 = 0"), r.filter("reason is not null"), "event_id")
+
+
+@query("SELECT page_id, sha256('cells:' || 'T' || lpad(lower(hex(strlen(url))), 8, '0') || ':' || url || 'I' || lpad(lower(hex(strlen(page_id::VARCHAR))), 8, '0') || ':' || page_id) AS digest FROM pages")
+def quarantine_digest(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", identity.digest("cells:", identity.framed("T", F.col("url")), identity.framed("I", F.col("page_id").cast("string"))).alias("digest"))
+
+
+@query(f"WITH {PATHS} SELECT page_id, row_number() OVER (ORDER BY page_id % 2 = 0, path, page_id) AS rank FROM paths")
+def route_order(spark, sf_dir):
+    routes = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 2 == 0).alias("backend"), paths.url_path(F.col("url")).alias("path"))
+    return numbered(routes, "backend", "path", "page_id").select("page_id", "rank")
+
+
+@query("""WITH d AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'url_target_unmatched' WHEN 'click' THEN 'bounded_url_proof_invalid' WHEN 'view' THEN 'runtime_capture_empty' ELSE 'no_such_code' END AS code FROM events)
+SELECT code, CASE code WHEN 'url_target_unmatched' THEN 'warning' WHEN 'bounded_url_proof_invalid' THEN 'error' WHEN 'runtime_capture_empty' THEN 'info' END AS severity, count(*) AS n FROM d GROUP BY ALL""")
+def diag_catalog_join(spark, sf_dir):
+    from flowloom.model import diagnostic_catalog
+
+    code = F.when(F.col("event_type") == "error", "url_target_unmatched").when(F.col("event_type") == "click", "bounded_url_proof_invalid").when(F.col("event_type") == "view", "runtime_capture_empty").otherwise("no_such_code")
+    d = table(spark, sf_dir, "events").select(code.alias("code"))
+    return project.counts(d.join(F.broadcast(diagnostic_catalog(spark)), "code", "left"), "code", "severity")
+
+
+@query()
+def outline(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return traverse.outline(g.nodes, written(g.edges), _root(spark))
+
+
+@query()
+def ext_python_facts(spark, sf_dir):
+    sources = [
+        ("shop/urls.py", "from django.urls import path\nfrom . import views\nurlpatterns = [path('items/<int:pk>/', views.item)]\n"),
+        ("shop/views.py", "from .models import Item\ndef item(request, pk):\n    return Item.objects.filter(pk=pk)\n"),
+        ("shop/models.py", "from django.db import models\nclass Item(models.Model):\n    pass\n"),
+        ("shop/broken.py", "def ("),
+    ]
+    return files.python_facts(spark.createDataFrame(sources, "path string, text string"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1 +1 @@
-
+"""Sources: HTML links, source trees, Python facts, fragment JSON."""
