@@ -107,7 +107,7 @@ def test_merge_and_validation(spark):
     nodes = spark.createDataFrame([("root", "page", "frontend"), ("a", "model", "http")], "id string, kind string, layer string")
     assert {(r.id, r.rule) for r in validate.node_violations(nodes).collect()} == {("a", "layer")}
     assert {r.id for r in validate.illegal_edges(nodes, e).collect()} == {"e-10"}
-    assert validate.dangling(nodes, e).count() == 7
+    assert validate.dangling(nodes, e).count() == 6
     with pytest.raises(ValueError, match="violated"):
         validate.strict(validate.dangling(nodes, e))
     n, k = merge.without_placeholders(nodes, e, e.filter("id = 'e-10'").select("id", "target"))
