@@ -34,7 +34,11 @@ PIECE = 1 << 20
 #: A k-gram with more occurrences is hot: its suffixes are spread over all ranges, and its windows are compared by a shuffle of their own.
 HOT = 10_000
 #: Suffixes that a range should have.
-RANGE = 40_000
+RANGE = 20_000
+#: Rows of a batch whose suffixes make one run.
+RUN = 3_000
+#: Windows of one k-gram that are compared in a dictionary; more are compared as arrays of 128-bit hashes.
+FEW = 2_000
 OCCURRENCE = np.dtype([("doc", "<i8"), ("first", "<u4")])
 NULL_ID = np.iinfo(np.int64).min
 
@@ -249,8 +253,8 @@ def merged(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, Entry
 def _runs(ranges: int, length: int, gram: int, piece: int):
     """Documents with the firsts of their repeated anchors to (range, run)."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, RUN) for whole in batches for at in range(0, whole.num_rows, RUN)):
             found: dict[int, list[Entry]] = {}
             for doc, data, flags in zip(_doc_ids(batch), batch.column("data"), batch.column("firsts"), strict=True):
                 data, wanted = data.as_py(), {x >> 1: x & 1 for x in flags.as_py()}
@@ -280,7 +284,21 @@ def _runs(ranges: int, length: int, gram: int, piece: int):
 SPANS = "doc_id long, mark long, first long, n long, window binary"
 
 
-def _merge(length: int):
+def later_stretches(group: list[list], length: int) -> list[tuple]:
+    """Spans of the windows of ``group`` that also start earlier in it, told by sorting their hashes and places."""
+    n = np.array([e[4] for e in group])
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(e[0][8 + i : 8 + i + length]) for e in group for i in range(e[4])), "<u8").reshape(-1, 2)
+    owner = np.repeat(np.arange(len(group)), n)
+    doc, mark, first = (np.array([e[k] for e in group], np.int64) for k in (1, 2, 3))
+    at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((at, mark[owner], doc[owner], digests[:, 1], digests[:, 0]))
+    again = (digests[order[1:]] == digests[order[:-1]]).all(axis=1)
+    gone = np.sort(order[1:][again])
+    breaks = np.flatnonzero((np.diff(gone) > 1) | (np.diff(owner[gone]) > 0)) + 1
+    return [(int(doc[owner[g[0]]]), int(mark[owner[g[0]]]), int(at[g[0]]), len(g), None) for g in np.split(gone, breaks) if len(g)]
+
+
+def _merge(length: int, few: int):
     """The runs of a range to its later occurrences: n windows from ``first`` on; windows of hot k-grams to be compared elsewhere."""
 
     def rows(runs: pd.DataFrame) -> pd.DataFrame:
@@ -297,6 +315,9 @@ def _merge(length: int):
                 for key, doc, mark, first, n, _ in group:
                     out.extend((doc, mark, first + i, 1, xxhash.xxh3_128_digest(key[8 + i : 8 + i + length])) for i in range(n))
                 return
+            if sum(e[4] for e in group) > few:
+                out.extend(later_stretches(group, length))
+                return
             earliest: dict[bytes, tuple[int, int, int]] = {}
             for key, doc, mark, first, n, _ in group:
                 begun = None  # of a stretch of windows of this suffix that go
@@ -335,7 +356,7 @@ def _merge(length: int):
     return rows
 
 
-def repeated_windows(source: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE) -> DataFrame:
+def repeated_windows(source: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE, few: int = FEW) -> DataFrame:
     """(doc_id, data) to (doc_id, mark, first, n): from byte ``first`` on, n windows that also start earlier.
 
     Earlier is the order of doc_id (null, written as the least long, first), mark and
@@ -349,7 +370,7 @@ def repeated_windows(source: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ranges = 1 + int((wanted.agg(F.sum(F.size("firsts"))).first()[0] or 0) // ranged)
     keyed = source.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
     runs = keyed.join(wanted.withColumnRenamed("doc_id", "id"), "id").select("doc_id", "data", "firsts").mapInArrow(_runs(ranges, length, gram, piece), "part int, run binary")
-    spans = written(runs.groupBy("part").applyInPandas(_merge(length), SPANS))
+    spans = written(runs.groupBy("part").applyInPandas(_merge(length, few), SPANS))
     place = F.struct("doc_id", "mark", "first")
     windows = spans.filter("window is not null")
     earliest = windows.groupBy("window").agg(F.min(place).alias("e"))
@@ -357,7 +378,7 @@ def repeated_windows(source: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return spans.filter("window is null").union(later.select(spans.columns)).select("doc_id", "mark", "first", "n")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE, few: int = FEW) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain).
 
     A byte goes if a ``length``-byte string over it also starts earlier, in a smaller
@@ -368,7 +389,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     the text. Other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    windows = repeated_windows(source, length, gram, hot, ranged, piece)
+    windows = repeated_windows(source, length, gram, hot, ranged, piece, few)
     marked = windows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "first", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

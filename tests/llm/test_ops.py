@@ -177,7 +177,7 @@ def brute_suffixes(docs, length):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 3, "ranged": 50}, {"hot": 1, "piece": 64, "ranged": 500}])
+@pytest.mark.parametrize("how", [{}, {"few": 0}, {"hot": 3, "ranged": 50}, {"hot": 1, "piece": 64, "ranged": 500}])
 def test_suffixes(spark, how):
     r = random.Random(3)
     piece = lambda n: "".join(r.choice("abcd é") for _ in range(r.randint(0, n)))
