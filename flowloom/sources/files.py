@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 MOST_BYTES = 1 << 20
 # Folders that are no source.
-IGNORED = (".git", ".hg", ".svn", ".tox", ".venv", "venv", "env", "__pycache__", "node_modules", "site-packages", "build", "dist", "migrations")
+IGNORED = (".agents", ".aws", ".config", ".git", ".ssh", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", "site-packages")
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """(path, length, content, status): files under ``root``; too large ones keep a row without content."""
+    """(path, length, content, status): files under ``root``, of whose own folders none is ignored; too large ones keep a row without content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    ignored = F.exists(F.split("path", "/"), lambda s: s.isin(*IGNORED))
+    below = F.substring_index("path", f"{root.rstrip('/')}/", -1)
+    ignored = F.exists(F.split(below, "/"), lambda s: s.isin(*IGNORED))
     good = F.col("length") <= MOST_BYTES
     return files.filter(~ignored).select("path", "length", F.when(good, F.col("content")).alias("content"), F.when(good, "ok").otherwise("source_read_failed").alias("status"))
 

@@ -134,7 +134,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "venv" / "b.py").write_text("x = 1")
     tree = files.read_tree(spark, str(tmp_path))
     assert tree.count() == 1
-    facts = files.python_facts(tree.select("path", F.decode("content", F.lit("utf-8")).alias("text")))
+    assert files.read_tree(spark, str(tmp_path / "venv")).count() == 1
+    facts = files.python_facts(tree.select("path", F.decode("content", "utf-8").alias("text")))
     assert {(r.kind, r.name) for r in facts.collect()} == {("import", "T"), ("model", "V"), ("function", "V.f"), ("query", "filter")}
     assert files.python_facts(spark.createDataFrame([("b.py", "def (")], "path string, text string")).first().kind == "unsupported_syntax"
 
