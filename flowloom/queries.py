@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions import identity, paths, text
+from flowloom.functions import identity, net, paths, text
 from flowloom.model import Graph
-from flowloom.operators import merge, overlay, project, store, traverse, validate
+from flowloom.operators import contract, merge, overlay, project, store, traverse, validate
 from flowloom.plans.lineage import written
 from flowloom.plans.ranking import numbered
 from flowloom.session import table
@@ -471,6 +471,51 @@ def ext_python_facts(spark, sf_dir):
     return files.python_facts(spark.createDataFrame(sources, "path string, text string"))
 
 
+@query("""WITH hosts AS (SELECT regexp_extract(url, '//([^/?#]*)', 1) AS host FROM pages UNION SELECT p_name FROM part UNION SELECT lower(p_brand) FROM part)
+SELECT host, length(host) <= 253 AND regexp_full_match(host, '[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*') AS ok FROM hosts""")
+def external_hosts(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/?#]*)", 1).alias("host")).union(part.select("p_name")).union(part.select(F.lower("p_brand"))).distinct()
+    return hosts.select("host", net.is_external_host(F.col("host")).alias("ok"))
+
+
+@query("""WITH e AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'literal' WHEN 'O' THEN 'bounded_template' ELSE 'unbounded' END AS res, '/' || o_orderkey % 3 AS path,
+CASE WHEN o_orderkey % 2 = 0 THEN 'GET /' || o_orderkey % 3 END AS endpoint, ['pattern', 'external', 'missed', 'model'][p_size % 4 + 1] AS target, '/' || p_partkey % 3 AS target_path,
+['exact_endpoint', 'unbounded', 'external_boundary', 'dynamic_converter'][l_linenumber % 4 + 1] AS tier, l_suppkey % 5 = 0 AS named
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+broken AS (SELECT unnest([
+CASE WHEN named AND target = 'missed' THEN 'repository' END,
+CASE WHEN res = 'unbounded' AND NOT (tier = 'unbounded' AND target = 'missed' AND endpoint IS NULL AND NOT named) THEN 'unbounded' END,
+CASE WHEN res <> 'unbounded' AND target = 'missed' AND NOT (tier = 'unbounded' AND endpoint IS NULL AND NOT named) THEN 'unresolved' END,
+CASE WHEN res <> 'unbounded' AND target = 'external' AND NOT (res = 'literal' AND tier = 'external_boundary') THEN 'external' END,
+CASE WHEN res <> 'unbounded' AND target = 'model' THEN 'target' END,
+CASE WHEN res = 'bounded_template' AND target = 'pattern' THEN 'bounded' END,
+CASE WHEN res = 'literal' AND target = 'pattern' AND tier <> 'exact_endpoint' THEN 'literal_tier' END,
+CASE WHEN res = 'literal' AND target = 'pattern' AND tier = 'exact_endpoint' AND path <> target_path THEN 'literal_path' END,
+CASE WHEN res = 'literal' AND target = 'pattern' AND endpoint <> 'GET ' || target_path THEN 'literal_endpoint' END]) AS rule FROM e)
+SELECT rule, count(*) AS n FROM broken WHERE rule IS NOT NULL GROUP BY rule""")
+def resolution_rules(spark, sf_dir):
+    """Lines resolve orders to parts: the status of an order is how its URL resolves, the size of a part its kind."""
+    one_of = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    path = lambda key: F.concat(F.lit("/"), (F.col(key) % 3).cast("string"))
+    endpoint, none = lambda key: F.concat(F.lit("GET "), path(key)), F.lit(None).cast("string")
+    status = F.when(F.col("o_orderstatus") == "F", "literal").when(F.col("o_orderstatus") == "O", "bounded_template").otherwise("unbounded")
+    converters = F.array().cast("array<struct<name:string,kind:string,segment_index:int>>")
+    calls = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit("http_call").alias("kind"), F.lit("web").alias("repository"), F.lit("GET").alias("method"), status.alias("url_resolution"),
+        path("o_orderkey").alias("normalized_path"), F.when(F.col("o_orderkey") % 2 == 0, endpoint("o_orderkey")).alias("endpoint_id"), none.alias("target_repository"), converters.alias("converters"),
+    )
+    targets = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("id"), one_of(["django_url_pattern", "external_service", "unresolved_target", "model"], F.col("p_size")).alias("kind"), F.lit("shop").alias("repository"), none.alias("method"),
+        none.alias("url_resolution"), path("p_partkey").alias("normalized_path"), endpoint("p_partkey").alias("endpoint_id"), none.alias("target_repository"), converters.alias("converters"),
+    )
+    edges = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("resolves_to").alias("kind"),
+        one_of(["exact_endpoint", "unbounded", "external_boundary", "dynamic_converter"], F.col("l_linenumber")).alias("tier"), F.when(F.col("l_suppkey") % 5 == 0, "shop").alias("target_repository"),
+    )
+    return project.counts(contract.resolution_violations(calls.union(targets), edges), "rule")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
