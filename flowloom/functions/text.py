@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as a secret.
 SECRET_KEYS = (
@@ -26,6 +29,19 @@ SECRET_PATTERNS = (
 SENSITIVE_FIELDS = r"(?i)(?:token|secret|password|passwd|auth|session|cookie|api[-_]?key|credential)"
 
 
+def normal_form(text: Column, form: str = "NFKC") -> Column:
+    """``text`` in a Unicode normal form; apply it before the predicates below where texts may hold compatibility characters."""
+
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+
+    return F.pandas_udf(normal, StringType())(text)
+
+
+def is_normal(text: Column, form: str = "NFC") -> Column:
+    return text == normal_form(text, form)
+
+
 def is_secret_value(value: Column, generic: bool = True) -> Column:
     """Whether a value looks like a secret; the last, generic pattern is optional."""
     return reduce(Column.__or__, [value.rlike(p) for p in SECRET_PATTERNS[: None if generic else -1]])

@@ -5,7 +5,7 @@ import ipaddress
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.functions import net
+from flowloom.functions import net, text
 from flowloom.operators import contract
 
 
@@ -22,6 +22,13 @@ def test_hosts(spark):
     assert ipaddress.ip_address("2001:db8::1").compressed == "2001:db8::1"
 
 
+def test_normal_forms(spark):
+    rows = spark.createDataFrame([("ｐａｓｓｗｏｒｄ： x",), ("e\u0301",), ("plain",), (None,)], "t string")
+    t = F.col("t")
+    got = rows.select(text.is_secret_value(t).alias("raw"), text.is_secret_value(text.normal_form(t)).alias("secret"), text.is_normal(t).alias("nfc")).collect()
+    assert [tuple(r) for r in got] == [(False, True, True), (False, False, False), (False, False, True), (None, None, None)]
+
+
 PATTERN = "id string, declared_path string, normalized_path string, endpoint_id string, converters array<struct<name:string,kind:string,segment_index:int>>"
 
 
