@@ -31,6 +31,26 @@ DIAGNOSTICS = {
     "python_import_module_unresolved": "warning", "python_import_module_ambiguous": "warning", "bounded_url_proof_invalid": "error", "url_target_unmatched": "warning",
     "url_target_ambiguous": "warning", "runtime_capture_empty": "info", "runtime_event_unmatched": "warning", "runtime_event_ambiguous": "warning", "runtime_identity_conflict": "warning",
 }
+# What the diagnostics say.
+DIAGNOSTIC_MESSAGES = {
+    "frontend_analyzer_unavailable": "Frontend analyzer is unavailable.",
+    "frontend_analyzer_failed": "Frontend analyzer failed.",
+    "frontend_analyzer_invalid_output": "Frontend analyzer returned invalid output.",
+    "source_read_failed": "A source file could not be read.",
+    "unsupported_syntax": "Unsupported syntax was left unresolved.",
+    "unresolved_dynamic_target": "A dynamic target could not be proven.",
+    "unresolved_referenced_target": "A referenced target was not declared in the analyzed graph.",
+    "unresolved_django_url": "A Django URL declaration could not be resolved statically.",
+    "python_import_module_unresolved": "A Python import module could not be proven.",
+    "python_import_module_ambiguous": "A Python import module has multiple valid candidates.",
+    "bounded_url_proof_invalid": "A bounded URL proof was invalid.",
+    "url_target_unmatched": "No unique Django URL target matched the request shape.",
+    "url_target_ambiguous": "Multiple Django URL targets matched the request shape.",
+    "runtime_capture_empty": "The selected runtime capture contains no events.",
+    "runtime_event_unmatched": "The runtime event did not match one canonical flow.",
+    "runtime_event_ambiguous": "The runtime event matched multiple canonical flows.",
+    "runtime_identity_conflict": "The runtime event identities do not describe one canonical flow.",
+}
 
 SOURCE = "struct<repository:string,path:string,line:int,end_line:int,symbol:string>"
 EVIDENCE = "array<struct<kind:string,adapter:string,adapter_version:string,event_id:string,reason:string,timestamp:string>>"
