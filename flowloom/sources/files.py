@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,11 +28,32 @@ FACTS = "path string, kind string, name string, parent string, target string, li
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """(path, text) to definitions, imports, calls, urls and models with their place; a file that cannot be parsed gives one ``unsupported_syntax`` row.
+    """(path, text) to definitions, decorators, imports, calls, urls, router registrations and models with their place; a file that cannot be parsed gives one ``unsupported_syntax`` row.
 
-    A fact's parent is the function or class around it. Resolution of names is left to joins.
+    A fact's parent is the function or class around it, a decorator's the definition that it
+    decorates. Strings given to decorators are JSON in the target, keyed by argument (``args``
+    for positions). A registration's parent is its router. Resolution of names is left to joins.
     """
 
+    def strings(node: ast.expr) -> list[str] | str | bool | None:
+        if isinstance(node, ast.Constant) and isinstance(node.value, str | bool):
+            return node.value
+        items = node.elts if isinstance(node, ast.List | ast.Tuple | ast.Set) else []
+        return [e.value for e in items if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+
+    def given(node: ast.expr) -> str | None:
+        if not isinstance(node, ast.Call):
+            return None
+        values = map(strings, node.args)
+        flat = [s for v in values for s in (v if isinstance(v, list) else [v]) if isinstance(s, str)]
+        return json.dumps({"args": flat} | {k.arg: strings(k.value) for k in node.keywords if k.arg})
+
+    def registered(call: ast.Call) -> tuple[str, str] | None:
+        named = {k.arg: k.value for k in call.keywords}
+        prefix = call.args[0] if call.args else named.get("prefix")
+        view = call.args[1] if len(call.args) > 1 else named.get("viewset", named.get("view"))
+        return (prefix.value, ast.unparse(view)) if view is not None and isinstance(prefix, ast.Constant) and isinstance(prefix.value, str) else None
+
     def facts(path: str, text: str) -> Iterator[tuple]:
         try:
             tree = ast.parse(text)
@@ -49,6 +71,9 @@ def python_facts(files: DataFrame) -> DataFrame:
                 kind = "model" if any(b in ("models.Model", "Model") for b in bases) else "class" if isinstance(node, ast.ClassDef) else "function"
                 yield path, kind, inside, parent or None, ",".join(bases) or None, line, n
                 n += 1
+                for d in node.decorator_list:
+                    yield path, "decorator", ast.unparse(d.func if isinstance(d, ast.Call) else d), inside, given(d), line, n
+                    n += 1
             elif isinstance(node, ast.Import):
                 for a in node.names:
                     yield path, "import", a.asname or a.name, parent or None, a.name, line, n
@@ -61,6 +86,8 @@ def python_facts(files: DataFrame) -> DataFrame:
                 name = ast.unparse(node.func)
                 if name in ("path", "re_path") and len(node.args) >= 2 and isinstance(node.args[0], ast.Constant):
                     yield path, "url", str(node.args[0].value), parent or None, ast.unparse(node.args[1]), line, n
+                elif isinstance(node.func, ast.Attribute) and node.func.attr == "register" and isinstance(node.func.value, ast.Name) and (r := registered(node)):
+                    yield path, "register", r[0], node.func.value.id, r[1], line, n
                 elif ".objects." in name:
                     yield path, "query", name.rpartition(".")[2], parent or None, name.partition(".objects.")[0], line, n
                 else:
