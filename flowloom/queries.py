@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions import identity, net, paths, text
+from flowloom.functions import identity, net, paths, text, urls
 from flowloom.model import Graph
-from flowloom.operators import contract, merge, overlay, project, store, traverse, validate
+from flowloom.operators import assemble, contract, merge, metadata, migrate, overlay, project, remediate, store, symbols, traverse, validate
 from flowloom.plans.lineage import written
 from flowloom.plans.ranking import numbered
 from flowloom.session import table
-from flowloom.sources import files, html
+from flowloom.sources import django, files, html
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -516,6 +516,111 @@ def resolution_rules(spark, sf_dir):
     return project.counts(contract.resolution_violations(calls.union(targets), edges), "rule")
 
 
+@query(rf"""WITH {HREFS}, targets AS (SELECT DISTINCT href AS url FROM hrefs UNION SELECT url FROM pages),
+cut AS (SELECT url, starts_with(url, '/') AS here, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS rest,
+regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS q, regexp_extract(url, '^[^?#]*') AS path FROM targets),
+ok AS (SELECT *, CASE WHEN here THEN url[2:2] <> '/' AND NOT regexp_matches(url, '[#\s\\]') AND NOT regexp_matches(path, '[^!-~]|["<>`{{}}]') AND NOT regexp_matches(path, '(^|/)[.][.]?(/|$)') AND NOT contains(url, '%')
+ELSE scheme IN ('http', 'https') AND NOT regexp_matches(url, '#.') AND regexp_full_match(host, '[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?([.][a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?)*') END AS fine FROM cut)
+SELECT url, CASE WHEN fine THEN CASE WHEN here THEN path ELSE '/' END END AS normalized_path, CASE WHEN fine AND NOT here THEN host END AS host,
+CASE WHEN fine THEN len(list_filter(string_split(q, '&'), lambda x: x <> ''))::INT END AS query_field_count, CASE WHEN fine AND NOT here THEN rest NOT IN ('', '/') END AS path_present FROM ok""")
+def url_targets(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = html.links(pages).select(F.col("href").alias("url")).union(pages.select("url")).distinct().withColumn("t", urls.url_target(F.col("url")))
+    return found.select("url", *[F.col(f"t.{c}").alias(c) for c in ("normalized_path", "host", "query_field_count", "path_present")])
+
+
+@query(rf"""WITH {HREFS}, {PATHS}, p AS (SELECT DISTINCT href AS path FROM hrefs UNION SELECT path FROM paths)
+SELECT path, regexp_full_match(path, '(/[A-Za-z0-9!$&''()*+,;=:._~-]+)*/?') AND path <> '' AND NOT regexp_matches(path, '(^|/)[.][.]?(/|$)') AS ok FROM p""")
+def path_contract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    wanted = html.links(pages).select(F.col("href").alias("path")).union(pages.select(paths.url_path(F.col("url")).alias("path"))).distinct()
+    return wanted.select("path", metadata.is_contract_path(F.col("path")).alias("ok"))
+
+
+@query(f"""WITH {HREFS}, {PATHS}, wanted AS (SELECT DISTINCT href AS path FROM hrefs UNION SELECT path FROM paths),
+found AS (SELECT w.path, count(DISTINCT p.page_id) AS n FROM wanted w LEFT JOIN paths p ON p.path = w.path GROUP BY 1)
+SELECT path AS "call", CASE WHEN n = 1 THEN 'exact_endpoint' ELSE 'unbounded' END AS tier, CASE WHEN n = 0 THEN 'url_target_unmatched' WHEN n > 1 THEN 'url_target_ambiguous' END AS code FROM found""")
+def graph_assembly(spark, sf_dir):
+    """Links as calls of a browser fragment, page paths as patterns of a server fragment, assembled into one graph."""
+    pages = table(spark, sf_dir, "pages")
+    at = paths.url_path(F.col("url"))
+    header = lambda repository: [F.lit("pages").alias("adapter"), F.lit("1").alias("adapter_version"), F.lit(repository).alias("repository"), F.lit("pages").alias("path")]
+    wanted = html.links(pages).select(F.col("href").alias("p")).union(pages.select(at.alias("p"))).distinct()
+    endpoint = lambda p: F.concat(F.lit("GET "), p).alias("endpoint_id")
+    calls = wanted.select(*header("browser"), F.col("p").alias("key"), F.lit("http_call").alias("kind"), F.lit("GET").alias("method"), F.lit("literal").alias("url_resolution"), F.col("p").alias("normalized_path"), endpoint(F.col("p")))
+    patterns = pages.select(*header("server"), F.col("page_id").cast("string").alias("key"), F.lit("django_url_pattern").alias("kind"), at.alias("normalized_path"), endpoint(at))
+    no_edges = spark.createDataFrame([], "adapter string, adapter_version string, repository string, source string, target string, kind string")
+    no_proofs = spark.createDataFrame([], "call_id string, normalized_path string, placeholders array<struct<segment_index:int,accepted_converters:array<string>>>")
+    manifest = spark.createDataFrame([("browser",), ("server",)], "namespace string")
+    graph, _ = assemble.merged([assemble.canonical(calls, no_edges), assemble.canonical(patterns, no_edges)], no_proofs, manifest)
+    named = graph.nodes.select(F.col("id").alias("source"), F.col("identity_key").alias("call"))
+    return graph.edges.join(named, "source").join(graph.diagnostics.select(F.col("node_id").alias("source"), "code"), "source", "left").select("call", "tier", "code")
+
+
+@query("""WITH RECURSIVE w(k, url) AS (SELECT p_partkey, '/' || p_partkey FROM part WHERE p_partkey < 10 AND p_partkey % 97 <> 0
+UNION ALL SELECT p_partkey, w.url || '/' || p_partkey % 10 FROM w JOIN part ON p_partkey // 10 = w.k AND p_partkey >= 10 AND p_partkey % 97 <> 0) SELECT 'p' || k AS name, url FROM w""")
+def url_constants(spark, sf_dir):
+    """Each part's URL goes on from that of the part without its last digit; every 97th has a second value."""
+    k = F.col("p_partkey")
+    named = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    part = table(spark, sf_dir, "part")
+    one = part.select(named(k).alias("name"), F.when(k >= 10, named(F.floor(k / 10))).alias("ref"), F.concat(F.lit("/"), (k % 10).cast("string")).alias("text"))
+    return symbols.url_constants(one.union(part.filter("p_partkey % 97 = 0").select(named(k), F.lit(None).cast("string"), F.lit("/x"))))
+
+
+@query("""WITH s AS (SELECT l_partkey || ':' || l_suppkey AS name, l_orderkey AS shape, list(l_linenumber ORDER BY l_linenumber) AS f FROM lineitem GROUP BY ALL),
+b AS (SELECT name, f FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY len(f) DESC, f) = 1)
+SELECT name, len(f)::INT AS n_fields FROM b WHERE name NOT IN (SELECT s.name FROM s JOIN b ON s.name = b.name WHERE NOT list_has_all(b.f, s.f))""")
+def payload_shapes(spark, sf_dir):
+    field = F.col("l_linenumber")
+    fields = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_partkey", "l_suppkey").alias("name"), F.col("l_orderkey").alias("shape"), field.alias("ordinal"), field.cast("string").alias("field"), F.lit("number").alias("type"))
+    return symbols.payload_shapes(fields).select("name", F.size("fields").alias("n_fields"))
+
+
+@query("""WITH d AS (SELECT event_id, event_type, user_id AS u FROM events), shown AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0)
+SELECT 'diagnostic:' || event_id AS key, CASE event_type WHEN 'error' THEN 'URL target unmatched' WHEN 'click' THEN 'URL target ambiguous' ELSE 'Unsupported syntax' END AS title,
+CASE WHEN f IS NOT NULL THEN 'node' END AS focus_type, f AS focus_id
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN (SELECT min(id::VARCHAR) FROM shown WHERE id IN (u, u + 1)) WHEN event_type <> 'error' THEN (SELECT id::VARCHAR FROM shown WHERE id = u) END AS f FROM d)""")
+def remediation_cards(spark, sf_dir):
+    click, error = F.col("event_type") == "click", F.col("event_type") == "error"
+    user = F.col("user_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.when(error, "url_target_unmatched").when(click, "url_target_ambiguous").otherwise("unsupported_syntax").alias("code"),
+        F.when(~click & ~error, user.cast("string")).alias("node_id"), F.lit(None).cast("string").alias("edge_id"), F.when(click, F.array((user + 1).cast("string"), user.cast("string"))).alias("candidate_ids"),
+    )
+    shown = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"))
+    return remediate.diagnostic_cards(rows, shown, shown.limit(0)).select("key", "title", "focus_type", "focus_id")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 11 = 0 THEN 'invalid_payload' WHEN o_orderkey % 7 = 0 THEN 'invalid_timestamp'
+WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN 'legacy_incompatible' END AS reason FROM orders""")
+def legacy_migration(spark, sf_dir):
+    """Each order as a legacy snapshot of two nodes, an edge and a route; some are cut, of a wrong time, of another project or of a wrong id."""
+    k = F.col("o_orderkey")
+    label = F.concat(F.lit("f"), k.cast("string"))
+    a, b = (identity.node_id(F.lit("p"), F.lit("a.py"), F.lit("function"), x, ascii_only=True) for x in (label, F.lit("g")))
+    node = lambda i, name: F.struct(i.alias("id"), F.lit("function").alias("kind"), name.alias("label"), F.lit("backend").alias("layer"), F.struct(F.lit("a.py").alias("path")).alias("source"))
+    edge = F.struct(F.when(k % 3 == 0, "e_0").otherwise(identity.edge_id(a, b, F.lit("calls"))).alias("id"), a.alias("source"), b.alias("target"), F.lit("calls").alias("kind"))
+    route = F.struct(F.lit("django").alias("framework"), F.lit("/a").alias("path"), a.alias("nodeId"))
+    payload = F.to_json(F.struct(
+        F.when(k % 5 == 0, "q").otherwise("p").alias("project"), F.array().cast("array<string>").alias("diagnostics"), F.array(node(a, label), node(b, F.lit("g"))).alias("nodes"), F.array(edge).alias("edges"), F.array(route).alias("routes"),
+    ))
+    rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("key"), F.when(k % 11 == 0, F.substring(payload, 1, 20)).otherwise(payload).alias("payload"), F.when(k % 7 == 0, "soon").otherwise("2024-01-02 03:04:05").alias("created_at"))
+    parsed, quarantined = migrate.snapshots(rows, "p")
+    return parsed.select("key", F.lit(None).cast("string").alias("reason")).union(quarantined.select("key", "reason"))
+
+
+@query()
+def django_endpoints(spark, sf_dir):
+    sources = [
+        ("shop/urls.py", "from django.urls import include, path\nfrom . import views\nrouter = Router()\nrouter.register('notes', views.Notes)\nurlpatterns = [path('items/<int:pk>/', views.item), path('api/', include(router.urls))]\n"),
+        ("shop/views.py", "@require_http_methods(['GET', 'POST'])\ndef item(request, pk):\n    pass\nclass Notes(ModelViewSet):\n    pass\n"),
+    ]
+    facts = files.python_facts(spark.createDataFrame(sources, "path string, text string"))
+    modules = spark.createDataFrame([("shop.urls", "shop/urls.py"), ("shop.views", "shop/views.py")], "module string, path string")
+    return django.endpoints(facts, modules, spark.createDataFrame([("shop/urls.py",)], "path string"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
