@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from flowloom.functions.identity import route_id
-from flowloom.functions.paths import decoded
+from flowloom.functions.paths import decoded, endpoint_id, is_strict_endpoint, strip_base
 from flowloom.operators.contract import METHOD, OPERATIONS, implies
 from flowloom.operators.validate import violations
 
@@ -24,7 +24,10 @@ UNRESOLVED_REASONS = ("dynamic_target_unproven", "referenced_target_missing", "p
 TOKEN = r"^[A-Za-z][A-Za-z0-9_.-]{0,63}\z"
 NAMESPACE = r"^[a-z][a-z0-9._-]{0,63}\z"
 QUALIFIED = r"^(?=.{3,512}\z)[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\z"
-CAPTURE = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
+CAPTURE = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z"
+METHODS = ("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS")
+SENSITIVE_TRACE = r"(?i)token|cookie|password|secret|credential|private[_-]?key|session|request[_-]?body"
+TRACE_MEMBER = r"^[a-z0-9][a-z0-9_*/-]{0,255}=[\x20-\x2b\x2d-\x3c\x3e-\x7e]{1,256}\z"
 PLACEHOLDER = r"^\{[pu]([0-9]|[12][0-9]|3[01])\}\z"
 FIELDS = {
     "frontend_route": ("framework declared_path", ""),
@@ -205,3 +208,34 @@ def target_path(target: Column) -> Column:
     path = F.regexp_extract(target, form, 3)
     ok = target.rlike(form) & ~target.rlike(r"[?#\x00-\x1f\x7f]") & F.pandas_udf(_loopback, BooleanType())(host)
     return F.when(ok, F.when(path == "", "/").otherwise(path))
+
+
+def is_trace_state(state: Column) -> Column:
+    """At most 32 members key=value, without tenants and without what looks sensitive."""
+    members = F.split(state, ",")
+    return F.char_length(state).between(1, 512) & ~state.rlike(r"[\r\n@]") & ~state.rlike(SENSITIVE_TRACE) & (F.size(members) <= 32) & F.forall(members, lambda m: m.rlike(TRACE_MEMBER))
+
+
+def event_violations(events: DataFrame, bases: list[str] | None = None) -> DataFrame:
+    """(id, rule) of normalized events, whose id is ``event_id``; optional fields may be null.
+
+    The endpoint is the method and the path without the longest of ``bases``.
+    """
+    c = {f: F.col(f) for f in EVENT}
+    given = lambda f, ok: implies(c[f].isNotNull(), ok)
+    path, stripped = c["path"], lambda p: strip_base(p, bases or [])
+    strict = lambda p: F.char_length(p).between(1, 2048) & is_strict_endpoint(p) & ~p.contains("//") & ~p.rlike("(?i)%(2f|5c)")
+    at = target_path(c["target"])
+    rules = {
+        "capture_id": c["capture_id"].rlike(CAPTURE),
+        "method": c["method"].isin(*METHODS),
+        "path": strict(path),
+        "target": given("target", (F.char_length(c["target"]) <= 2048) & strict(at) & (stripped(at) == path)),
+        "endpoint_id": given("endpoint_id", c["endpoint_id"] == endpoint_id(c["method"], stripped(path))),
+        "view_qualified_name": given("view_qualified_name", c["view_qualified_name"].rlike(QUALIFIED)),
+        "status": given("status", c["status"].between(100, 599)),
+        "duration_ms": given("duration_ms", c["duration_ms"].between(0, 86_400_000) & ~F.isnan(c["duration_ms"])),
+        "traceparent": given("traceparent", is_trace(c["traceparent"])),
+        "tracestate": given("tracestate", c["traceparent"].isNotNull() & is_trace_state(c["tracestate"])),
+    }
+    return violations(events.withColumn("id", F.col("event_id")), rules)

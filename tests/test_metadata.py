@@ -74,6 +74,27 @@ def test_events(spark):
     assert {r.t: r.ok for r in df.collect()} == parents
 
 
+def test_event_rules(spark):
+    parent = "00-" + "a" * 32 + "-" + "b" * 16 + "-01"
+    good = {
+        "event_id": "good", "capture_id": "c:1", "method": "GET", "path": "/api/a", "target": None, "endpoint_id": "GET /a", "view_qualified_name": "a.b", "status": 200, "duration_ms": 1.5,
+        "traceparent": parent, "tracestate": "k=v,a/b=c d",
+    }
+    odd = {
+        "capture_id": [None, "", "-x", "a" * 129], "method": ["get", "TRACE"], "path": ["a", "/a?b", "/a//b", "/a%2Fb", "/..", "/a%zz"], "target": ["http://example.com/api/a", "http://localhost/b"],
+        "endpoint_id": ["GET /api/a", ""], "view_qualified_name": ["a", ".b"], "status": [99, 600], "duration_ms": [-1.0, float("nan"), 86_400_001.0], "traceparent": ["x"],
+        "tracestate": ["", "k", "k=v=w", "K=v", "t@x=v", "secret=1", "k=é"],
+    }
+    rows = [good, {**good, "event_id": "bare", "target": None, "endpoint_id": None, "view_qualified_name": None, "status": None, "duration_ms": None, "traceparent": None, "tracestate": None}]
+    rows += [{**good, f: v, "endpoint_id": None if f in ("path", "method") else good["endpoint_id"], "event_id": f"{f}/{i}"} | ({f: v} if f == "endpoint_id" else {}) for f, values in odd.items() for i, v in enumerate(values)]
+    schema = "event_id string, " + ", ".join(f"{f} {t}" for f, t in metadata.EVENT.items())
+    df = spark.createDataFrame([tuple(r[f] for f in ("event_id", *metadata.EVENT)) for r in rows], schema)
+    found = {(r.id, r.rule) for r in metadata.event_violations(df, ["/api"]).collect()}
+    assert found == {(f"{f}/{i}", f) for f, values in odd.items() for i in range(len(values))}
+    plain = df.filter("event_id = 'good'").withColumns({"path": F.lit("/a"), "target": F.lit("http://localhost:8000/api/a")})
+    assert metadata.event_violations(plain, ["/api"]).count() == 0
+
+
 def test_config(tmp_path):
     c = Config.of("p", ["web=" + str(tmp_path / "a"), {"namespace": "shop", "path": str(tmp_path / "b")}, str(tmp_path / "docs")])
     assert list(c.repositories) == ["docs", "shop", "web"] and len(c.repository_set_id) == 64
