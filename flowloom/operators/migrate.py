@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.identity import edge_id, node_id, route_id
 from flowloom.functions.text import timestamp_ms
+from flowloom.plans.lineage import written
 
 SOURCE = "struct<path:string,line:int,endLine:int,symbol:string>"
 NODE = f"struct<id:string,kind:string,label:string,layer:string,source:{SOURCE},confidence:double>"
@@ -26,10 +27,10 @@ def snapshots(rows: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     A payload that is no JSON object is ``invalid_payload``, a timestamp in neither accepted
     notation ``invalid_timestamp``, and a snapshot of other keys or another project, or with
     an id that its parts do not give, ``legacy_incompatible``. Ids are checked by joins over
-    exploded rows, so a snapshot of any size is checked by many tasks.
+    exploded rows of a table that is parsed once, and each check reads its own columns.
     """
     d = rows.select("key", "payload", F.from_json("payload", SNAPSHOT).alias("s"), timestamp_ms(F.col("created_at")).alias("created_at"))
-    d = d.withColumn("keys", F.array_sort(F.json_object_keys("payload")))
+    d = written(d.withColumn("keys", F.array_sort(F.json_object_keys("payload"))))
     n = d.select("key", F.explode("s.nodes").alias("n"))
     identity = F.coalesce("n.source.symbol", "n.label")
     bad_nodes = n.filter(~F.coalesce(F.col("n.id") == node_id(F.lit(project), F.col("n.source.path"), F.col("n.kind"), identity), F.lit(False)))
