@@ -5,25 +5,43 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="flowloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or else the one given to ``setCheckpointDir``.
+
+    Where there is neither, a session on this machine alone gets a temporary folder; on a
+    cluster that would be a folder which other machines do not see, so it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="flowloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/flowloom/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Later stages then restart from the table, and what was decided once (names,
-    samples, labels) is not decided again when a task is run again.
+    samples, labels) is not decided again when a task is run again. Tables stay until
+    ``cleared``, since lazy results read them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/flowloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; to be called when its results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

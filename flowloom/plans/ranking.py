@@ -1,4 +1,4 @@
-"""Row numbers over a whole table without gathering it in one task."""
+"""Row numbers and running sums over a whole table without gathering it in one task."""
 
 from __future__ import annotations
 
@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 from flowloom.plans.lineage import written
 
 
-def numbered(df: DataFrame, *keys: Column | str, name: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, *keys: Column | str, name: str = "rank", before: dict[str, str] | None = None) -> DataFrame:
     """``df`` with its 1-based position in the order of ``keys``, which should be total.
 
-    Rows are dealt out by ranges of the keys and numbered within each range; the ranges'
-    sizes, one row for each partition, give the offsets.
+    ``before`` maps new columns to numeric columns of which they hold the sum over all
+    rows before. Rows are dealt out by ranges of the keys and numbered within each range;
+    the ranges' sizes and sums, one row for each partition, give the offsets.
     """
+    before = before or {}
     s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    s = written(s.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
-    sizes = s.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("__at") - F.shiftleft("__part", 33) + F.col("__before") + 1
-    return s.join(F.broadcast(before.drop("__n")), "__part").withColumn(name, place).drop("__part", "__at", "__before")
+    s = written(s.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftright("at", 33))
+    sizes = s.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(f"row.{c}").alias(f"sum_{new}") for new, c in before.items()])
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"upto_{c}")
+    starts = sizes.select(F.col("part").alias("of"), upto("n"), *[upto(f"sum_{new}") for new in before])
+    # one row for each partition
+    both = s.join(F.broadcast(starts), F.col("part") == F.col("of"))
+    within = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    sums = [(F.col(f"upto_sum_{new}") + F.coalesce(F.sum(f"row.{c}").over(within), F.lit(0))).alias(new) for new, c in before.items()]
+    return both.select("row.*", (F.col("at") - F.shiftleft("part", 33) + F.col("upto_n") + 1).alias(name), *sums)
