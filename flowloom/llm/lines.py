@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.text import SPACES, lower_az
+from flowloom.llm.text import SPACES, lower_az, whole_row
 from flowloom.plans.lineage import written
 
 
@@ -13,8 +13,8 @@ def line_key(line: Column) -> Column:
     return lower_az(F.btrim(line, F.lit(SPACES)))
 
 
-def without_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
-    """``docs`` with ``text`` freed of common lines, and the columns n_lines and n_dropped behind its own.
+def line_dedup(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
+    """(doc, found): each row of ``docs`` as a struct, its text freed of common lines; found.n_lines, found.n_dropped.
 
     A text is split at newlines (null or empty: one empty line). A line's key is the line
     stripped of ASCII white space and lower-cased A-Z. Keys of at least ``least_chars``
@@ -23,26 +23,31 @@ def without_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int
     and positions are exploded; each document's keys are made distinct before, and counts
     are combined before the shuffle, so a line that all have costs a row for each task.
     A null text stays null. Each row is a document of its own, but rows that agree in
-    doc_id and text share their decision; null ids are matched like others. Columns
-    named ``__...`` must not exist; an empty table gives an empty result.
+    doc_id and text share their decision; null ids are matched like others. Columns of any
+    name pass through inside ``doc``; an empty table gives an empty result.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("__mark"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("__lines"))
-    keys = F.transform("__lines", line_key)
+    text = F.col("text").cast("string")
+    lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("mark"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
+    keys = F.transform("lines", line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= least_chars, F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit(1), k).alias("i"))))
-    hashed = written(lines.select("doc_id", "__mark", hashed.alias("__hashes")))
-    once = hashed.select(F.explode(F.array_distinct("__hashes")).alias("k")).filter("k is not null")
+    hashed = written(lines.select("id", "mark", hashed.alias("hashes")))
+    once = hashed.select(F.explode(F.array_distinct("hashes")).alias("k")).filter("k is not null")
     common = written(once.groupBy("k.h", "k.i").count().filter(F.col("count") >= least_docs).select("h", "i"))
-    at = hashed.distinct().select("doc_id", "__mark", F.size("__hashes").alias("__n"), F.posexplode("__hashes").alias("__pos", "__k"))
-    at = at.select("doc_id", "__mark", "__n", "__pos", F.col("__k.h").alias("h"), F.col("__k.i").alias("i")).join(common, ["h", "i"], "left_semi")
-    kept = (
-        at.groupBy("doc_id", "__mark", "__n")
-        .agg(F.collect_list("__pos").alias("__gone"))
-        .select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), "__gone").alias("__kept"))
-    )
-    split = docs.withColumns({"__mark": F.xxhash64("text"), "__lines": F.split("text", "\n", -1)}).drop("text")
-    both = split.join(kept, split["doc_id"].eqNullSafe(kept["__id"]) & (split["__mark"] == kept["__m"]), "left")
-    left = F.when(F.col("__kept").isNull(), F.col("__lines")).otherwise(F.transform("__kept", lambda i: F.col("__lines")[i]))
-    n = F.greatest(F.size("__lines"), F.lit(1)).cast("long")
-    dropped = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n - F.size("__kept")).cast("long")
-    plain = [F.array_join(left, "\n").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return both.select(*plain, n.alias("n_lines"), dropped.alias("n_dropped"))
+    at = hashed.distinct().select("id", "mark", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "k"))
+    at = at.select("id", "mark", "n", "pos", F.col("k.h").alias("h"), F.col("k.i").alias("i")).join(common, ["h", "i"], "left_semi")
+    gone = at.groupBy("id", "mark", "n").agg(F.collect_list("pos").alias("gone"))
+    kept = gone.select(F.col("id").alias("its_id"), F.col("mark").alias("its_mark"), F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "gone").alias("kept"))
+    # the text goes along as its lines alone
+    rest = whole_row(docs, text=F.lit(None).cast("string"))
+    split = docs.select(rest.alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("mark"), F.split(text, "\n", -1).alias("lines"))
+    both = split.join(kept, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left")
+    left = F.when(F.col("kept").isNull(), F.col("lines")).otherwise(F.transform("kept", lambda i: F.col("lines")[i]))
+    n = F.greatest(F.size("lines"), F.lit(1)).cast("long")
+    dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n - F.size("kept")).cast("long")
+    found = F.struct(n.alias("n_lines"), dropped.alias("n_dropped"))
+    return both.select(F.col("doc").withField("text", F.array_join(left, "\n")).alias("doc"), found.alias("found"))
+
+
+def without_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
+    """``docs``, whatever its columns, with ``text`` freed of common lines as ``line_dedup`` tells."""
+    return line_dedup(docs, least_docs, least_chars).select("doc.*")

@@ -46,8 +46,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.without_common_lines(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    kept = lines.line_dedup(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("doc.text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc.doc_id", "found.n_lines", "found.n_dropped", digest.alias("kept_sha256"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
