@@ -33,15 +33,19 @@ def simhash(tokens: list[bytes], size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): each whole text's fingerprint as a signed long."""
+def fingerprint(size: int):
+    """A whole text's fingerprint as a signed long. Ids stay outside: pandas would make doubles of longs beside a null."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.fromiter((simhash(words(t), size) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((simhash(words(t), size) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    return of
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(of, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """(doc_id, fp): each whole text's fingerprint as a signed long."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(size)(F.col("text").cast("string")).alias("fp"))
 
 
 def covering_masks(free: list[int], radius: int) -> list[int]:
