@@ -55,13 +55,15 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     result. ``model`` must be readable on every executor.
     """
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = PieceCounter(model)
         for batch in batches:
-            texts, n = [t or "" for t in batch["text"]], np.zeros(len(batch), np.int64)
+            texts, n = [t or "" for t in batch], np.zeros(len(batch), np.int64)
             for at in range(0, len(texts), 256):
                 n[at : at + 256] = counter.counts(texts[at : at + 256])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n})
+            yield pd.Series(n)
 
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(of, "doc_id long, n_bytes long, n_tokens long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), pieces(text).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
