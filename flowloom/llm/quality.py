@@ -70,41 +70,55 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
     return rows.filter(F.col("key") > base).union(ties.orderBy(F.desc_nulls_last("doc_id")).limit(rest)) if k else rows.limit(0)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS, most: int = FITTED, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, log_weight, kept.
+def drawn(ratio: np.ndarray, seed: int, by_length: bool):
+    """Log weight of a text, and an order-keeping long of it plus the Gumbel draw of an id, told as text."""
 
-    The raw model counts the hashed words and word pairs of all texts, the target model
-    those of rows labelled quality 1. log_weight is the log of the ratio of the
-    probabilities that they give a whole text, per n-gram, times its n-grams' square root:
-    long texts would else be decided by length alone. A Gumbel draw, fixed by seed and
-    id, is added, and the round(share * rows) largest sums are kept, so that texts are
-    sampled without replacement by their weights. Ties go to the larger id. Null and blank
-    texts have log_weight -50. Without a target all weights are 0. Repeated rows draw
-    alike; null ids draw as -1; extra columns are ignored; an empty table gives an empty
-    result.
-    """
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id")).limit(most)
-    raw = bucket_counts(docs, buckets)
-    # at most FITTED ids
-    target = bucket_counts(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), buckets)
-    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets)) if target.sum() else np.zeros(buckets)
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(buckets)
-        for batch in batches:
+    @F.pandas_udf("log_weight double, key long")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher(len(ratio))
+        for ids, texts in batches:
             w, draws = [], []
-            for doc_id, text in zip(batch["id"], batch["text"], strict=True):
+            for doc_id, text in zip(ids, texts, strict=True):
                 at = hasher(text).astype(np.int64)
-                w.append(float(ratio[at].sum() / np.sqrt(len(at))) if len(at) else -50.0)
-                u = (xxhash.xxh64_intdigest(str(doc_id), seed) + 0.5) / 2.0**64
+                w.append(float(ratio[at].sum()) / (np.sqrt(max(1, len(at))) if by_length else 1.0))
+                u = (xxhash.xxh64_intdigest(doc_id, seed) + 0.5) / 2.0**64
                 draws.append(w[-1] - np.log(-np.log(u)))
             # the order of a double is that of its bits once the sign is folded in; the last bit goes to keep it positive
             b = np.array(draws, np.float64).view(np.int64)
             key = (np.where(b < 0, ~b, b ^ np.int64(-(2**63))).view(np.uint64) >> np.uint64(1)).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "log_weight": w, "key": key})
+            yield pd.DataFrame({"log_weight": w, "key": key})
+
+    return of
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("text").cast("string"))
-    keyed = written(rows.mapInPandas(of, "doc_id long, log_weight double, key long").withColumn("row", F.monotonically_increasing_id()))
+
+def log_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = FITTED) -> np.ndarray:
+    """Of each bucket the log of its probability under the target model by that under the raw one; zeros without a target."""
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id")).limit(most)
+    raw = bucket_counts(docs, buckets)
+    # at most FITTED ids
+    target = bucket_counts(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), buckets)
+    if not target.sum():
+        return np.zeros(buckets)
+    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS, most: int = FITTED, seed: int = SEED, by_length: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, log_weight, kept.
+
+    The raw model counts the hashed words and word pairs of all texts, the target model
+    those of rows labelled quality 1. log_weight is the log of the ratio of the
+    probabilities that they give a whole text (``by_length``: divided by the square root of
+    its n-grams, off by default). A Gumbel draw, fixed by seed and id, is added, and the
+    round(share * rows) largest sums are kept, so that texts are sampled without
+    replacement by their weights. Ties go to the larger id. Null and blank texts have no
+    n-gram, so log_weight 0. Without a target all weights are 0. Repeated rows draw alike;
+    null ids draw as -1; extra columns are ignored; an empty table gives an empty result.
+    """
+    ratio = log_ratio(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), buckets, most)
+    doc_id = F.col("doc_id").cast("long")
+    name = F.coalesce(doc_id, F.lit(-1)).cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), drawn(ratio, seed, by_length)(name, F.col("text").cast("string")).alias("d"))
+    keyed = written(rows.select("doc_id", "d.log_weight", "d.key", F.monotonically_increasing_id().alias("row")))
     kept = top_k(keyed.select("key", "doc_id", "row"), round(share * keyed.count())).select("row", F.lit(True).alias("kept"))
     return keyed.join(kept, "row", "left").select("doc_id", "log_weight", F.coalesce("kept", F.lit(False)).alias("kept"))
