@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.llm.text import id_bucket
+from flowloom.llm.text import id_bucket, whole_row
 
 #: Ranks in a profile; the out-of-place distance of an n-gram that a profile lacks.
 RANKS = 300
 #: A language's profile is fitted on about so many documents at most, chosen by a hash of their ids.
 FITTED = 4000
+#: Languages with the most labelled rows that are learned at most.
+LANGUAGES = 1000
 
 
 def letter_table() -> np.ndarray:
@@ -40,13 +42,13 @@ def ranked(codes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:n]]
 
 
-def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED) -> dict[str, np.ndarray]:
+def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
     """lang to its ``ranks`` most frequent n-grams, from the rows of ``labelled`` (doc_id, text, lang) with a lang.
 
-    The number of distinct languages must be small, as language codes are.
+    At most ``languages`` values of lang are learned, those with the most rows.
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, most / n)))])[F.col("lang")]
@@ -70,7 +72,7 @@ def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED)
 
 
 def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RANKS) -> DataFrame:
-    """``docs`` with a struct column ``found`` of lang_pred and score, from whole texts alone.
+    """(doc, found): each row of ``docs`` as a struct, and a struct of lang_pred and score, from whole texts alone.
 
     The distance of a document to a language sums, over the document's ``ranks`` most
     frequent n-grams, how far out of place each is in the profile (``ranks`` if absent).
@@ -102,7 +104,7 @@ def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RAN
                 score.append(1 - float(away.min()) / (ranks * len(top)))
             yield pd.DataFrame({"lang_pred": best, "score": score})
 
-    return docs.withColumn("found", of(F.col("text").cast("string")))
+    return docs.select(whole_row(docs).alias("doc"), of(F.col("text").cast("string")).alias("found"))
 
 
 def identified(docs: DataFrame, ranks: int = RANKS, most: int = FITTED) -> DataFrame:
@@ -112,7 +114,6 @@ def identified(docs: DataFrame, ranks: int = RANKS, most: int = FITTED) -> DataF
     out or not as empty text is) and extra columns do no harm; an empty table gives an
     empty result; ties are settled as ``predicted`` says.
     """
-    held_out = id_bucket(F.col("doc_id"), 3) == 1
-    profiles = fitted_profiles(docs.filter(~held_out), ranks, most)
+    profiles = fitted_profiles(docs.filter(id_bucket(F.col("doc_id"), 3) != 1), ranks, most)
     found = predicted(docs.select("doc_id", "text"), profiles, ranks)
-    return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score")
+    return found.select("doc.doc_id", (id_bucket(F.col("doc.doc_id"), 3) == 1).alias("held_out"), "found.lang_pred", "found.score")
