@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,13 +14,17 @@ from pyspark.sql import functions as F
 from flowloom.llm import components, decontaminate, exact, language, lines, mixing, quality, simhash, suffixes, tokens, toxicity
 from flowloom.llm.text import words
 
-SCHEMA = "doc_id long, text string, lang string, source string, key string, h long, count long, mark string, pos int, rank int, class string, len int"
-BLANK = (None,) * 7
+#: Further columns of names that operators use themselves.
+CLASH = {
+    "key": "k", "h": "1", "count": "2", "mark": "m", "pos": "3", "rank": "4", "class": "c", "len": "5", "n_lines": "6", "n_dropped": "7", "__mark": "8", "__copies": "9", "row": "10", "doc": "11",
+    "found": "12", "score": "13", "size": "14", "copies": "15", "copy": "16", "id": "17", "n": "18", "name": "19", "block": "20", "part": "21", "data": "22", "kept": "23", "spans": "24", "fp": "25", "taken": "26", "target": "27", "dotted.name": "28",
+}
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 
 def table(spark, rows):
     """(doc_id, text[, lang, source]) rows, with further columns of names that operators use themselves."""
-    return spark.createDataFrame([(*r, *(None,) * (4 - len(r)), "k", 1, 2, "m", 3, 4, "c", 5) for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, *(None,) * (4 - len(r)), *CLASH.values()) for r in rows], SCHEMA).repartition(3)
 
 
 RND = random.Random(5)
@@ -100,8 +106,9 @@ def test_components_of_chains_and_hubs(spark):
 
 def test_exact_groups(spark):
     rows = [*DOCS, (200, prose(4000, 9).upper()), (201, prose(4000, 9) + "x"), (202, "ÉA"), (203, "éa"), (204, "Éa")]
-    for block in (5, 8192):
-        got = exact.exact_duplicates(table(spark, rows), block).collect()
+    weak = lambda part, seed: F.struct((F.length(part) if seed == 0 else F.xxhash64(part)).cast("long").alias("h"), F.lit(0).alias("i"))
+    for block, hashed in ((5, exact.hash_pair), (8192, exact.hash_pair), (5, weak)):
+        got = exact.exact_duplicates(table(spark, rows), block, hashed).collect()
         low = lambda t: (t or "").encode().lower()
         groups = defaultdict(list)
         for d, t in rows:
@@ -146,13 +153,16 @@ def test_mix_meets_targets(spark):
         assert goal[n] == pytest.approx(target[n])
         assert abs(taken[n] - goal[n]) <= 320
     assert mixing.mixed(table(spark, [])).count() == 0
-    assert mixing.mixture(table(spark, [(1, "a b", None, "s"), (2, "c", None, "t")])).columns == table(spark, []).columns
+    mix = mixing.mixture(table(spark, rows))
+    assert mix.select("doc.*").columns == table(spark, []).columns
+    assert Counter((r.doc.doc_id, r.doc.text) for r in mix.collect()).total() == sum(g.copies for g in got)
+    assert mixing.mixture(table(spark, [])).count() == 0
 
 
 def test_lines(spark):
     rows = [(i, f"own {i}\n Shared LINE\t\n\nkeep\r") for i in range(12)] + [(100, "shared line"), (101, None), (102, ""), (101, None), (None, "x\ny"), (103, "\n" * 500 + "keep")]
     rows += [(104, "solo\nsolo\nsolo")] * 2
-    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lines.without_common_lines(table(spark, rows)).collect())
+    got = Counter((r.doc.doc_id, r.doc.text, r.found.n_lines, r.found.n_dropped) for r in lines.line_dedup(table(spark, rows)).collect())
     key = lambda x: x.strip(" \t\n\v\f\r").encode().lower()
     seen = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})
     want = Counter()
@@ -161,7 +171,8 @@ def test_lines(spark):
         kept = [x for x in all_ if not (key(x) and seen[key(x)] >= 10)]
         want[d, None if t is None else "\n".join(kept), len(all_), len(all_) - len(kept)] += 1
     assert got == want
-    assert lines.without_common_lines(table(spark, rows)).columns[:12] == table(spark, []).columns
+    assert lines.without_common_lines(table(spark, rows)).columns == table(spark, []).columns
+    assert {tuple(r)[4:] for r in lines.without_common_lines(table(spark, rows)).collect()} == {tuple(CLASH.values())}
     assert lines.without_common_lines(table(spark, [])).count() == 0
 
 
@@ -237,6 +248,33 @@ def test_language(spark):
     assert language.identified(table(spark, [])).count() == 0
 
 
+def test_language_against_plain_profiles(spark):
+    langs = {"aa": "the cat sat on the mat und", "bb": "der hund und die katze the", "cc": "le chat est sur la table"}
+    rows = [(i, " ".join(random.Random(i).choices(t.split(), k=12)), x) for i, (x, t) in enumerate(list(langs.items()) * 20)]
+    rows += [(100, "the und la", None), (101, "x" * 40_000 + " le chat", None), (102, "ÄÖ 12 the", None), rows[4]]
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = f" {w} "
+            out.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " ")
+        return out
+
+    def top(counts):
+        return sorted(counts, key=lambda g: (-counts[g], [ord(c) if c != " " else -1 for c in g] and sum((ord(c) + 1 if c != " " else 1) << 21 * k for k, c in enumerate(reversed(g)))))[:50]
+
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 3 == 1
+    profiles = {x: top(sum((grams(t) for d, t, y in rows if y == x and not held(d)), Counter())) for x in langs}
+    want = Counter()
+    for d, t, _ in rows:
+        mine = top(grams(t))
+        away = {x: sum(abs(k - p.index(g)) if g in p else 50 for k, g in enumerate(mine)) for x, p in profiles.items()}
+        best = min(away, key=lambda x: (away[x], x))
+        want[d, held(d), best, round(1 - away[best] / (50 * len(mine)), 9)] += 1
+    got = language.identified(table(spark, rows), ranks=50).collect()
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == want
+
+
 def test_decontamination(spark):
     items = [(1, prose(30, 101)), (2, prose(12, 102)), (3, "three word item"), (4, None), (5, " "), (None, prose(20, 103))]
     near = items[0][1].split()
@@ -244,7 +282,10 @@ def test_decontamination(spark):
     docs = [(i, prose(100, 200 + i)) for i in range(10)]
     docs += [(20, docs[0][1] + "\n" + items[0][1].upper() + "\n" + docs[1][1]), (21, items[1][1] + " tail"), (22, " ".join(near) + " end"), (23, "a Three  word item b"), (24, None), (25, ""), (None, "x " + items[5][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for part in (20_000, 2):
+    docs += [(30, " ".join(items[0][1].split()[:-2])), (31, items[0][1]), (31, items[0][1]), (32, prose(3000, 77) + " " + items[1][1])]
+    items += [(7, items[0][1]), (2**60 + 1, items[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for part in (decontaminate.PART, 150):
         got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(table(spark, docs), bench, part=part).collect()}
         want = {}
         for d, t in docs:
@@ -253,12 +294,12 @@ def test_decontamination(spark):
                 if not x:
                     continue
                 a = Counter(decontaminate.shingles(x, 5))
-                for i in range(len(w) - len(x) + 1):
+                for i in range(max(1, len(w) - len(x) + 1)):
                     b = Counter(decontaminate.shingles(w[i : i + len(x)], 5))
                     s = sum((a & b).values()) / sum((a | b).values())
                     if s >= 0.8 and s > want.get((d, k), 0):
                         want[d, k] = s
-        assert got == pytest.approx(want) and (20, 1) in got and (21, 2) in got and (23, 3) in got and (None, None) in got
+        assert got == pytest.approx(want) and (20, 1) in got and (21, 2) in got and (23, 3) in got and (None, None) in got and (30, 1) in got and (31, 7) in got
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
     assert decontaminate.contaminated(table(spark, docs), bench.limit(0)).count() == 0
 
@@ -290,6 +331,30 @@ def test_quality_keeps_the_like_of_the_target(spark):
     assert {r.log_weight for r in quality.resampled(table(spark, rows[:3]), labels.limit(0)).collect()} == {0.0}
 
 
+def test_quality_against_plain_counts(spark):
+    rows = [(i, prose(30 + i % 7, i) + (" click win" if i % 3 == 0 else "")) for i in range(60)] + [(60, None), (None, "x"), (5, prose(35, 5)), (61, prose(5000, 3))]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(40)], "doc_id long, quality int")
+    mask = 2**64 - 1
+
+    def buckets(text):
+        h = [xxhash.xxh64_intdigest(w) for w in words(text)]
+        pairs = [(a * 0x9E3779B97F4A7C15 & mask) ^ b for a, b in zip(h, h[1:])]
+        return [(x >> 16) % 500 for x in (*h, *((p ^ p >> 29) * 0xBF58476D1CE4E5B9 & mask for p in pairs))]
+
+    raw = Counter(b for _, t in rows for b in buckets(t))
+    target = Counter(b for d, t in rows if d in range(40) and d % 3 for b in buckets(t))
+    ratio = [np.log((target[b] + 1) / (target.total() + 500)) - np.log((raw[b] + 1) / (raw.total() + 500)) for b in range(500)]
+    want, keys = Counter(), []
+    for d, t in rows:
+        w = sum(ratio[b] for b in buckets(t))
+        u = (xxhash.xxh64_intdigest(str(-1 if d is None else d), 11) + 0.5) / 2.0**64
+        keys.append((w - np.log(-np.log(u)), d, round(w, 6)))
+    keys.sort(key=lambda k: -k[0])
+    got = quality.resampled(table(spark, rows), labels, share=0.5, buckets=500).collect()
+    assert Counter((r.doc_id, round(r.log_weight, 6)) for r in got) == Counter((d, w) for _, d, w in keys)
+    assert Counter(r.doc_id for r in got if r.kept) == Counter(d for _, d, _ in keys[: round(0.5 * len(rows))])
+
+
 def test_top_k_is_exact_among_ties(spark):
     r = random.Random(6)
     rows = [(r.choice([3, 2**40, 2**62, r.getrandbits(62)]), i) for i in range(200)]

@@ -62,3 +62,41 @@ def test_stages_decide_by_row(spark):
     rows = [(None, bad), (None, clean), (5, bad), (5, clean), (5, clean), (6, None)]
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, frame(spark, rows), sf_dir).collect()), key=repr)
     assert got == sorted([(None, clean), (5, clean), (5, clean), (6, None)], key=repr)
+
+
+BIG = 2**60
+
+
+def test_large_ids_beside_nulls_stay_apart(spark):
+    """pandas would make doubles of them: 2**60 + 1 and 2**60 + 3 would be one id."""
+    import public_tokenizers
+    from flowloom.llm import decontaminate, exact, language, lines, mixing, quality, simhash, suffixes, tokens, toxicity
+
+    texts = [" ".join(prose(40, s)) for s in (1, 2, 3)]
+    ids = [BIG + 1, None, BIG + 3]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts)], SCHEMA).coalesce(1)
+    bench = spark.createDataFrame([(BIG + 1, texts[0]), (None, texts[1]), (BIG + 3, texts[2])], "item_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(BIG + 1, 1, 0), (BIG + 3, 1, 1)], "doc_id long, quality int, toxic int")
+    found = {
+        "op1": simhash.near_duplicates(docs), "op2": toxicity.toxicity(docs, labels), "op3": decontaminate.contaminated(docs, bench),
+        "op4": tokens.token_counts(docs, str(public_tokenizers.path("piece_bpe_32k.model"))), "op5": exact.exact_duplicates(docs), "op6": mixing.mixed(docs),
+        "op7": language.identified(docs), "op8": quality.resampled(docs, labels), "op9": lines.without_common_lines(docs), "op10": suffixes.without_repeats(docs),
+    }
+    for name, df in found.items():
+        assert {r.doc_id for r in df.collect()} == set(ids), name
+    assert {(r.doc_id, r.item_id) for r in found["op3"].collect()} == {(i, i) for i in ids}
+    assert {(r.doc_id, r.component_id) for r in found["op1"].collect()} == {(i, i) for i in ids}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert {r.doc_id for r in stage(spark, docs, "/root/testdata/sf0.001").collect()} == set(ids), name
+    assert {r.doc_id for r in corpus_pipeline.mixing_sources(spark, docs, "").collect()} <= set(ids)
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = frame(spark, [(i, " ".join(prose(60, i))) for i in range(4)] + [(None, None), (9, ""), (10, "word " * 20_000)])
+    more = docs.selectExpr("*", "1 as row", "2 as found", "3 as doc", "4 as size", "5 as target", "6 as n_lines", "7 as copy")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, more, sf_dir)
+        assert got.columns[:5] == list(corpus_pipeline.COLUMNS), name
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, stage(spark, docs, sf_dir).collect())), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
