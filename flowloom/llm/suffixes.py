@@ -9,8 +9,14 @@ suffix; equal suffixes have equal windows throughout.
 How they are sorted: each task sorts its suffixes into a run, keeps the earliest of equal
 ones, front-codes it (length of the prefix shared with the one before, then the rest) and
 cuts it by key range. Each range's runs are merged by a loser tree that starts every
-comparison behind the prefix known to be shared. Equal suffixes then meet, and so do
-different ones of one k-gram, whose windows are compared among themselves.
+comparison behind the prefix known to be shared. The prefix that neighbours of the merged
+order share then tells what is repeated: the whole suffix, or else, among the different
+suffixes of one k-gram, which share less, the suffixes that start at each of their windows
+are sorted in turn, and a neighbour that shares ``length`` bytes is a later start.
+
+Nothing hot meets in one task: what a batch of documents can settle itself it settles (a
+k-gram that it holds twice is repeated; of equal suffixes all but the earliest go), and a
+k-gram too frequent for one range is spread over all of them.
 """
 
 from __future__ import annotations
@@ -33,13 +39,14 @@ LENGTH, GRAM = 100, 32
 PIECE = 1 << 20
 #: A k-gram with more occurrences is hot: its suffixes are spread over all ranges, and its windows are compared by a shuffle of their own.
 HOT = 10_000
+#: Hot k-grams at most, whatever the input: a larger input has a larger HOT.
+MOST_HOT = 1_000_000
 #: Suffixes that a range should have.
 RANGE = 20_000
 #: Rows of a batch whose suffixes make one run.
 RUN = 3_000
-#: Windows of one k-gram that are compared in a dictionary; more are compared as arrays of 128-bit hashes.
-FEW = 2_000
-OCCURRENCE = np.dtype([("doc", "<i8"), ("first", "<u4")])
+#: Windows of different suffixes that are sorted at once, about.
+SORTED = 100_000
 NULL_ID = np.iinfo(np.int64).min
 
 _rng = np.random.Generator(np.random.PCG64(1))
@@ -83,78 +90,70 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM, piece: int = PI
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _doc_ids(batch: pa.RecordBatch) -> list[int]:
-    return [NULL_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
+#: What ``first`` says in a row of ``_occurrences`` and ``_repeated`` if it is no position: a count of the k-gram, or SETTLED - position.
+COUNT, SETTLED = -1, -2
 
 
 def _occurrences(length: int, gram: int, piece: int):
-    """For each batch and k-gram a row: its hash and packed occurrences."""
+    """(h, owner, first) of each k-gram that a batch has once; of others their count, and each occurrence as settled."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, docs, firsts = [], [], []
-            for doc, data in zip(_doc_ids(batch), batch.column("data"), strict=True):
+            hs, owners, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for owner, data in zip(batch.column("owner").to_pylist(), batch.column("data"), strict=True):
                 h, first, _ = anchors(data.as_py(), length, gram, piece)
-                if len(h):
-                    hs.append(h)
-                    docs.append(np.full(len(h), doc, np.int64))
-                    firsts.append(first)
-            if hs:
-                h, packed = np.concatenate(hs), np.empty(sum(map(len, hs)), OCCURRENCE)
-                packed["doc"], packed["first"] = np.concatenate(docs), np.concatenate(firsts)
-                order = np.argsort(h, kind="stable")
-                h, packed = h[order], packed[order]
-                starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                for a in range(0, len(starts), 100_000):
-                    b = min(a + 100_000, len(starts))
-                    edges = np.append(starts[a:b], starts[b] if b < len(starts) else len(h))
-                    offsets = ((edges - edges[0]) * OCCURRENCE.itemsize).astype(np.int32)
-                    packs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(packed[edges[0] : edges[-1]].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[starts[a:b]].view(np.int64)), packs], ["h", "occurrences"])
+                hs.append(h)
+                owners.append(np.full(len(h), owner, np.int64))
+                firsts.append(first)
+            h, owner, first = np.concatenate(hs).view(np.int64), np.concatenate(owners), np.concatenate(firsts)
+            kinds, of, n = np.unique(h, return_inverse=True, return_counts=True)
+            several = n[of] > 1
+            # settled rows are dealt by owner, so that a hot k-gram sends its count alone to the others
+            out = (
+                np.concatenate((h[~several], kinds[n > 1], owner[several] + first[several])),
+                np.concatenate((owner[~several], n[n > 1], owner[several])),
+                np.concatenate((first[~several], np.full((n > 1).sum(), COUNT), SETTLED - first[several])),
+            )
+            for a in range(0, len(out[0]), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 500_000]) for x in out], ["h", "owner", "first"])
 
     return rows
 
 
 def _repeated(hot: int):
-    """Rows sorted by k-gram to (doc_id, first, hot) of the k-grams that occur again."""
-
-    def out(packed: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(packed["doc"]), pa.array(packed["first"].astype(np.int64)), pa.array(flags)], ["doc_id", "first", "hot"])
+    """Rows sorted by h to (owner, first) of the k-grams that occur again; of hot ones also (h, -1 - how often)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, n = None, [], 0  # of the k-gram that may go on in the next batch; nothing is held of a hot one
+        last, n, held = None, 0, []  # of the k-gram that may go on in the next batch: one row for each batch of documents at most
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, column = batch.column(0).to_numpy(), batch.column(1)
-            edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // OCCURRENCE.itemsize
-            packed = np.frombuffer(column.buffers()[2], OCCURRENCE, edges[-1])[edges[0] :]
-            edges = edges - edges[0]
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            at = np.append(edges[starts], len(packed))
-            size = np.diff(at)
-            if last is not None and h[0] == last:
-                size[0] += n
-            if held and (h[0] != last or len(starts) > 1 or size[0] > hot):
-                total = size[0] if h[0] == last else n
-                if total > 1:
-                    before = np.concatenate(held)
-                    yield out(before, np.full(len(before), bool(total > hot)))
-                held = []
-            keep = np.repeat(size, np.diff(at))
-            end = at[-2]
-            ready = np.arange(len(packed)) < end
-            if size[-1] > hot:
-                ready[:] = True
-            chosen = ready & (keep > 1)
-            if chosen.any():
-                yield out(packed[chosen], keep[chosen] > hot)
-            if size[-1] <= hot:
-                held.append(packed[end:].copy())
-            last, n = h[-1], int(size[-1])
-        if held and n > 1:
-            before = np.concatenate(held)
-            yield out(before, np.full(len(before), False))
+            h, owner, first = (batch.column(c).to_numpy() for c in ("h", "owner", "first"))
+            out = [(owner[first <= SETTLED], SETTLED - first[first <= SETTLED])]
+            at = first > SETTLED
+            h, owner, first = h[at], owner[at], first[at]
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+            if len(starts):
+                size = np.add.reduceat(np.where(first == COUNT, owner, 1), starts)
+                if h[0] == last:
+                    size[0] += n
+                    n = int(size[0])
+                if h[0] != last or len(starts) > 1:
+                    if n > 1:
+                        out.extend(held)
+                    if n > hot:
+                        out.append((np.array([last]), np.array([-1 - n])))
+                    held = []
+                of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+                goes_on = of == len(starts) - 1
+                chosen = ~goes_on & (size[of] > 1) & (first >= 0)
+                out.append((owner[chosen], first[chosen]))
+                full = np.flatnonzero(size[:-1] > hot)
+                out.append((h[starts[full]], -1 - size[full]))
+                last, n = int(h[-1]), int(size[-1])
+                held.append((owner[goes_on & (first >= 0)], first[goes_on & (first >= 0)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["owner", "first"])
+        if n > 1:
+            out = [*held, *([(np.array([last]), np.array([-1 - n]))] if n > hot else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in (0, 1)], ["owner", "first"])
 
     return rows
 
@@ -250,55 +249,64 @@ def merged(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, Entry
             node //= 2
 
 
-def _runs(ranges: int, length: int, gram: int, piece: int):
+def _runs(ranges: int, hot: np.ndarray, length: int, gram: int, piece: int):
     """Documents with the firsts of their repeated anchors to (range, run)."""
+    hot_kinds = frozenset(hot.view(np.uint64).tolist())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, RUN) for whole in batches for at in range(0, whole.num_rows, RUN)):
             found: dict[int, list[Entry]] = {}
-            for doc, data, flags in zip(_doc_ids(batch), batch.column("data"), batch.column("firsts"), strict=True):
-                data, wanted = data.as_py(), {x >> 1: x & 1 for x in flags.as_py()}
-                mark = xxhash.xxh64_intdigest(data) >> 1
+            for doc, mark, data, firsts in zip(*(batch.column(c) for c in ("doc", "mark", "data", "firsts")), strict=True):
+                doc, mark, data, wanted = doc.as_py(), mark.as_py(), data.as_py(), set(firsts.as_py())
                 for h, first, n in zip(*(x.tolist() for x in anchors(data, length, gram, piece)), strict=True):
-                    if (hot := wanted.get(first)) is not None:
+                    if first in wanted:
                         key = h.to_bytes(8, "big") + data[first : first + n + length - 1]
-                        part = (xxhash.xxh64_intdigest(key) if hot else h) * ranges >> 64
-                        found.setdefault(part, []).append((key, doc, mark, first, n, bool(hot)))
-            parts, runs = [], []
+                        part = (xxhash.xxh64_intdigest(key) if h in hot_kinds else h) * ranges >> 64
+                        found.setdefault(part, []).append((key, doc, mark, first, n, h in hot_kinds))
+            runs: dict[int, tuple[list[Entry], list[Entry]]] = {}
             for part, entries in found.items():
                 entries.sort()
-                kept, repeats = [], []
+                kept: list[Entry] = []
                 for e in entries:
                     if not kept or kept[-1][0] != e[0]:
                         kept.append(e)
-                    elif kept[-1] != e:
-                        repeats.append(e)
-                parts.append(part)
-                runs.append(coded(kept, repeats))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
+                    elif kept[-1] != e:  # a later start, whatever other runs hold: to any range, so that a hot suffix does not fill one
+                        runs.setdefault((e[2] + e[3]) % ranges, ([], []))[1].append(e)
+                runs.setdefault(part, ([], []))[0].extend(kept)
+            if runs:
+                yield pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int32()), pa.array([coded(*r) for r in runs.values()], pa.binary())], ["part", "run"])
 
     return rows
 
 
-SPANS = "doc_id long, mark long, first long, n long, window binary"
+SPANS = "doc long, mark long, first long, n long, window binary"
 
 
-def later_stretches(group: list[list], length: int) -> list[tuple]:
-    """Spans of the windows of ``group`` that also start earlier in it, told by sorting their hashes and places."""
-    n = np.array([e[4] for e in group])
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(e[0][8 + i : 8 + i + length]) for e in group for i in range(e[4])), "<u8").reshape(-1, 2)
-    owner = np.repeat(np.arange(len(group)), n)
-    doc, mark, first = (np.array([e[k] for e in group], np.int64) for k in (1, 2, 3))
-    at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((at, mark[owner], doc[owner], digests[:, 1], digests[:, 0]))
-    again = (digests[order[1:]] == digests[order[:-1]]).all(axis=1)
+def later_starts(entries: list[Entry], length: int) -> list[tuple]:
+    """Spans of the windows of ``entries`` that also start earlier in an entry of the same k-gram.
+
+    The suffixes at all windows are sorted, by k-gram, then bytes, then place; a suffix
+    that shares ``length`` bytes with its neighbour is a later start.
+    """
+    n = np.array([e[4] for e in entries])
+    data = np.frombuffer(b"".join(e[0][8:] for e in entries), np.uint8)
+    ends = np.cumsum(n + length - 1)
+    owner = np.repeat(np.arange(len(entries)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    starts = (ends - n - length + 1)[owner] + offset
+    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]).view(f"S{length}").ravel()
+    kinds = np.frombuffer(b"".join(e[0][:8] for e in entries), ">u8")[owner]
+    doc, mark, first = (np.array([e[k] for e in entries], np.int64) for k in (1, 2, 3))
+    at = first[owner] + offset
+    order = np.lexsort((at, mark[owner], doc[owner], suffixes, kinds))
+    # all are as long, so what numpy leaves out of a comparison, zero bytes at the end, is left out of both
+    again = (suffixes[order[1:]] == suffixes[order[:-1]]) & (kinds[order[1:]] == kinds[order[:-1]])
     gone = np.sort(order[1:][again])
     breaks = np.flatnonzero((np.diff(gone) > 1) | (np.diff(owner[gone]) > 0)) + 1
     return [(int(doc[owner[g[0]]]), int(mark[owner[g[0]]]), int(at[g[0]]), len(g), None) for g in np.split(gone, breaks) if len(g)]
 
 
-def _merge(length: int, few: int):
+def _merge(length: int, together: int):
     """The runs of a range to its later occurrences: n windows from ``first`` on; windows of hot k-grams to be compared elsewhere."""
 
     def rows(runs: pd.DataFrame) -> pd.DataFrame:
@@ -308,33 +316,21 @@ def _merge(length: int, few: int):
             entries, repeats = decoded(run)
             trees.append(entries)
             out.extend((*r, None) for r in repeats)
+        waiting: list[list] = []  # different suffixes of k-grams with more than one
+        n_windows = 0
 
-        def compared(group: list[list]) -> None:
-            """Windows of the different suffixes of one k-gram: all but the earliest of equal ones go."""
-            if group[0][5]:
+        def ended(group: list[list]) -> None:
+            """All different suffixes of one k-gram."""
+            nonlocal waiting, n_windows
+            if group and group[0][5]:
                 for key, doc, mark, first, n, _ in group:
-                    out.extend((doc, mark, first + i, 1, xxhash.xxh3_128_digest(key[8 + i : 8 + i + length])) for i in range(n))
-                return
-            if sum(e[4] for e in group) > few:
-                out.extend(later_stretches(group, length))
-                return
-            earliest: dict[bytes, tuple[int, int, int]] = {}
-            for key, doc, mark, first, n, _ in group:
-                begun = None  # of a stretch of windows of this suffix that go
-                for i in range(n):
-                    window = key[8 + i : 8 + i + length]
-                    here, seen = (doc, mark, first + i), earliest.get(window)
-                    if seen is not None and here > seen:
-                        begun = i if begun is None else begun
-                        continue
-                    if begun is not None:
-                        out.append((doc, mark, first + begun, i - begun, None))
-                        begun = None
-                    earliest[window] = here
-                    if seen is not None and here != seen:
-                        out.append((*seen, 1, None))
-                if begun is not None:
-                    out.append((doc, mark, first + begun, n - begun, None))
+                    out.extend((doc, mark, first + i, 1, xxhash.xxh3_128_digest(key[:8] + key[8 + i : 8 + i + length])) for i in range(n))
+            elif len(group) > 1:
+                waiting += group
+                n_windows += sum(e[4] for e in group)
+                if n_windows >= together:
+                    out.extend(later_starts(waiting, length))
+                    waiting, n_windows = [], 0
 
         group: list[list] = []
         for common, e in merged(trees):
@@ -345,40 +341,41 @@ def _merge(length: int, few: int):
                     group[-1][1:4] = min(here, seen)
                 continue
             if group and common < 8:
-                if len(group) > 1 or group[0][5]:
-                    compared(group)
+                ended(group)
                 group = []
             group.append(list(e))
-        if len(group) > 1 or group and group[0][5]:
-            compared(group)
-        return pd.DataFrame(out, columns=["doc_id", "mark", "first", "n", "window"])
+        ended(group)
+        if waiting:
+            out.extend(later_starts(waiting, length))
+        return pd.DataFrame(out, columns=["doc", "mark", "first", "n", "window"])
 
     return rows
 
 
-def repeated_windows(source: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE, few: int = FEW) -> DataFrame:
-    """(doc_id, data) to (doc_id, mark, first, n): from byte ``first`` on, n windows that also start earlier.
+def repeated_windows(source: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE, together: int = SORTED) -> DataFrame:
+    """(doc, mark, data) to (doc, mark, first, n): from byte ``first`` on, n windows that also start earlier.
 
-    Earlier is the order of doc_id (null, written as the least long, first), mark and
-    position; ``mark`` is a hash of the row's bytes, so rows that repeat id and bytes are
-    one document.
+    Earlier is the order of doc, mark and position; ``mark`` is a hash of the row's bytes,
+    so rows that repeat id and bytes are one document.
     """
-    packs = source.mapInArrow(_occurrences(length, gram, piece), "h long, occurrences binary")
-    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    again = packs.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated(hot), "doc_id long, first long, hot boolean")
-    wanted = written(again.groupBy("doc_id").agg(F.collect_list(F.shiftleft("first", 1) + F.col("hot").cast("long")).alias("firsts")))
-    ranges = 1 + int((wanted.agg(F.sum(F.size("firsts"))).first()[0] or 0) // ranged)
-    keyed = source.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    runs = keyed.join(wanted.withColumnRenamed("doc_id", "id"), "id").select("doc_id", "data", "firsts").mapInArrow(_runs(ranges, length, gram, piece), "part int, run binary")
-    spans = written(runs.groupBy("part").applyInPandas(_merge(length, few), SPANS))
-    place = F.struct("doc_id", "mark", "first")
+    source = source.withColumn("owner", F.xxhash64("doc", "mark"))
+    found = source.select("owner", "data").mapInArrow(_occurrences(length, gram, piece), "h long, owner long, first long")
+    again = written(found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), "owner long, first long"))
+    total = again.filter("first >= 0").count()
+    # one row for each hot k-gram, MOST_HOT at most
+    often = again.filter(F.col("first") < -max(hot, total // MOST_HOT)).select("owner").collect()
+    ranges = 1 + total // ranged
+    wanted = again.filter("first >= 0").groupBy("owner").agg(F.collect_list("first").alias("firsts"))
+    runs = source.join(wanted, "owner").select("doc", "mark", "data", "firsts").mapInArrow(_runs(ranges, np.array([r["owner"] for r in often], np.int64), length, gram, piece), "part int, run binary")
+    spans = written(runs.groupBy("part").applyInPandas(_merge(length, together), SPANS))
+    place = F.struct("doc", "mark", "first")
     windows = spans.filter("window is not null")
     earliest = windows.groupBy("window").agg(F.min(place).alias("e"))
     later = windows.join(earliest, "window").filter(place != F.col("e"))
-    return spans.filter("window is null").union(later.select(spans.columns)).select("doc_id", "mark", "first", "n")
+    return spans.filter("window is null").union(later.select(spans.columns)).select("doc", "mark", "first", "n")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE, few: int = FEW) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, ranged: int = RANGE, piece: int = PIECE, together: int = SORTED) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain).
 
     A byte goes if a ``length``-byte string over it also starts earlier, in a smaller
@@ -388,9 +385,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     keeps what it keeps); rows with one id and different texts are ordered by a hash of
     the text. Other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    windows = repeated_windows(source, length, gram, hot, ranged, piece, few)
-    marked = windows.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "first", "n")).alias("spans"))
+    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"), F.xxhash64(data).alias("mark"))
+    source = source.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    windows = repeated_windows(source.select("doc", "mark", "data"), length, gram, hot, ranged, piece, together)
+    marked = windows.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,16 +399,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 if not spans.is_valid or not len(spans):
                     out.append((len(data), 0, 0, data))
                     continue
-                mark, first, n = (spans.values.field(c).to_numpy() for c in ("mark", "first", "n"))
-                own = mark == xxhash.xxh64_intdigest(data) >> 1
+                first, n = (spans.values.field(c).to_numpy() for c in ("first", "n"))
                 edges = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edges, first[own], 1)
-                np.add.at(edges, first[own] + n[own] - 1 + length, -1)
+                np.add.at(edges, first, 1)
+                np.add.at(edges, first + n - 1 + length, -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 spans_n = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(data) else 0
                 out.append((len(data), int(gone.sum()), spans_n, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = source.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(marked, "id", "left").select("doc_id", "data", "spans")
+    joined = source.join(marked, ["doc", "mark"], "left").select("doc_id", "data", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -188,13 +188,14 @@ def brute_suffixes(docs, length):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"few": 0}, {"hot": 3, "ranged": 50}, {"hot": 1, "piece": 64, "ranged": 500}])
-def test_suffixes(spark, how):
+@pytest.mark.parametrize("how", [{}, {"together": 1}, {"hot": 3, "ranged": 50}, {"hot": 1, "piece": 64, "ranged": 500}])
+def test_suffixes(spark, monkeypatch, how):
     r = random.Random(3)
     piece = lambda n: "".join(r.choice("abcd é") for _ in range(r.randint(0, n)))
     base = [piece(300) for _ in range(10)]
     docs = [(d, "".join(r.choice([r.choice(base), piece(60)]) for _ in range(r.randint(0, 5)))) for d in range(80)] + [(90, "z" * 500)]
     df = table(spark, [*docs, (95, None), (96, ""), docs[3]])
+    monkeypatch.setattr(suffixes, "MOST_HOT", 10**9)
     want = brute_suffixes([(d, t.encode()) for d, t in docs], 20) | {95: (b"", 0), 96: (b"", 0)}
     got = suffixes.without_repeats(df, length=20, gram=8, **how).collect()
     assert len(got) == len(docs) + 3
@@ -207,6 +208,11 @@ def test_suffixes_null_ids_come_first(spark):
     text = prose(80, 1)
     got = {r.doc_id: r.n_removed for r in suffixes.without_repeats(table(spark, [(1, text), (None, text)])).collect()}
     assert got == {None: 0, 1: len(text.encode())}
+    other = prose(90, 2)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.without_repeats(table(spark, [(5, text), (5, text + other), (6, other), (7, "q" * 1_200_000)])).collect())
+    a, b = len(text.encode()), len(other.encode())
+    assert got[2] == (6, b, b) and got[3][2] > 1_199_000
+    assert {(n, gone > 0) for _, n, gone in got[:2]} in ({(a, True), (a + b, False)}, {(a, False), (a + b, True)})
     assert suffixes.without_repeats(table(spark, [])).count() == 0
 
 
