@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+#: Short escapes of JSON.
+SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+
+
+def escaped(text: Column) -> Column:
+    """``text`` as a JSON string with lower-case escapes of all controls and all characters beyond ASCII, the latter by UTF-16 unit."""
+
+    def one(c: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        out = F.when((c < " ") | (c > "~"), units).otherwise(c)
+        for plain, short in SHORT.items():
+            out = F.when(c == plain, short).otherwise(out)
+        return out
 
-@F.pandas_udf(StringType())
-def _escaped_hash(parts: pd.Series) -> pd.Series:
-    """sha256 of the compact JSON array with every non-ASCII character as a lower-case escape."""
-    return parts.map(lambda p: None if p is None or any(x is None for x in p) else hashlib.sha256(json.dumps(list(p), separators=(",", ":")).encode()).hexdigest())
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), one), ""), F.lit('"'))
 
 
 def stable_id(prefix: str, *parts: Column | str, ascii_only: bool = False) -> Column:
-    """``prefix`` and the sha256 of the parts as a compact JSON array.
+    """``prefix`` and the sha256 of the parts as a compact JSON array; null if a part is.
 
-    With ``ascii_only`` the whole id stays in generated code; otherwise rows take the same
-    way unless a part has a non-ASCII character, which JSON escapes in lower-case hex.
+    Parts of printable ASCII alone are written as they are, others character by character;
+    ``ascii_only`` promises the former. Either way no row leaves generated code for Python.
     """
     columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
     array = F.array(*columns)
     native = F.sha2(F.to_json(array), 256)
     if ascii_only:
         return F.concat(F.lit(prefix), native)
-    plain = F.concat_ws("", array).rlike(r"^[\x20-\x7e]*$")
-    return F.concat(F.lit(prefix), F.when(plain, native).otherwise(_escaped_hash(array)))
+    plain = F.concat(*columns).rlike(r"^[\x20-\x7e]*$")
+    slow = F.concat(F.lit("["), F.concat_ws(",", *map(escaped, columns)), F.lit("]"))
+    return F.concat(F.lit(prefix), F.when(plain, native).when(~plain, F.sha2(slow, 256)))
 
 
 def node_id(repository: Column, path: Column, kind: Column, key: Column, ascii_only: bool = False) -> Column:

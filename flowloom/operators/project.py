@@ -12,11 +12,13 @@ def counts(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def flow_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(layer, id, n_in, n_out) with layers in their order."""
-    n_in = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_in"))
-    n_out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
-    return nodes.select("layer", "id").join(n_in, "id", "left").join(n_out, "id", "left").fillna(0, ["n_in", "n_out"]).select("layer", "id", "n_in", "n_out")
+def flow_layers(nodes: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(layer, id, incoming, outgoing) of the nodes in ``reached`` (node): the ids of their edges, sorted, those of detached nodes included."""
+    ends = lambda end, name: edges.groupBy(F.col(end).alias("id")).agg(F.array_sort(F.collect_list(edges["id"])).alias(name))
+    shown = nodes.select("layer", "id").join(reached.select(F.col("node").alias("id")), "id", "left_semi")
+    none = F.array().cast("array<string>")
+    both = shown.join(ends("target", "incoming"), "id", "left").join(ends("source", "outgoing"), "id", "left")
+    return both.select("layer", "id", F.coalesce("incoming", none).alias("incoming"), F.coalesce("outgoing", none).alias("outgoing"))
 
 
 def flow_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -84,6 +84,12 @@ ROOT = _sid("region", "0")
 DEPTHS = f"""walk(node, depth) AS (SELECT {ROOT}, 0 UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.node),
 bfs AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
 
+SEARCHED = f"""{DEPTHS}, rest AS (SELECT id FROM nodes WHERE id NOT IN (SELECT node FROM bfs)),
+up(seed, node, d) AS (SELECT id, id, 0 FROM rest UNION SELECT u.seed, e.target, u.d + 1 FROM up u JOIN edges e ON e.source = u.node JOIN rest r ON r.id = e.target),
+own AS (SELECT node, min(seed) AS seed FROM up GROUP BY node), far AS (SELECT o.node, o.seed, min(d) AS d FROM own o JOIN up u ON u.node = o.node AND u.seed = o.seed GROUP BY ALL),
+base AS (SELECT seed, (SELECT max(depth) FROM bfs) + 1 + coalesce(sum(max(d) + 1) OVER (ORDER BY seed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM far GROUP BY seed),
+places AS (SELECT node, '' AS seed, depth AS distance, depth::BIGINT AS depth FROM bfs UNION ALL SELECT node, seed, d, (base + d)::BIGINT FROM far JOIN base USING (seed))"""
+
 
 def _root(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(_id("region", F.lit(0)).alias("node"))
@@ -265,9 +271,10 @@ def reachable(spark, sf_dir):
     return traverse.reachable(written(commerce(spark, sf_dir).edges), _root(spark))[0].select("node")
 
 
-@query(f"WITH RECURSIVE {GRAPH}, {DEPTHS} SELECT node, depth::INT AS depth FROM bfs")
+@query(f"WITH RECURSIVE {GRAPH}, {SEARCHED} SELECT node, depth FROM places")
 def bfs_depth(spark, sf_dir):
-    return traverse.bfs(written(commerce(spark, sf_dir).edges), _root(spark))
+    g = commerce(spark, sf_dir)
+    return traverse.searched(g.nodes, written(g.edges), _root(spark)).select("node", "depth")
 
 
 @query(f"WITH RECURSIVE {GRAPH}, {DEPTHS} SELECT id FROM nodes WHERE id NOT IN (SELECT node FROM bfs)")
@@ -290,17 +297,30 @@ _PART = _sid("part", "1")
 
 @query(f"""WITH RECURSIVE {GRAPH}, parent AS (SELECT target, arg_min(source, id) AS source, min(id) AS id, count(*) - 1 AS alternates FROM edges GROUP BY target),
 walk(node, step) AS (SELECT {_PART}, 0 UNION ALL SELECT p.source, step + 1 FROM walk w JOIN parent p ON p.target = w.node)
-SELECT node, p.id AS edge, coalesce(alternates, 0)::INT AS alternates FROM walk LEFT JOIN parent p ON p.target = node""")
+SELECT step::BIGINT AS step, node, p.id AS edge, coalesce(alternates, 0)::INT AS alternates, false AS back FROM walk LEFT JOIN parent p ON p.target = node""")
 def focus_path(spark, sf_dir):
-    selected = spark.range(1).select(_id("part", F.lit(1))).first()[0]
-    path, _ = traverse.focus(commerce(spark, sf_dir).edges, selected)
-    return spark.createDataFrame(path, "node string, edge string, alternates int")
+    return traverse.focus(written(commerce(spark, sf_dir).edges), spark.range(1).select(_id("part", F.lit(1)).alias("node")))
+
+
+_CHOSEN = """(SELECT max(id) FROM edges WHERE target = (SELECT min(target) FROM edges WHERE kind = 'carries'))"""
 
 
-@query(f"WITH {GRAPH} SELECT layer, n.id, (SELECT count(*) FROM edges e WHERE e.target = n.id) AS n_in, (SELECT count(*) FROM edges e WHERE e.source = n.id) AS n_out FROM nodes n")
+@query(f"""WITH RECURSIVE {GRAPH}, parent AS (SELECT target, arg_min(source, (id <> {_CHOSEN}, id)) AS source, arg_min(id, (id <> {_CHOSEN}, id)) AS id, count(*) - 1 AS alternates FROM edges GROUP BY target),
+walk(node, step) AS (SELECT (SELECT target FROM edges WHERE id = {_CHOSEN}), 0 UNION ALL SELECT p.source, step + 1 FROM walk w JOIN parent p ON p.target = w.node)
+SELECT step::BIGINT AS step, node, p.id AS edge, coalesce(alternates, 0)::INT AS alternates, false AS back FROM walk LEFT JOIN parent p ON p.target = node""")
+def focus_edge(spark, sf_dir):
+    edges = written(commerce(spark, sf_dir).edges)
+    target = edges.filter("kind = 'carries'").agg(F.min("target").alias("node"))
+    edge = edges.join(target, F.col("target") == F.col("node")).agg(F.max("id")).first()[0]
+    return traverse.focus(edges, target, edge)
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {DEPTHS} SELECT layer, n.id, coalesce((SELECT list(id ORDER BY id) FROM edges e WHERE e.target = n.id), []) AS incoming,
+coalesce((SELECT list(id ORDER BY id) FROM edges e WHERE e.source = n.id), []) AS outgoing FROM nodes n WHERE n.id IN (SELECT node FROM bfs)""")
 def flow_layers(spark, sf_dir):
     g = commerce(spark, sf_dir)
-    return project.flow_layers(g.nodes, written(g.edges))
+    edges = written(g.edges)
+    return project.flow_layers(g.nodes, edges, traverse.bfs(edges, _root(spark)))
 
 
 _PLACE = "CASE layer WHEN 'frontend' THEN 1 WHEN 'http' THEN 2 WHEN 'backend' THEN 3 WHEN 'data' THEN 4 WHEN 'external' THEN 5 ELSE 6 END"
@@ -313,10 +333,11 @@ def flow_edges(spark, sf_dir):
     return project.counts(project.flow_edges(g.nodes, g.edges), "source_layer", "target_layer")
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, {DEPTHS}
-SELECT node, depth::INT AS depth, (28 + 260 * depth)::BIGINT AS x, (28 + 92 * (row_number() OVER (PARTITION BY depth ORDER BY node) - 1))::BIGINT AS y FROM bfs""")
+@query(f"""WITH RECURSIVE {GRAPH}, {SEARCHED}
+SELECT node, depth, (28 + 260 * depth)::BIGINT AS x, (28 + 92 * (row_number() OVER (PARTITION BY depth ORDER BY node) - 1))::BIGINT AS y FROM places""")
 def layout(spark, sf_dir):
-    return traverse.layout(written(commerce(spark, sf_dir).edges), _root(spark))
+    g = commerce(spark, sf_dir)
+    return traverse.layout(g.nodes, written(g.edges), _root(spark))
 
 
 @query("SELECT p_partkey AS id, p_name AS name, (row_number() OVER w)::INT AS occurrence, count(*) OVER (PARTITION BY p_name) AS occurrences FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)")
@@ -454,7 +475,12 @@ def diag_catalog_join(spark, sf_dir):
     return project.counts(d.join(F.broadcast(diagnostic_catalog(spark)), "code", "left"), "code", "severity")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, {SEARCHED}, keys(node, seed, distance, key) AS (SELECT node, seed, distance, '' FROM places WHERE distance = 0
+UNION ALL SELECT p.node, p.seed, p.distance, k.key || e.id FROM keys k JOIN edges e ON e.source = k.node JOIN places p ON p.node = e.target AND p.seed = k.seed AND p.distance = k.distance + 1),
+ordered AS (SELECT node, row_number() OVER (ORDER BY seed, distance, min(key), node) AS major FROM keys GROUP BY node, seed, distance),
+listed AS (SELECT 'node' AS kind, node AS id, depth, major, '' AS minor FROM ordered JOIN places USING (node) UNION ALL
+SELECT 'edge', e.id, depth, major, e.id FROM edges e JOIN ordered o ON o.node = e.source JOIN places p ON p.node = e.source)
+SELECT kind, id, depth, row_number() OVER (ORDER BY major, minor) AS rank FROM listed""")
 def outline(spark, sf_dir):
     g = commerce(spark, sf_dir)
     return traverse.outline(g.nodes, written(g.edges), _root(spark))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,17 +90,58 @@ def edges(spark, rows=GRAPH):
 def test_traversal(spark):
     e, root = edges(spark), spark.createDataFrame([("root",)], "node string")
     assert {(r.node, r.depth) for r in traverse.bfs(e, root).collect()} == {("root", 0), ("a", 1), ("b", 1), ("c", 2)}
-    assert traverse.focus(e, "c") == ([("root", None, 0), ("b", "e-20", 0), ("c", "e-30", 1)], None)
-    cycle = edges(spark, [("1", "a", "b"), ("2", "b", "a")])
-    assert traverse.focus(cycle, "a")[1] is not None and traverse.bfs(cycle, spark.createDataFrame([("a",)], "node string")).count() == 2
-    assert {(r.node, r.x, r.y) for r in traverse.layout(e, root).collect()} == {("root", 28, 28), ("a", 288, 28), ("b", 288, 120), ("c", 548, 28)}
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    walk = lambda *a: [tuple(r) for r in traverse.focus(*a).orderBy("step").collect()]
+    assert walk(e, one("c")) == [(0, "c", "e-30", 1, False), (1, "b", "e-20", 0, False), (2, "root", None, 0, False)]
+    assert walk(e, one("c"), "e-40") == [(0, "c", "e-40", 1, False), (1, "a", "e-10", 0, False), (2, "root", None, 0, False)]
+    cycle = edges(spark, [("1", "a", "b"), ("2", "b", "a"), ("3", "a", "c"), ("4", "c", "d")])
+    assert walk(cycle, one("d")) == [(0, "d", "4", 0, False), (1, "c", "3", 0, False), (2, "a", "2", 0, False), (3, "b", "1", 0, True)]
+    assert traverse.bfs(cycle, one("a")).count() == 4 and traverse.bfs(cycle, root.limit(0)).count() == 0
     nodes = spark.createDataFrame([(n,) for n in ("root", "a", "b", "c", "x", "y")], "id string")
+    assert {(r.node, r.x, r.y) for r in traverse.layout(nodes, e, root).collect()} == {("root", 28, 28), ("a", 288, 28), ("b", 288, 120), ("c", 548, 28), ("x", 808, 28), ("y", 1068, 28)}
     listed = [r.id for r in traverse.outline(nodes, e, root).orderBy("rank").collect()]
     assert listed == ["root", "e-10", "e-20", "a", "e-40", "b", "e-30", "c", "x", "e-50", "y"]
     scope = traverse.route_scope(e, root, spark.createDataFrame([], "node string"))[0]
     assert {r.node for r in scope.collect()} == {"root", "a", "c"}
 
 
+def test_long_chains_are_not_cut(spark):
+    chain = edges(spark, [(f"e{i:03}", f"n{i:03}", f"n{i + 1:03}") for i in range(40)])
+    assert traverse.bfs(chain, spark.createDataFrame([("n000",)], "node string")).count() == 41
+    assert traverse.focus(chain, spark.createDataFrame([("n040",)], "node string")).count() == 41
+
+
+def test_search_of_all_components_against_one_seed_after_another(spark):
+    r = random.Random(2)
+    names = [f"n{i:02}" for i in range(40)]
+    arcs = [(f"e{i:02}", r.choice(names), r.choice(names)) for i in range(45)]
+    e, nodes, root = edges(spark, arcs), spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame([("n07",)], "node string")
+    depth, listed, deepest = {}, [], -1
+    for seed in ["n07", *names]:
+        if seed in depth:
+            continue
+        base = deepest + 1 if depth else 0
+        depth[seed], queue = base, [seed]
+        for at in queue:
+            deepest = max(deepest, depth[at])
+            listed.append(at)
+            for edge, s, t in sorted(arcs):
+                if s == at:
+                    listed.append(edge)
+                    if t not in depth:
+                        depth[t] = depth[at] + 1
+                        queue.append(t)
+    assert {(x.node, x.depth) for x in traverse.searched(nodes, e, root).collect()} == set(depth.items())
+    assert [x.id for x in traverse.outline(nodes, e, root).orderBy("rank").collect()] == listed
+
+
+def test_ids_escape_as_json_does(spark):
+    parts = ["plain", 'q"\\/', "tab\t\n\r\b\f", "\x01\x1f\x7f", "é ß", "日本", "😀 \u2028", "", " ~"]
+    df = spark.createDataFrame([(p, "x") for p in parts] + [(None, "x")], "a string, b string")
+    got = {r.a: r.id for r in df.select("a", identity.stable_id("n_", F.col("a"), F.col("b")).alias("id")).collect()}
+    assert got == {p: "n_" + hashlib.sha256(json.dumps([p, "x"], separators=(",", ":")).encode()).hexdigest() for p in parts} | {None: None}
+
+
 def test_merge_and_validation(spark):
     e = edges(spark)
     kept, conflicts = merge.dedup_conflict(merge.union(e, e, e.limit(1).withColumn("kind", F.lit("renders"))))
