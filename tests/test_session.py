@@ -3,7 +3,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from flowloom.plans.lineage import written
+from flowloom.plans.lineage import scratch, settled, written
 from flowloom.plans.ranking import numbered
 
 
@@ -49,3 +49,18 @@ def test_numbered_with_running_sums(spark):
         total += v
     assert got == want
     assert numbered(spark.range(0), "id").count() == 0
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    on_the_way = []
+
+    def make():
+        on_the_way.append(written(spark.range(4)))
+        return settled(spark, lambda: on_the_way[0].filter("id > 0")).filter("id > 1")
+
+    with scratch(spark):
+        out = settled(spark, make)
+        assert sorted(r.id for r in out.collect()) == [2, 3]
+        files = [f.removeprefix("file://") for f in out.inputFiles()]
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in on_the_way[0].inputFiles()) and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
