@@ -126,6 +126,27 @@ class Items:
                         best[k] = s, int(part[i]), long
 
 
+def _searches(benchmark: DataFrame, size: int, similar: float, part: int):
+    """(placed, searches, n): distinct item texts with a number k; for each of n parts of them a function of a text to what it holds."""
+    items = benchmark.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    sized = items.withColumn("bytes", F.octet_length("text").cast("long"))
+    placed = written(numbered(sized, "text", name="k", before={"before": "bytes"}).select("k", "text", F.floor(F.col("before") / part).alias("part")))
+
+    def one(at: int):
+        rows = [(r["k"], r["text"]) for r in placed.filter(F.col("part") == at).collect()]
+
+        @F.pandas_udf(FOUND)
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            index = Items(rows, size, similar)
+            for batch in batches:
+                yield batch.map(index.found)
+
+        return of
+
+    parts = [r["part"] for r in placed.select("part").distinct().orderBy("part").toLocalIterator()]
+    return placed, (one(at) for at in parts), len(parts)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similar: float = SIMILAR, part: int = PART) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words) for each document and benchmark item that it holds.
 
@@ -142,23 +163,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, simila
     items are gone through in parts of about ``part`` bytes, one after the other, so that
     neither the driver nor a task holds more of any benchmark.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    distinct = items.groupBy("text").agg(F.count("*").alias("n")).select("text", F.octet_length("text").cast("long").alias("bytes"))
-    placed = written(numbered(distinct, "text", name="k", before={"before": "bytes"}).select("k", "text", F.floor(F.col("before") / part).alias("part")))
+    placed, searches, n = _searches(benchmark, size, similar, part)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     ids = items.join(placed, "text").select("k", "item_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = []
+    for of in searches:
+        here = texts.select("doc_id", F.explode(of("text")).alias("f")).select("doc_id", "f.*")
+        found.append(here if n == 1 else written(here))
+    if not found:
+        return texts.limit(0).selectExpr("doc_id", "0L as item_id", "0D as similarity", "0L as first_word", "0L as n_words")
+    return reduce(DataFrame.union, found).join(ids, "k").select("doc_id", "item_id", "similarity", "first_word", "n_words")
 
-    def one(at: int) -> DataFrame:
-        rows = [(r["k"], r["text"]) for r in placed.filter(F.col("part") == at).collect()]
-
-        @F.pandas_udf(FOUND)
-        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Items(rows, size, similar)
-            for batch in batches:
-                yield batch.map(index.found)
-
-        return texts.select("doc_id", F.explode(of("text")).alias("f")).select("doc_id", "f.*")
 
-    parts = [r["part"] for r in placed.select("part").distinct().orderBy("part").toLocalIterator()]
-    found = [one(at) if len(parts) == 1 else written(one(at)) for at in parts] or [texts.limit(0).selectExpr("doc_id", "0L as k", "0D as similarity", "0L as first_word", "0L as n_words")]
-    return reduce(DataFrame.union, found).join(ids, "k").select("doc_id", "item_id", "similarity", "first_word", "n_words")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similar: float = SIMILAR, part: int = PART) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, as ``contaminated`` tells; each row is judged by itself."""
+    _, searches, n = _searches(benchmark, size, similar, part)
+    for of in searches:
+        docs = docs.filter(F.size(of(F.col("text").cast("string"))) == 0)
+        if n > 1:
+            docs = written(docs)
+    return docs

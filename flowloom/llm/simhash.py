@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.components import components
 from flowloom.llm.text import words
-from flowloom.plans.lineage import written
+from flowloom.plans.lineage import settled, written
 
 BITS = 64
 #: A bucket of at most so many fingerprints is compared in one task; a larger one is split by the next level of masks.
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     """
     fps = written(fingerprints(docs, size))
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes, radius)).toDF("fp", "root")
+    roots = settled(nodes.sparkSession, lambda: components(links(nodes, radius)).toDF("fp", "root"))
     placed = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(named, "root").select("fp", "component_id")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.plans.lineage import written
+from flowloom.plans.lineage import settled, written
 
 LENGTH, GRAM = 100, 32
 #: Windows of a text that are hashed at once; longer texts go piece by piece.
@@ -388,7 +388,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"), F.xxhash64(data).alias("mark"))
     source = source.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    windows = repeated_windows(source.select("doc", "mark", "data"), length, gram, hot, ranged, piece, together)
+    windows = settled(docs.sparkSession, lambda: repeated_windows(source.select("doc", "mark", "data"), length, gram, hot, ranged, piece, together))
     marked = windows.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
