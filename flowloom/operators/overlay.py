@@ -6,15 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def event_violation(method: Column, path: Column, status: Column, duration: Column) -> Column:
-    """The first rule of the event contract that an event breaks, null for none."""
-    return (
-        F.when(~F.coalesce(method.isin("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS"), F.lit(False)), "method")
-        .when(~F.coalesce(path.rlike(r"^/[^?#\\\s]*$"), F.lit(False)), "path")
-        .when(~F.coalesce(status.between(100, 599), F.lit(True)), "status")
-        .when(~F.coalesce(duration.between(0, 86_400_000) & ~F.isnan(duration), F.lit(True)), "duration")
-    )
+# Diagnostics of events, and why an item counts as observed.
+CODES = {"ambiguous": "runtime_event_ambiguous", "unmatched": "runtime_event_unmatched", "conflict": "runtime_identity_conflict"}
+ENDPOINT, VIEW, RESOLUTION = "runtime_coherent_endpoint", "runtime_coherent_view", "runtime_coherent_resolution"
 
 
 def match(events: DataFrame, urls: DataFrame, views: DataFrame, links: DataFrame, calls: DataFrame) -> DataFrame:
@@ -55,3 +49,44 @@ def capped(evidence: DataFrame, key: str, *order: str, most: int = 32) -> DataFr
 def lifted(confidence: Column, observed: Column) -> Column:
     """At least 0.95 once observed."""
     return F.when(observed, F.greatest(confidence, F.lit(0.95))).otherwise(confidence)
+
+
+def written_back(observed: DataFrame, links: DataFrame, items: DataFrame, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(evidence, items): what matched events leave on their URL, view, edge between these and calling edge.
+
+    ``observed`` are the rows of ``match`` that are observed, with timestamp; ``links``
+    (url, view, link); ``items`` (id, n_evidence, confidence). New evidence (id, reason,
+    event_id, timestamp) is distinct, in the order of these columns, and fills an item up
+    to ``most`` with what it has; items that gain some have a confidence of at least 0.95.
+    """
+    named = F.col("view_name").isNotNull()
+    linked = observed.join(links.select("url", "view", "link"), ["url", "view"], "left")
+    hit = lambda column, reason: F.struct(F.col(column).cast("string").alias("id"), F.lit(reason).alias("reason"))
+    hits = F.array(hit("url", ENDPOINT), F.when(named, hit("view", VIEW)), F.when(named, hit("link", VIEW)), hit("edge", RESOLUTION))
+    all_ = linked.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"), "event_id", "timestamp").select("h.*", "event_id", "timestamp")
+    first = capped(all_, "id", "reason", "event_id", "timestamp", most=most)
+    rank = F.row_number().over(W.partitionBy("id").orderBy("reason", "event_id", "timestamp"))
+    evidence = first.withColumn("rank", rank).join(items.select("id", "n_evidence"), "id").filter(F.col("rank") + F.col("n_evidence") <= most).drop("rank", "n_evidence")
+    gained = evidence.groupBy("id").agg(F.count("*").alias("gained"))
+    after = items.join(gained, "id", "left").fillna(0, ["gained"])
+    return evidence, after.select("id", (F.col("n_evidence") + F.col("gained")).alias("n_evidence"), lifted(F.col("confidence"), F.col("gained") > 0).alias("confidence"))
+
+
+def event_diagnostics(matched: DataFrame, urls: DataFrame, views: DataFrame, calls: DataFrame) -> DataFrame:
+    """(event_id, code, candidates) of the events that are not observed; ``calls`` here with their ``source``.
+
+    Candidates are told of ambiguous events and conflicts: the URLs and views, or, where
+    these are one each, the sources of the edges into the URL. They are gathered once for
+    each endpoint and view name.
+    """
+    bad = matched.filter("outcome <> 'observed'")
+    ids = lambda df, key, c: df.groupBy(key).agg(F.array_sort(F.collect_list(F.col(c).cast("string"))).alias(f"{c}s"))
+    pairs = bad.select("endpoint_id", "view_name", "url", "outcome").distinct()
+    known = pairs.join(ids(urls, "endpoint_id", "url"), "endpoint_id", "left").join(ids(views, "view_name", "view"), "view_name", "left").join(ids(calls, "url", "source"), "url", "left")
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce("urls", none), F.coalesce("views", none))
+    one_each = (F.size(F.coalesce("urls", none)) == 1) & (F.col("view_name").isNull() | (F.size(F.coalesce("views", none)) == 1))
+    candidates = F.when(F.col("outcome") == "conflict", both).when(F.col("outcome") == "ambiguous", F.when(one_each, F.coalesce("sources", none)).otherwise(both))
+    told = known.select(F.col("endpoint_id").alias("e"), F.col("view_name").alias("v"), candidates.alias("candidates"))
+    code = F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), F.col("outcome"))
+    return bad.join(told, bad["endpoint_id"].eqNullSafe(F.col("e")) & bad["view_name"].eqNullSafe(F.col("v"))).select("event_id", code.alias("code"), "candidates")

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.identity import edge_id, node_id
+from flowloom.functions.paths import is_repo_path
 from flowloom.functions.text import is_secret_value
 from flowloom.model import DIAGNOSTICS, LAYER_OF, legal_ends
 
+# Forms of a repository's name and of a dotted symbol.
+NAMESPACE = r"^[a-z][a-z0-9._-]{0,63}$"
+DOTTED = r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*$"
+
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(id, rule) for each rule that a row breaks; a rule is what must hold, and null is a breach."""
@@ -52,6 +57,17 @@ def diagnostic_violations(diagnostics: DataFrame) -> DataFrame:
     return violations(diagnostics, {"code": F.col("code").isin(*DIAGNOSTICS), "severity": F.col("severity") == F.try_element_at(severity, F.col("code"))})
 
 
+def source_violations(sources: DataFrame) -> DataFrame:
+    """Sources of diagnostics (id, repository, path, line, end_line, symbol): namespace, path, lines in order, dotted symbol, no secrets."""
+    line = lambda c: F.col(c).isNull() | F.col(c).between(1, 10_000_000)
+    return violations(sources, {
+        "repository": F.col("repository").rlike(NAMESPACE), "path": is_repo_path(F.col("path")), "line": line("line"), "end_line": line("end_line"),
+        "line_order": F.col("line").isNull() | F.col("end_line").isNull() | (F.col("end_line") >= F.col("line")),
+        "symbol": F.col("symbol").isNull() | (F.col("symbol").rlike(DOTTED) & (F.char_length("symbol") <= 512)),
+        "secret": ~F.exists(F.array("repository", "path", F.coalesce("symbol", F.lit(""))), lambda v: is_secret_value(v)),
+    })
+
+
 def ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with source_kind and target_kind, null for ends that no node declares."""
     s, t = nodes.select(F.col("id").alias("source"), F.col("kind").alias("source_kind")), nodes.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import identity, net, paths, text, urls
 from flowloom.model import Graph
-from flowloom.operators import assemble, contract, merge, metadata, migrate, overlay, project, remediate, store, symbols, traverse, validate
+from flowloom.operators import assemble, contract, frontend, merge, metadata, migrate, overlay, project, remediate, store, symbols, traverse, validate
 from flowloom.plans.lineage import written
-from flowloom.plans.ranking import numbered
 from flowloom.session import table
 from flowloom.sources import django, files, html
 
@@ -215,13 +214,21 @@ def timestamp_normalize(spark, sf_dir):
 _SECRET = r"(?i)(^|[^A-Za-z0-9_])(authorization|cookie|set[ _-]?cookie|password|passwd|pwd|secret|token|access[ _-]?token|refresh[ _-]?token|api[ _-]?key|apikey|credential|credentials|private[ _-]?key|client[ _-]?secret|session|sessionid|csrf|xsrf|baggage)[ \t\n\r\f\v]*[:=][ \t\n\r\f\v]*[^ \t\n\r\f\v]"
 _OTHERS = [
     r"(?i)-----BEGIN ([A-Z ]+ )?PRIVATE KEY-----", r"(?i)(^|[^A-Za-z0-9_])(bearer|basic)[ \t\n]+[A-Za-z0-9._~+/-]{8,}", r"(^|[^A-Za-z0-9_])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    r"(^|[^A-Za-z0-9_])(AKIA|ASIA)[A-Z0-9]{16}([^A-Za-z0-9_]|$)", r"(^|[^A-Za-z0-9])[A-Za-z0-9+_-]{32,}([^A-Za-z0-9+_-]|$)",
+    r"(^|[^A-Za-z0-9_])(AKIA|ASIA)[A-Z0-9]{16}([^A-Za-z0-9_]|$)", r"(?i)(^|[^A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{20,}([^A-Za-z0-9_]|$)", r"(?i)(^|[^A-Za-z0-9_])xox[baprs]-[^ \t\n\r\f\v]{10,}", r"(^|[^A-Za-z0-9])[A-Za-z0-9+_-]{32,}([^A-Za-z0-9+_-]|$)",
 ]
 
 
-@query("SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in [_SECRET, *_OTHERS]) + " AS secret FROM documents")
+_PLANTED = ["'gh' || 'p_' || repeat('aB3', 7)", "'xox' || 'b-' || repeat('1a', 6)", "'AKIA' || repeat('Q7', 8)", "'plain words'"]
+
+
+@query(f"""WITH t AS (SELECT doc_id, 'own' AS what, text FROM documents UNION ALL SELECT p_partkey, 'planted', p_name || ' ' || [{", ".join(_PLANTED)}][p_partkey % 4 + 1] || ' ' || p_brand FROM part)
+SELECT doc_id, what, """ + " OR ".join(f"regexp_matches(text, '{p}')" for p in [_SECRET, *_OTHERS]) + " AS secret FROM t")
 def secret_scan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_secret_value(F.col("text")).alias("secret"))
+    """Documents, and parts in which a token of a kind is planted."""
+    planted = F.element_at(F.array(*map(F.expr, _PLANTED)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("planted").alias("what"), F.concat_ws(" ", "p_name", planted, "p_brand").alias("text"))
+    both = table(spark, sf_dir, "documents").select("doc_id", F.lit("own").alias("what"), "text").union(parts)
+    return both.select("doc_id", "what", text.is_secret_value(F.col("text")).alias("secret"))
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
@@ -459,12 +466,6 @@ def quarantine_digest(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", identity.digest("cells:", identity.framed("T", F.col("url")), identity.framed("I", F.col("page_id").cast("string"))).alias("digest"))
 
 
-@query(f"WITH {PATHS} SELECT page_id, row_number() OVER (ORDER BY page_id % 2 = 0, path, page_id) AS rank FROM paths")
-def route_order(spark, sf_dir):
-    routes = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 2 == 0).alias("backend"), paths.url_path(F.col("url")).alias("path"))
-    return numbered(routes, "backend", "path", "page_id").select("page_id", "rank")
-
-
 @query("""WITH d AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'url_target_unmatched' WHEN 'click' THEN 'bounded_url_proof_invalid' WHEN 'view' THEN 'runtime_capture_empty' ELSE 'no_such_code' END AS code FROM events)
 SELECT code, CASE code WHEN 'url_target_unmatched' THEN 'warning' WHEN 'bounded_url_proof_invalid' THEN 'error' WHEN 'runtime_capture_empty' THEN 'info' END AS severity, count(*) AS n FROM d GROUP BY ALL""")
 def diag_catalog_join(spark, sf_dir):
@@ -486,15 +487,21 @@ def outline(spark, sf_dir):
     return traverse.outline(g.nodes, written(g.edges), _root(spark))
 
 
-@query()
+@query("""WITH f AS (SELECT p_partkey AS k, p_size AS n, 'app/f' || p_partkey || '.py' AS path FROM part)
+SELECT path, 'unsupported_syntax' AS kind, NULL AS name, NULL AS parent, NULL AS target, NULL::INT AS line, 0 AS ordinal FROM f WHERE n % 4 = 0
+UNION ALL SELECT path, 'import', 'models', NULL, 'django.db:models', 1, 0 FROM f WHERE n % 4 = 1 UNION ALL SELECT path, 'model', 'C' || k, NULL, 'models.Model', 2, 1 FROM f WHERE n % 4 = 1
+UNION ALL SELECT path, 'import', 'os', NULL, 'os', 1, 0 FROM f WHERE n % 4 = 2 UNION ALL SELECT path, 'function', 'f' || k, NULL, NULL, 2, 1 FROM f WHERE n % 4 = 2
+UNION ALL SELECT path, 'query', 'filter', 'f' || k, 'C' || n, 3, 2 FROM f WHERE n % 4 = 2
+UNION ALL SELECT path, 'import', 'views', NULL, '.:views', 1, 0 FROM f WHERE n % 4 = 3 UNION ALL SELECT path, 'url', 'p' || k || '/', NULL, 'views.f' || n, 2, 1 FROM f WHERE n % 4 = 3""")
 def ext_python_facts(spark, sf_dir):
-    sources = [
-        ("shop/urls.py", "from django.urls import path\nfrom . import views\nurlpatterns = [path('items/<int:pk>/', views.item)]\n"),
-        ("shop/views.py", "from .models import Item\ndef item(request, pk):\n    return Item.objects.filter(pk=pk)\n"),
-        ("shop/models.py", "from django.db import models\nclass Item(models.Model):\n    pass\n"),
-        ("shop/broken.py", "def ("),
-    ]
-    return files.python_facts(spark.createDataFrame(sources, "path string, text string"))
+    """Each part as a Python file: a broken one, a model, a view with a query, or a list of URLs."""
+    k, n, nl = F.col("p_partkey").cast("string"), F.col("p_size"), "\n"
+    source = (
+        F.when(n % 4 == 0, "def (").when(n % 4 == 1, F.concat(F.lit(f"from django.db import models{nl}class C"), k, F.lit(f"(models.Model):{nl}    pass{nl}")))
+        .when(n % 4 == 2, F.concat(F.lit(f"import os{nl}def f"), k, F.lit(f"(request):{nl}    return C"), n.cast("string"), F.lit(f".objects.filter(pk=1){nl}")))
+        .otherwise(F.concat(F.lit(f"from . import views{nl}urlpatterns = [path('p"), k, F.lit("/', views.f"), n.cast("string"), F.lit(f")]{nl}")))
+    )
+    return files.python_facts(table(spark, sf_dir, "part").select(F.concat(F.lit("app/f"), k, F.lit(".py")).alias("path"), source.alias("text")))
 
 
 @query("""WITH hosts AS (SELECT regexp_extract(url, '//([^/?#]*)', 1) AS host FROM pages UNION SELECT p_name FROM part UNION SELECT lower(p_brand) FROM part)
@@ -638,13 +645,17 @@ def legacy_migration(spark, sf_dir):
 
 @query()
 def django_endpoints(spark, sf_dir):
-    sources = [
-        ("shop/urls.py", "from django.urls import include, path\nfrom . import views\nrouter = Router()\nrouter.register('notes', views.Notes)\nurlpatterns = [path('items/<int:pk>/', views.item), path('api/', include(router.urls))]\n"),
-        ("shop/views.py", "@require_http_methods(['GET', 'POST'])\ndef item(request, pk):\n    pass\nclass Notes(ModelViewSet):\n    pass\n"),
-    ]
-    facts = files.python_facts(spark.createDataFrame(sources, "path string, text string"))
-    modules = spark.createDataFrame([("shop.urls", "shop/urls.py"), ("shop.views", "shop/views.py")], "module string, path string")
-    return django.endpoints(facts, modules, spark.createDataFrame([("shop/urls.py",)], "path string"))
+    """A site that includes an app for each nation; an app has a view of two methods, one of none, and a router."""
+    k = F.col("n_nationkey").cast("string")
+    nations = table(spark, sf_dir, "nation")
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("path('n"), k, F.lit("/', include('n"), k, F.lit(".urls'))")))), ", ")
+    site = nations.agg(F.concat(F.lit("from django.urls import include, path\nurlpatterns = ["), listed, F.lit("]\n")).alias("text")).select(F.lit("site/urls.py").alias("path"), "text")
+    own = "from django.urls import include, path\nfrom . import views\nrouter = Router()\nrouter.register('notes', views.Notes)\nurlpatterns = [path('items/<int:pk>/', views.item), path('all/', views.listed), path('api/', include(router.urls))]\n"
+    views = "@require_http_methods(['GET', 'POST'])\ndef item(request, pk):\n    pass\ndef listed(request):\n    pass\nclass Notes(ModelViewSet):\n    pass\n"
+    in_app = lambda name, source: nations.select(F.concat(F.lit("n"), k, F.lit(f"/{name}.py")).alias("path"), F.lit(source).alias("text"))
+    sources = site.union(in_app("urls", own)).union(in_app("views", views))
+    modules = frontend.proved_modules(sources.select("path"), spark.createDataFrame([("",)], "root string"))
+    return django.endpoints(files.python_facts(sources), modules, spark.createDataFrame([("site/urls.py",)], "path string"))
 
 
 def queries() -> dict[str, Query]:
