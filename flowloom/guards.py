@@ -62,4 +62,4 @@ def schema_faults(found: StructType, expected: StructType) -> list[str]:
     """Columns of ``expected`` that ``found`` lacks, has with another type, or has beyond them; nullability, which Parquet does not keep, is not compared."""
     types = lambda schema: {f.name: f.dataType.simpleString() for f in schema}
     a, b = types(found), types(expected)
-    return sorted(f"missing {n}" for n in b.keys() - a.keys()) + sorted(f"unknown {n}" for n in a.keys() - b.keys()) + sorted(f"type {n}" for n in a.keys() & b.keys() if a[n] != b[n])
+    return sorted([f"missing {n}" for n in b.keys() - a.keys()] + [f"type {n}" for n in a.keys() & b.keys() if a[n] != b[n]] + [f"unknown {n}" for n in a.keys() - b.keys()])
