@@ -14,16 +14,76 @@ LAYER_OF = {
 }
 LAYERS = ("frontend", "http", "backend", "data", "external", "unresolved")
 LEGAL_ENDS = {
-    "renders": "frontend_route>page frontend_route>component page>component component>component",
-    "contains": "page>ui_event component>ui_event page>function component>function",
-    "handles": "ui_event>function ui_event>unresolved_target",
-    "navigates_to": "page>frontend_route component>frontend_route function>frontend_route page>unresolved_target component>unresolved_target function>unresolved_target",
-    "calls": "page>http_call component>http_call function>http_call page>function component>function function>function django_view>function function>external_service django_view>external_service page>unresolved_target component>unresolved_target function>unresolved_target django_view>unresolved_target",
-    "carries": "http_call>request_payload",
-    "resolves_to": "http_call>django_url_pattern http_call>external_service http_call>unresolved_target request_payload>django_url_pattern request_payload>external_service request_payload>unresolved_target django_url_pattern>django_view django_url_pattern>unresolved_target",
-    "invokes": "django_view>function function>function django_view>unresolved_target function>unresolved_target",
-    "accesses": "django_view>query_boundary function>query_boundary query_boundary>model query_boundary>unresolved_target",
-    "branches_to": "page>unresolved_target component>unresolved_target function>unresolved_target django_view>unresolved_target",
+    "renders": (
+        ("frontend_route", "page"),
+        ("frontend_route", "component"),
+        ("page", "component"),
+        ("component", "component"),
+    ),
+    "contains": (
+        ("page", "ui_event"),
+        ("component", "ui_event"),
+        ("page", "function"),
+        ("component", "function"),
+    ),
+    "handles": (
+        ("ui_event", "function"),
+        ("ui_event", "unresolved_target"),
+    ),
+    "navigates_to": (
+        ("page", "frontend_route"),
+        ("component", "frontend_route"),
+        ("function", "frontend_route"),
+        ("page", "unresolved_target"),
+        ("component", "unresolved_target"),
+        ("function", "unresolved_target"),
+    ),
+    "calls": (
+        ("page", "http_call"),
+        ("component", "http_call"),
+        ("function", "http_call"),
+        ("page", "function"),
+        ("component", "function"),
+        ("function", "function"),
+        ("django_view", "function"),
+        ("function", "external_service"),
+        ("django_view", "external_service"),
+        ("page", "unresolved_target"),
+        ("component", "unresolved_target"),
+        ("function", "unresolved_target"),
+        ("django_view", "unresolved_target"),
+    ),
+    "carries": (
+        ("http_call", "request_payload"),
+    ),
+    "resolves_to": (
+        ("http_call", "django_url_pattern"),
+        ("http_call", "external_service"),
+        ("http_call", "unresolved_target"),
+        ("request_payload", "django_url_pattern"),
+        ("request_payload", "external_service"),
+        ("request_payload", "unresolved_target"),
+        ("django_url_pattern", "django_view"),
+        ("django_url_pattern", "unresolved_target"),
+    ),
+    "invokes": (
+        ("django_view", "function"),
+        ("function", "function"),
+        ("django_view", "unresolved_target"),
+        ("function", "unresolved_target"),
+    ),
+    "accesses": (
+        ("django_view", "query_boundary"),
+        ("function", "query_boundary"),
+        ("query_boundary", "model"),
+        ("query_boundary", "unresolved_target"),
+    ),
+    "branches_to": (
+        ("page", "unresolved_target"),
+        ("component", "unresolved_target"),
+        ("function", "unresolved_target"),
+        ("django_view", "unresolved_target"),
+    ),
 }
 DIAGNOSTICS = {
     "frontend_analyzer_unavailable": "warning", "frontend_analyzer_failed": "error", "frontend_analyzer_invalid_output": "error", "source_read_failed": "warning",
@@ -58,7 +118,7 @@ EVIDENCE = "array<struct<kind:string,adapter:string,adapter_version:string,event
 
 def legal_ends(spark: SparkSession) -> DataFrame:
     """(kind, source_kind, target_kind), 50 rows."""
-    rows = [(kind, *pair.split(">")) for kind, pairs in LEGAL_ENDS.items() for pair in pairs.split()]
+    rows = [(kind, *pair) for kind, pairs in LEGAL_ENDS.items() for pair in pairs]
     return spark.createDataFrame(rows, "kind string, source_kind string, target_kind string")
 
 

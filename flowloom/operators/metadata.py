@@ -30,19 +30,19 @@ SENSITIVE_TRACE = r"(?i)token|cookie|password|secret|credential|private[_-]?key|
 TRACE_MEMBER = r"^[a-z0-9][a-z0-9_*/-]{0,255}=[\x20-\x2b\x2d-\x3c\x3e-\x7e]{1,256}\z"
 PLACEHOLDER = r"^\{[pu]([0-9]|[12][0-9]|3[01])\}\z"
 FIELDS = {
-    "frontend_route": ("framework declared_path", ""),
-    "page": ("framework_owners", ""),
-    "component": ("framework_owners", ""),
-    "ui_event": ("framework_owners event_kind element_kind modifiers", ""),
-    "function": ("", "framework_owners python_qualified_name"),
-    "http_call": ("method url_resolution normalized_path query_field_count has_sensitive_query", "endpoint_id target_repository"),
-    "request_payload": ("payload_kinds body_shape body_field_count query_field_count has_sensitive_fields", ""),
-    "django_url_pattern": ("declared_path normalized_path endpoint_id converters", ""),
-    "django_view": ("", "python_qualified_name"),
-    "model": ("", "python_qualified_name"),
-    "query_boundary": ("operation", "model_qualified_name"),
-    "external_service": ("method scheme host path_present query_field_count has_sensitive_query boundary_only", "port"),
-    "unresolved_target": ("reason_code", "candidate_ids"),
+    "frontend_route": (("framework", "declared_path"), ()),
+    "page": (("framework_owners",), ()),
+    "component": (("framework_owners",), ()),
+    "ui_event": (("framework_owners", "event_kind", "element_kind", "modifiers"), ()),
+    "function": ((), ("framework_owners", "python_qualified_name")),
+    "http_call": (("method", "url_resolution", "normalized_path", "query_field_count", "has_sensitive_query"), ("endpoint_id", "target_repository")),
+    "request_payload": (("payload_kinds", "body_shape", "body_field_count", "query_field_count", "has_sensitive_fields"), ()),
+    "django_url_pattern": (("declared_path", "normalized_path", "endpoint_id", "converters"), ()),
+    "django_view": ((), ("python_qualified_name",)),
+    "model": ((), ("python_qualified_name",)),
+    "query_boundary": (("operation",), ("model_qualified_name",)),
+    "external_service": (("method", "scheme", "host", "path_present", "query_field_count", "has_sensitive_query", "boundary_only"), ("port",)),
+    "unresolved_target": (("reason_code",), ("candidate_ids",)),
 }
 #: Characters that a canonical path leaves as they are.
 PLAIN = string.ascii_letters + string.digits + "!$&'()*+,;=:@-._~"
@@ -95,15 +95,15 @@ def metadata_violations(nodes: DataFrame) -> DataFrame:
     Hosts of external services and converters of url patterns have rules of their own in ``contract``.
     """
     kind = F.col("kind")
-    names = dict.fromkeys(f for needed, free in FIELDS.values() for f in (needed + " " + free).split())
+    names = dict.fromkeys(f for needed, free in FIELDS.values() for f in (*needed, *free))
     c = {f: F.col(f) if f in nodes.columns else F.lit(None) for f in names}
     text = {f: v.cast("string") for f, v in c.items() if f not in ("framework_owners", "modifiers", "payload_kinds", "converters", "candidate_ids")}
     lists = {f: c[f].cast("array<string>") for f in ("framework_owners", "modifiers", "payload_kinds", "candidate_ids")}
     needed = F.lit(True)
     unknown = F.lit(True)
     for k, (must, may) in FIELDS.items():
-        needed = F.when(kind == k, _all(c[f].isNotNull() for f in must.split())).otherwise(needed)
-        unknown = F.when(kind == k, _all(c[f].isNull() for f in names if f not in f"{must} {may}".split())).otherwise(unknown)
+        needed = F.when(kind == k, _all(c[f].isNotNull() for f in must)).otherwise(needed)
+        unknown = F.when(kind == k, _all(c[f].isNull() for f in names if f not in (*must, *may))).otherwise(unknown)
     of = lambda *kinds: kind.isin(*kinds)
     given = lambda f: c[f].isNotNull()
     layer, counts = F.col("layer"), ("query_field_count", "body_field_count")

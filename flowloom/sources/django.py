@@ -16,13 +16,27 @@ from flowloom.plans.lineage import written
 
 # Methods of generic views, of view sets and of their actions.
 GENERIC_METHODS = {
-    "ListAPIView": "GET", "CreateAPIView": "POST", "ListCreateAPIView": "GET POST", "RetrieveAPIView": "GET", "RetrieveUpdateAPIView": "GET PUT PATCH",
-    "RetrieveDestroyAPIView": "GET DELETE", "RetrieveUpdateDestroyAPIView": "GET PUT PATCH DELETE", "UpdateAPIView": "PUT PATCH", "DestroyAPIView": "DELETE",
-    "ListView": "GET", "DetailView": "GET", "TemplateView": "GET", "RedirectView": "GET", "FormView": "GET POST", "CreateView": "GET POST", "UpdateView": "GET POST", "DeleteView": "GET POST",
-}
+    "ListAPIView": ("GET",),
+    "CreateAPIView": ("POST",),
+    "ListCreateAPIView": ("GET", "POST"),
+    "RetrieveAPIView": ("GET",),
+    "RetrieveUpdateAPIView": ("GET", "PUT", "PATCH"),
+    "RetrieveDestroyAPIView": ("GET", "DELETE"),
+    "RetrieveUpdateDestroyAPIView": ("GET", "PUT", "PATCH", "DELETE"),
+    "UpdateAPIView": ("PUT", "PATCH"),
+    "DestroyAPIView": ("DELETE",),
+    "ListView": ("GET",),
+    "DetailView": ("GET",),
+    "TemplateView": ("GET",),
+    "RedirectView": ("GET",),
+    "FormView": ("GET", "POST"),
+    "CreateView": ("GET", "POST"),
+    "UpdateView": ("GET", "POST"),
+    "DeleteView": ("GET", "POST"),
+}
 VIEWSET_METHODS = {
-    "ModelViewSet": {"collection": "GET POST", "detail": "GET PUT PATCH DELETE"},
-    "ReadOnlyModelViewSet": {"collection": "GET", "detail": "GET"},
+    "ModelViewSet": {"collection": ("GET", "POST"), "detail": ("GET", "PUT", "PATCH", "DELETE")},
+    "ReadOnlyModelViewSet": {"collection": ("GET",), "detail": ("GET",)},
 }
 ACTION_METHODS = {
     "list": ("collection", "GET"), "create": ("collection", "POST"), "retrieve": ("detail", "GET"),
@@ -83,12 +97,12 @@ def view_methods(facts: DataFrame) -> DataFrame:
 
     classes = facts.filter("kind in ('class', 'model')").select(F.col("path").alias("def_path"), F.col("name").alias("def_name"), F.posexplode_outer(F.split("target", ",")).alias("at", "base")).withColumn("base", _last(F.trim("base")))
     rows = [(b, "view", m) for b, m in GENERIC_METHODS.items()] + [(b, r, m) for b, roles in VIEWSET_METHODS.items() for r, m in roles.items()]
-    known = F.broadcast(spark.createDataFrame(rows, "base string, role string, methods string"))
+    known = F.broadcast(spark.createDataFrame(rows, "base string, role string, methods array<string>"))
     inherited = classes.join(known, "base").groupBy("def_path", "def_name", "role").agg(F.min_by("methods", "at").alias("methods"))
     own = facts.filter("kind = 'function' and parent is not null").select(F.col("path").alias("def_path"), F.col("parent").alias("def_name"), _last(F.col("name")).alias("child"))
     actions = F.broadcast(spark.createDataFrame([(a, r, m) for a, (r, m) in ACTION_METHODS.items()] + [(m, "view", m.upper()) for m in HTTP_METHODS], "child string, role string, method string"))
     members = own.join(classes.select("def_path", "def_name").distinct(), ["def_path", "def_name"], "left_semi").join(actions, "child").join(inherited, ["def_path", "def_name", "role"], "left_anti")
-    stated = inherited.select("def_path", "def_name", "role", F.explode(F.split("methods", " ")).alias("method"))
+    stated = inherited.select("def_path", "def_name", "role", F.explode("methods").alias("method"))
     return decorated.union(stated).union(members.select(*decorated.columns)).withColumn("method", F.upper("method")).distinct()
 
 
@@ -121,7 +135,7 @@ def included(facts: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFram
 
 
 def endpoints(facts: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFrame:
-    """(method, declared_path, normalized_path, def_path, def_name): the first declaration of each method and normalized path.
+    """(method, declared_path, normalized_path, def_path, def_name): the first declaration of each method and normalized path that no earlier pattern of the same converters shadows.
 
     Routers give a collection and a detail url for each registration and one for each action
     of its view set; a collection or detail without methods answers GET.
@@ -146,5 +160,9 @@ def endpoints(facts: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFra
     columns = ["declared", "method", "def_path", "def_name", "place"]
     declared, normalized, _ = django_route(F.lit(""), F.col("declared"))
     rows = plain.select(columns).union(actions.select(columns)).withColumns({"declared_path": declared, "normalized_path": normalized})
+    # a pattern behind one that matches the same paths is never reached
+    rows = written(rows.withColumn("shadow", F.regexp_replace(F.regexp_replace("declared_path", r"<(\w+)>", "<str>"), r"<(\w+):\w+>", "<$1>")))
+    reached = rows.groupBy("shadow").agg(F.min("place").alias("earliest"))
+    rows = rows.join(reached, "shadow").filter(F.col("place") == F.col("earliest"))
     first = rows.groupBy("method", "normalized_path").agg(F.min_by(F.struct("declared_path", "def_path", "def_name"), F.struct("place", "declared_path")).alias("d"))
     return first.select("method", "d.declared_path", "normalized_path", "d.def_path", "d.def_name")

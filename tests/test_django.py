@@ -58,7 +58,7 @@ def test_endpoints(spark):
     got = django.endpoints(facts, modules, spark.createDataFrame([("site/urls.py",)], "path string"))
     assert {(r.method, r.normalized_path): r.def_name for r in got.collect()} == {
         ("GET", "/"): "home", ("POST", "/"): "home",
-        ("GET", "/shop/"): "Listing", ("POST", "/shop/"): "late",
+        ("GET", "/shop/"): "Listing",  # the later pattern of the same path is never reached
         ("GET", "/shop/box/{p0}/"): "Box", ("DELETE", "/shop/box/{p0}/"): "Box",
         ("GET", "/shop/gone/"): None,
         ("GET", "/shop/api/items/"): "ItemSet", ("POST", "/shop/api/items/"): "ItemSet",
