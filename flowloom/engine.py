@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from flowloom.model import Graph
 from flowloom.operators import assemble, overlay, validate
 from flowloom.operators.store import append_events
+from flowloom.plans.lineage import written
 
 PARTS = {"nodes": assemble.NODES, "edges": assemble.EDGES, "routes": assemble.ROUTES, "diagnostics": assemble.DIAGNOSTIC}
 
@@ -59,12 +61,25 @@ class Store:
             rows = getattr(graph, name)
             rows = self.spark.createDataFrame([], schema) if rows is None else assemble.shaped(rows, schema)
             rows.write.parquet(f"{self.root}/snapshots/{version}/{name}")
-        run = self.spark.range(1).select(F.lit(self.project).alias("project"), F.lit(self.repository_set_id).alias("repository_set_id"), F.lit(version).alias("version"), F.current_timestamp().alias("saved_at"))
+        self._record(version, "saved", None)
+
+    def failed(self, reason: str) -> None:
+        """Record a run that stored no snapshot; the older one stays current."""
+        self._record(None, "failed", reason)
+
+    def _record(self, version: str | None, status: str, reason: str | None) -> None:
+        values = {"project": self.project, "repository_set_id": self.repository_set_id, "version": version, "status": status, "reason": reason}
+        run = self.spark.range(1).select(*[F.lit(v).cast("string").alias(c) for c, v in values.items()], F.current_timestamp().alias("saved_at"))
         run.write.mode("append").parquet(f"{self.root}/runs")
 
+    def runs(self) -> DataFrame | None:
+        """All runs of this project and set, the failed ones too; None where nothing was ever stored."""
+        runs = self._table("runs")
+        return None if runs is None else runs.filter((F.col("project") == self.project) & (F.col("repository_set_id") == self.repository_set_id))
+
     def load(self) -> Graph:
         runs = self._table("runs")
-        latest = [] if runs is None else runs.filter(F.col("project") == self.project).groupBy("repository_set_id").agg(F.max_by("version", "saved_at").alias("version"))
+        latest = [] if runs is None else runs.filter((F.col("project") == self.project) & (F.col("status") == "saved")).groupBy("repository_set_id").agg(F.max_by("version", "saved_at").alias("version"))
         if runs is None or latest.isEmpty():
             raise GraphNotFound(self.project)
         row = latest.filter(F.col("repository_set_id") == self.repository_set_id).first()
@@ -72,30 +87,49 @@ class Store:
             raise RepositorySetMismatch(self.repository_set_id)
         return Graph(**{name: self.spark.read.schema(schema).parquet(f"{self.root}/snapshots/{row.version}/{name}") for name, schema in PARTS.items()})
 
+    def _events(self) -> DataFrame | None:
+        """All stored events; the columns that folders are named after are text, whatever they look like."""
+        stored = self._table("events")
+        if stored is None:
+            return None
+        scope = ("project", "repository_set_id", "capture_id")
+        schema = StructType([StructField(f.name, StringType()) if f.name in scope else f for f in stored.schema])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/events")
+
     def append_events(self, events: DataFrame) -> None:
         """Events (event_id, capture_id, ...) of this project and set, each id once."""
-        scoped = events.withColumns({"project": F.lit(self.project), "repository_set_id": F.lit(self.repository_set_id)})
-        stored = self._table("events")
+        scoped = events.withColumns({"project": F.lit(self.project), "repository_set_id": F.lit(self.repository_set_id), "capture_id": F.col("capture_id").cast("string")})
+        stored = self._events()
         append_events(scoped, scoped.limit(0) if stored is None else stored, f"{self.root}/events")
 
     def events(self, capture_id: str) -> DataFrame | None:
-        """The capture's events by receipt; None where nothing was ever stored."""
-        stored = self._table("events")
+        """The capture's events by receipt, read from its own folder; None where nothing was ever stored."""
+        stored = self._events()
         mine = (F.col("project") == self.project) & (F.col("repository_set_id") == self.repository_set_id) & (F.col("capture_id") == capture_id)
         return None if stored is None else stored.filter(mine).orderBy("received_at", "event_id")
 
 
 def analyze(store: Store, fragments: list[tuple[DataFrame, DataFrame, DataFrame | None]], proofs: DataFrame, namespaces: DataFrame) -> Graph:
-    """Assemble ``fragments`` (nodes, edges, routes), check ids, ends and conflicts, store the graph and return it."""
-    for nodes, _, _ in fragments:
-        _strict(assemble.repeated_keys(nodes))
-    graph, conflicts = assemble.merged([assemble.canonical(*f) for f in fragments], proofs, namespaces)
-    _strict(conflicts)
+    """Assemble ``fragments`` (nodes, edges, routes), check ids, ends and conflicts, store the graph and return it; a breach is recorded as a failed run."""
+    try:
+        for nodes, _, _ in fragments:
+            _strict(assemble.repeated_keys(nodes))
+        graph, conflicts = assemble.merged([assemble.canonical(*f) for f in fragments], proofs, namespaces)
+        _strict(conflicts)
+        checked(graph)
+        store.save(graph)
+    except GraphContractError as e:
+        store.failed(str(e))
+        raise
+    return store.load()
+
+
+def checked(graph: Graph) -> Graph:
+    """``graph`` if its edges have declared, legal ends and proper ids; raises GraphContractError otherwise."""
     _strict(validate.dangling(graph.nodes, graph.edges))
     _strict(validate.edge_violations(graph.edges))
     _strict(validate.illegal_edges(graph.nodes, graph.edges).select("id", F.lit("illegal").alias("rule")))
-    store.save(graph)
-    return store.load()
+    return graph
 
 
 def _strict(found: DataFrame) -> None:
@@ -105,13 +139,38 @@ def _strict(found: DataFrame) -> None:
         raise GraphContractError(str(e)) from e
 
 
-def observed_outcomes(graph: Graph, events: DataFrame) -> DataFrame:
-    """``overlay.match`` of events (event_id, endpoint_id, view_name) against a stored graph."""
+def _runtime_tables(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(urls, views, links, calls) of a stored graph, as the overlay takes them."""
     nodes, edges = graph.nodes, graph.edges
     urls = nodes.filter("kind = 'django_url_pattern'").select(F.col("id").alias("url"), "endpoint_id")
     views = nodes.filter("kind = 'django_view'").select(F.col("id").alias("view"), F.col("identity_key").alias("view_name"))
     resolving = edges.filter("kind = 'resolves_to'")
-    links = resolving.select(F.col("source").alias("url"), F.col("target").alias("view"))
+    links = resolving.select(F.col("source").alias("url"), F.col("target").alias("view"), F.col("id").alias("link"))
     owners = nodes.filter("kind in ('http_call', 'request_payload')").select(F.col("id").alias("source"))
-    calls = resolving.join(owners, "source", "left_semi").select(F.col("target").alias("url"), F.col("id").alias("edge"))
-    return overlay.match(events, urls, views, links, calls)
+    calls = resolving.join(owners, "source", "left_semi").select(F.col("target").alias("url"), F.col("id").alias("edge"), "source")
+    return urls, views, links, calls
+
+
+def observed_outcomes(graph: Graph, events: DataFrame) -> DataFrame:
+    """``overlay.match`` of events (event_id, endpoint_id, view_name) against a stored graph."""
+    return overlay.match(events, *_runtime_tables(graph))
+
+
+def overlaid(graph: Graph, events: DataFrame) -> tuple[Graph, DataFrame]:
+    """(graph, diagnostics): the graph with the evidence of events (event_id, timestamp, endpoint_id, view_name), up to 32 pieces an item, and the events that fit nowhere.
+
+    The stored graph is not touched: what events show is laid over it when it is read.
+    """
+    urls, views, links, calls = _runtime_tables(graph)
+    matched = written(overlay.match(events, urls, views, links, calls))
+    both = [rows.select("id", F.size("evidence").alias("n_evidence"), "confidence") for rows in (graph.nodes, graph.edges)]
+    evidence, items = overlay.written_back(matched.filter("outcome = 'observed'"), links, both[0].union(both[1]))
+    piece = F.struct(F.lit("observed").alias("kind"), F.lit("flowloom.runtime").alias("adapter"), F.lit("1").alias("adapter_version"), F.col("event_id").cast("string").alias("event_id"), "reason", F.col("timestamp").cast("string").alias("timestamp"))
+    gained = evidence.groupBy("id").agg(F.collect_list(piece).alias("gained"))
+    after = items.select("id", F.col("confidence").alias("lifted")).join(gained, "id")
+
+    def laid(rows: DataFrame) -> DataFrame:
+        new = rows.join(after, "id", "left")
+        return new.select(*[F.array_sort(F.concat("evidence", F.coalesce("gained", F.array().cast(rows.schema["evidence"].dataType)))).alias(c) if c == "evidence" else F.coalesce("lifted", c).alias(c) if c == "confidence" else F.col(c) for c in rows.columns])
+
+    return Graph(laid(graph.nodes), laid(graph.edges), graph.routes, graph.diagnostics), overlay.event_diagnostics(matched, urls, views, calls)

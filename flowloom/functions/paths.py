@@ -44,7 +44,7 @@ def strip_base(path: Column, prefixes: list[str]) -> Column:
     out = path
     for prefix in sorted({p.rstrip("/") for p in prefixes if p.rstrip("/")}, key=len):
         inside = (path == prefix) | path.startswith(prefix + "/")
-        out = F.when(inside, F.when(path == prefix, "/").otherwise(F.substring(path, len(prefix) + 1, 1 << 20))).otherwise(out)
+        out = F.when(inside, F.when(path == prefix, "/").otherwise(F.substring(path, F.lit(len(prefix) + 1), F.char_length(path)))).otherwise(out)
     return out
 
 

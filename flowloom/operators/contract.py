@@ -24,7 +24,7 @@ def implies(condition: Column, ok: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    return F.split(F.substring(path, 2, 1 << 20), "/")
+    return F.split(F.substring(path, F.lit(2), F.char_length(path)), "/")
 
 
 def _placed(path: Column, pattern: str) -> Column:

@@ -46,11 +46,9 @@ def accounted(source: DataFrame, migrated: DataFrame, quarantined: DataFrame, ke
     )
 
 
-def save_snapshot(rows: DataFrame, path: str, by: tuple[str, ...] = ("project", "repository_set_id")) -> None:
-    """Replace the scopes that ``rows`` holds and leave others alone."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def append_events(events: DataFrame, stored: DataFrame, path: str) -> None:
-    """Append events whose id is not stored yet."""
-    events.dropDuplicates(["event_id"]).join(stored.select("event_id"), "event_id", "left_anti").write.mode("append").parquet(path)
+def append_events(events: DataFrame, stored: DataFrame, path: str, by: tuple[str, ...] = ("project", "repository_set_id", "capture_id")) -> None:
+    """Append events whose id is not stored yet in their scope; only the scopes that ``events`` names are read."""
+    scopes = F.broadcast(events.select(*by).distinct())  # the captures of one append
+    known = stored.join(scopes, list(by), "left_semi").select(*by, "event_id")
+    new = events.dropDuplicates([*by, "event_id"]).join(known, [*by, "event_id"], "left_anti")
+    new.write.mode("append").partitionBy(*by).parquet(path)

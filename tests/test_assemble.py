@@ -128,6 +128,7 @@ def test_store(spark, tmp_path, fragments, proofs, namespaces):
         store.save(Graph(graph.nodes.withColumn("evidence", seen), graph.edges))
     with pytest.raises(engine.GraphContractError):
         engine.analyze(store, [(fragments[0][0].union(fragments[0][0]), *fragments[0][1:])], proofs, namespaces)
+    assert sorted(r.status for r in store.runs().collect()) == ["failed", "saved", "saved"] and store.load().nodes.count() == 1
 
 
 def test_events_and_outcomes(spark, tmp_path, fragments, proofs, namespaces):
@@ -140,3 +141,9 @@ def test_events_and_outcomes(spark, tmp_path, fragments, proofs, namespaces):
     assert [r.event_id for r in store.events("c").collect()] == ["2", "1"]
     graph, _ = assemble.merged([assemble.canonical(*f) for f in fragments], proofs, namespaces)
     assert {r.event_id: r.outcome for r in engine.observed_outcomes(graph, events).collect()} == {"1": "observed", "2": "ambiguous", "3": "unmatched"}
+    store.append_events(events.withColumn("capture_id", F.lit("007")))
+    assert store.events("007").count() == 3 and store.events("7").count() == 0
+    laid, told = engine.overlaid(graph, events.withColumnRenamed("received_at", "timestamp"))
+    gained = {r.id for r in laid.nodes.unionByName(laid.edges, allowMissingColumns=True).filter(F.exists("evidence", lambda e: e["event_id"] == "1")).filter("confidence >= 0.95").collect()}
+    assert len(gained) == 2 and laid.nodes.count() == graph.nodes.count() and laid.edges.schema == graph.edges.schema
+    assert {r.event_id: r.code for r in told.collect()} == {"2": "runtime_event_ambiguous", "3": "runtime_event_unmatched"}
