@@ -282,8 +282,8 @@ def _runs(ranges: int, hot: np.ndarray, length: int, gram: int, piece: int):
 SPANS = "doc long, mark long, first long, n long, window binary"
 
 
-def later_starts(entries: list[Entry], length: int) -> list[tuple]:
-    """Spans of the windows of ``entries`` that also start earlier in an entry of the same k-gram.
+def later_starts(entries: list[Entry], length: int) -> tuple[list[tuple], list[tuple]]:
+    """(spans, firsts): spans of the windows of ``entries`` that also start earlier in one of the same k-gram; of hot k-grams the other windows.
 
     The suffixes at all windows are sorted, by k-gram, then bytes, then place; a suffix
     that shares ``length`` bytes with its neighbour is a later start.
@@ -303,7 +303,11 @@ def later_starts(entries: list[Entry], length: int) -> list[tuple]:
     again = (suffixes[order[1:]] == suffixes[order[:-1]]) & (kinds[order[1:]] == kinds[order[:-1]])
     gone = np.sort(order[1:][again])
     breaks = np.flatnonzero((np.diff(gone) > 1) | (np.diff(owner[gone]) > 0)) + 1
-    return [(int(doc[owner[g[0]]]), int(mark[owner[g[0]]]), int(at[g[0]]), len(g), None) for g in np.split(gone, breaks) if len(g)]
+    spans = [(int(doc[owner[g[0]]]), int(mark[owner[g[0]]]), int(at[g[0]]), len(g), None) for g in np.split(gone, breaks) if len(g)]
+    hot = np.array([e[5] for e in entries])[owner]
+    hot[gone] = False
+    place = lambda i, e: (e[1], e[2], int(at[i]), 1, xxhash.xxh3_128_digest(e[0][:8] + e[0][8 + offset[i] : 8 + offset[i] + length]))
+    return spans, [place(i, entries[owner[i]]) for i in np.flatnonzero(hot).tolist()]
 
 
 def _merge(length: int, together: int):
@@ -321,16 +325,20 @@ def _merge(length: int, together: int):
 
         def ended(group: list[list]) -> None:
             """All different suffixes of one k-gram."""
-            nonlocal waiting, n_windows
-            if group and group[0][5]:
-                for key, doc, mark, first, n, _ in group:
-                    out.extend((doc, mark, first + i, 1, xxhash.xxh3_128_digest(key[:8] + key[8 + i : 8 + i + length])) for i in range(n))
-            elif len(group) > 1:
-                waiting += group
+            nonlocal n_windows
+            if group and (len(group) > 1 or group[0][5]):
+                waiting.extend(group)
                 n_windows += sum(e[4] for e in group)
                 if n_windows >= together:
-                    out.extend(later_starts(waiting, length))
-                    waiting, n_windows = [], 0
+                    settle()
+
+        def settle() -> None:
+            nonlocal n_windows
+            if waiting:
+                for found in later_starts(waiting, length):
+                    out.extend(found)
+            waiting.clear()
+            n_windows = 0
 
         group: list[list] = []
         for common, e in merged(trees):
@@ -340,13 +348,13 @@ def _merge(length: int, together: int):
                     out.append((*max(here, seen), e[4], None))
                     group[-1][1:4] = min(here, seen)
                 continue
-            if group and common < 8:
+            # a hot k-gram may be more than fits: its windows meet again below, so parts of it will do
+            if group and (common < 8 or group[0][5] and len(group) >= 1000):
                 ended(group)
                 group = []
             group.append(list(e))
         ended(group)
-        if waiting:
-            out.extend(later_starts(waiting, length))
+        settle()
         return pd.DataFrame(out, columns=["doc", "mark", "first", "n", "window"])
 
     return rows
