@@ -363,17 +363,18 @@ def outline_page(spark, sf_dir):
     return traverse.page(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name"), "p_name", "id", number=2).select("id", "rank")
 
 
-_OLD = "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 0"
-_NEW = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0"
+_OLD = "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderpriority <> '1-URGENT'"
+_NEW = "SELECT o_orderkey AS id, CASE WHEN o_totalprice > 450000 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderpriority <> '5-LOW'"
 DIFF = f"""a AS ({_OLD}), b AS ({_NEW}), d AS (SELECT coalesce(a.id, b.id) AS id,
 CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.status <> b.status OR a.price <> b.price THEN 'changed' END AS status FROM a FULL JOIN b ON a.id = b.id)"""
 
 
 @query(f"WITH {DIFF} SELECT * FROM d WHERE status IS NOT NULL")
 def snapshot_diff(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    new = o.filter("id % 3 <> 0").withColumn("status", F.when(F.col("id") % 11 == 0, "X").otherwise(F.col("status")))
-    return project.diff(o.filter("id % 5 <> 0"), new, ["id"])
+    """Orders before and after: urgent ones appear, low ones vanish, dear ones change their status."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_orderpriority")
+    new = o.filter("o_orderpriority <> '5-LOW'").withColumn("status", F.when(F.col("price") > 450000, "X").otherwise(F.col("status")))
+    return project.diff(o.filter("o_orderpriority <> '1-URGENT'").drop("o_orderpriority"), new.drop("o_orderpriority"), ["id"])
 
 
 @query(f"WITH {DIFF} SELECT status, count(*) AS n FROM d WHERE status IS NOT NULL GROUP BY status")
@@ -417,13 +418,16 @@ def event_dedup(spark, sf_dir):
 
 
 _VERSIONS = """v AS (SELECT o_orderkey AS id, o_orderstatus AS status, 1 AS version FROM orders
-UNION ALL SELECT o_orderkey, 'X', 2 FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey + 10000000, 'N', 3 FROM orders WHERE o_orderkey % 6 = 0)"""
+UNION ALL SELECT o_orderkey, 'X', 2 FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey + 10000000, 'N', 3 FROM orders WHERE o_orderpriority = '2-HIGH')"""
 
 
 def _versions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
-    again = o.filter("id % 4 = 0").select("id", F.lit("X").alias("status"), F.lit(2).alias("version"))
-    return o, merge.union(again, o.filter("id % 6 = 0").select((F.col("id") + 10000000).alias("id"), F.lit("N").alias("status"), F.lit(3).alias("version")))
+    orders = table(spark, sf_dir, "orders")
+    row = lambda key, status, version: [key.alias("id"), status.alias("status"), F.lit(version).alias("version")]
+    key = F.col("o_orderkey")
+    again = orders.filter("o_totalprice > 300000").select(*row(key, F.lit("X"), 2))
+    new = orders.filter("o_orderpriority = '2-HIGH'").select(*row(key + 10000000, F.lit("N"), 3))
+    return orders.select(*row(key, F.col("o_orderstatus"), 1)), merge.union(again, new)
 
 
 @query(f"WITH {_VERSIONS} SELECT id, arg_max(status, version) AS status, max(version) AS version FROM v GROUP BY id")
@@ -454,11 +458,11 @@ def quarantine_route(spark, sf_dir):
     return _routed(spark, sf_dir).select("event_id", "reason")
 
 
-@query(f"""WITH r AS (SELECT event_id, {_REASON} AS reason FROM events) SELECT count(*) AS n_source, count(*) FILTER (reason IS NULL OR event_id % 10 = 0) AS n_migrated,
-count(*) FILTER (reason IS NOT NULL) AS n_quarantined, count(*) FILTER (reason IS NOT NULL AND event_id % 10 = 0) AS n_both, 0::BIGINT AS n_lost FROM r""")
+@query(f"""WITH r AS (SELECT event_id, value > 50 AS twice, {_REASON} AS reason FROM events) SELECT count(*) AS n_source, count(*) FILTER (reason IS NULL OR twice) AS n_migrated,
+count(*) FILTER (reason IS NOT NULL) AS n_quarantined, count(*) FILTER (reason IS NOT NULL AND twice) AS n_both, 0::BIGINT AS n_lost FROM r""")
 def accounting(spark, sf_dir):
     r = _routed(spark, sf_dir)
-    return store.accounted(r, r.filter("reason is null or event_id % 10 = 0"), r.filter("reason is not null"), "event_id")
+    return store.accounted(r, r.filter("reason is null or value > 50"), r.filter("reason is not null"), "event_id")
 
 
 @query("SELECT page_id, sha256('cells:' || 'T' || lpad(lower(hex(strlen(url))), 8, '0') || ':' || url || 'I' || lpad(lower(hex(strlen(page_id::VARCHAR))), 8, '0') || ':' || page_id) AS digest FROM pages")
@@ -610,7 +614,7 @@ def payload_shapes(spark, sf_dir):
     return symbols.payload_shapes(fields).select("name", F.size("fields").alias("n_fields"))
 
 
-@query("""WITH d AS (SELECT event_id, event_type, user_id AS u FROM events), shown AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH d AS (SELECT event_id, event_type, user_id AS u FROM events), shown AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0)
 SELECT 'diagnostic:' || event_id AS key, CASE event_type WHEN 'error' THEN 'URL target unmatched' WHEN 'click' THEN 'URL target ambiguous' ELSE 'Unsupported syntax' END AS title,
 CASE WHEN f IS NOT NULL THEN 'node' END AS focus_type, f AS focus_id
 FROM (SELECT *, CASE WHEN event_type = 'click' THEN (SELECT min(id::VARCHAR) FROM shown WHERE id IN (u, u + 1)) WHEN event_type <> 'error' THEN (SELECT id::VARCHAR FROM shown WHERE id = u) END AS f FROM d)""")
@@ -621,7 +625,7 @@ def remediation_cards(spark, sf_dir):
         F.col("event_id").cast("string").alias("id"), F.when(error, "url_target_unmatched").when(click, "url_target_ambiguous").otherwise("unsupported_syntax").alias("code"),
         F.when(~click & ~error, user.cast("string")).alias("node_id"), F.lit(None).cast("string").alias("edge_id"), F.when(click, F.array((user + 1).cast("string"), user.cast("string"))).alias("candidate_ids"),
     )
-    shown = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"))
+    shown = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("id"))
     return remediate.diagnostic_cards(rows, shown, shown.limit(0)).select("key", "title", "focus_type", "focus_id")
 
 

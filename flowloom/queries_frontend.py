@@ -258,8 +258,8 @@ def canonical_json(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_id, ts, user_id % 400 AS endpoint_id, CASE WHEN event_id % 3 = 0 THEN 'v' || user_id % 60 END AS view_name FROM events),
 urls AS (SELECT c_custkey AS url, CASE WHEN c_custkey < 450 THEN c_custkey % 430 ELSE c_custkey + 1000 END AS endpoint_id FROM customer), views AS (SELECT 's' || s_suppkey AS view, 'v' || s_suppkey % 50 AS view_name FROM supplier),
-links AS (SELECT c_custkey AS url, 's' || s_suppkey AS view FROM customer JOIN supplier ON s_suppkey % 50 = c_custkey % 60 AND c_custkey % 4 < 3),
-calls AS (SELECT o_custkey AS url, o_orderkey AS edge FROM orders WHERE o_orderkey % 5 = 0),
+links AS (SELECT c_custkey AS url, 's' || s_suppkey AS view FROM customer JOIN supplier ON s_suppkey % 50 = c_custkey % 60 AND c_acctbal > 0),
+calls AS (SELECT o_custkey AS url, o_orderkey AS edge FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'),
 u AS (SELECT endpoint_id, count(*) AS n_u, min(url) AS url FROM urls GROUP BY 1), v AS (SELECT view_name, count(*) AS n_v, min(view) AS view FROM views GROUP BY 1), x AS (SELECT url, view, count(*) AS n_x FROM links GROUP BY ALL), i AS (SELECT url, count(*) AS n_i FROM calls GROUP BY 1),
 j AS (SELECT e.*, coalesce(n_u, 0) AS n_u, coalesce(n_v, 0) AS n_v, coalesce(n_x, 0) AS n_x, coalesce(n_i, 0) AS n_i FROM e LEFT JOIN u ON u.endpoint_id = e.endpoint_id LEFT JOIN v ON v.view_name = e.view_name LEFT JOIN x ON x.url = u.url AND x.view = v.view LEFT JOIN i ON i.url = u.url)
 SELECT event_id, CASE WHEN n_u <> 1 OR (view_name IS NOT NULL AND n_v <> 1) THEN CASE WHEN n_u > 1 OR (view_name IS NOT NULL AND n_v > 1) THEN 'ambiguous' ELSE 'unmatched' END
@@ -269,16 +269,16 @@ def overlay_named(spark, sf_dir):
 
 
 def _overlay(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Events with an endpoint and, each third, a view; customers as URLs, suppliers as views, every fifth order as a call."""
+    """Events with an endpoint and, each third, a view; customers as URLs, suppliers as views, urgent open orders as calls."""
     t = lambda name: table(spark, sf_dir, name)
     tag = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     cust, supp = F.col("c_custkey"), F.col("s_suppkey")
     events = t("events").select("event_id", text.rendered_ms(F.col("ts")).alias("timestamp"), (F.col("user_id") % 400).alias("endpoint_id"), F.when(F.col("event_id") % 3 == 0, tag("v", F.col("user_id") % 60)).alias("view_name"))
     urls = t("customer").select(cust.alias("url"), F.when(cust < 450, cust % 430).otherwise(cust + 1000).alias("endpoint_id"))
     views = t("supplier").select(tag("s", supp).alias("view"), tag("v", supp % 50).alias("view_name"))
-    links = t("customer").filter("c_custkey % 4 < 3").select(cust.alias("url"), (cust % 60).alias("k")).join(t("supplier").select(tag("s", supp).alias("view"), (supp % 50).alias("k")), "k")
+    links = t("customer").filter("c_acctbal > 0").select(cust.alias("url"), (cust % 60).alias("k")).join(t("supplier").select(tag("s", supp).alias("view"), (supp % 50).alias("k")), "k")
     links = links.select("url", "view", F.concat_ws("-", "url", "view").alias("link"))
-    calls = t("orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("edge"), tag("c", F.col("o_orderkey")).alias("source"))
+    calls = t("orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("edge"), tag("c", F.col("o_orderkey")).alias("source"))
     return events, urls, views, links, calls
 
 
