@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, exact, language, lines, mixing, quality, simhash, suffixes, tokens, toxicity
+from flowloom.llm import decontaminate, exact, language, lines, mixing, negatives, neighbours, quality, search, simhash, suffixes, tokens, toxicity
 from flowloom.session import table
 
 
@@ -56,8 +56,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=20)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every=100, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op4_token_counts, op5_exact_dedup, op6_mixing, op7_language_id, op8_quality, op9_line_dedup, op10_suffix_dedup]
+    ops += [op11_ranked_search, op12_nearest_neighbours, op13_hard_negatives]
     return {op.__name__: op for op in ops}
 
 
@@ -106,5 +120,39 @@ FROM d LEFT JOIN o USING (r)
 """
 
 
+OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")} AS term FROM documents),
+d AS (SELECT doc_id, r, count(*) AS n FROM t GROUP BY doc_id, r),
+a AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+i AS (SELECT DISTINCT item_id, {_LOWER.format("unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")} AS term FROM benchmark),
+f AS (SELECT r, term, count(*) AS tf FROM t GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, a GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, d.doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN d USING (r), a GROUP BY item_id, d.doc_id, r
+), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= {search.BEST}
+"""
+
+OP13 = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS asked, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = asked
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE label <> asked AND {negatives.LEAST} * positive_score <= 100 * score AND 100 * score <= {negatives.MOST} * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op6_mixing": OP6, "op9_line_dedup": OP9}
+    return {"op5_exact_dedup": OP5, "op6_mixing": OP6, "op9_line_dedup": OP9, "op11_ranked_search": OP11, "op13_hard_negatives": OP13}
