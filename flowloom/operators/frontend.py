@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.frontend import joined_route
 from flowloom.functions.paths import BUILT_IN_CONVERTERS, CONVERTER_MEMBERS
+from flowloom.operators.traverse import bfs
 from flowloom.plans.lineage import written
 from flowloom.plans.ranking import numbered
 
@@ -35,7 +36,10 @@ def pages_folder(files: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def full_routes(routes: DataFrame) -> DataFrame:
-    """(id, path) of nested routes (id, parent, declared, index), level by level; pathless ones hand their parent's path on and have none."""
+    """(id, path) of nested routes (id, parent, declared, index), level by level; pathless ones hand their parent's path on and have none.
+
+    Every route has a row: those under a missing parent or in a circle have no path, and ``lost_routes`` names them.
+    """
     path = joined_route(F.col("above"), F.col("declared"), F.col("index"))
     level = written(routes.filter("parent is null").withColumn("above", F.lit("")).select("id", path.alias("path"), "above"))
     levels = []
@@ -43,7 +47,19 @@ def full_routes(routes: DataFrame) -> DataFrame:
         levels.append(level.select("id", "path"))
         parents = level.select(F.col("id").alias("parent"), F.coalesce("path", "above").alias("above"))
         level = written(routes.join(parents, "parent").select("id", path.alias("path"), "above"))
-    return reduce(DataFrame.union, levels) if levels else level.select("id", "path")
+    found = written(reduce(DataFrame.union, levels, level.select("id", "path")))
+    return found.union(routes.join(found.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string")))
+
+
+def lost_routes(routes: DataFrame) -> DataFrame:
+    """(id, rule) of nested routes (id, parent) that hang on no root: ``missing_parent`` below a parent that is declared nowhere, else ``circle``."""
+    ids = routes.select("id").distinct()
+    below = routes.filter("parent is not null").select(F.col("parent").alias("source"), F.col("id").alias("target"))
+    orphans = below.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").select(F.col("target").alias("node"))
+    missed = written(bfs(below, orphans).select(F.col("node").alias("id")))
+    placed = bfs(below, routes.filter("parent is null").select(F.col("id").alias("node"))).select(F.col("node").alias("id"))
+    rest = ids.join(missed, "id", "left_anti").join(placed, "id", "left_anti")
+    return missed.select("id", F.lit("missing_parent").alias("rule")).union(rest.select("id", F.lit("circle")))
 
 
 def bounded_templates(templates: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from flowloom.plans.lineage import written
 
 
-def url_constants(declarations: DataFrame, most_rounds: int = 100) -> DataFrame:
+def url_constants(declarations: DataFrame) -> DataFrame:
     """(name, url) of the names whose declarations give exactly one URL.
 
     ``declarations``: name, ref (a name that the value starts with, or null), text (what
     follows it); those without a name are left out. Each round joins all declarations with
     the constants of the round before, until none changes; a chain of n references takes n
     rounds. A value without a slash is no URL. A name that has two values in some round is
-    no constant from then on, nor is what refers to it, so circles settle as well.
+    no constant from then on, nor is what refers to it, so circles settle as well: a name
+    gains a value, changes it as often as a name before it does, or leaves for good.
     """
     spark = declarations.sparkSession
     declared = written(declarations.filter("name is not null").select("name", "ref", "text").distinct())
     known = spark.createDataFrame([], "name string, url string")
     several = spark.createDataFrame([], "name string")
-    for _ in range(most_rounds):
+    while True:
         values = declared.join(known.select(F.col("name").alias("ref"), F.col("url").alias("base")), "ref", "left")
         url = F.when(F.col("ref").isNull(), F.col("text")).otherwise(F.concat("base", F.coalesce("text", F.lit(""))))
         found = values.select("name", url.alias("url")).filter(F.col("url").contains("/")).join(several, "name", "left_anti")
@@ -31,7 +32,6 @@ def url_constants(declarations: DataFrame, most_rounds: int = 100) -> DataFrame:
         if changed.isEmpty():
             return now
         known, several = now, written(several.union(least.filter("url <> other").select("name")))
-    raise ValueError(f"URL constants do not settle within {most_rounds} rounds")
 
 
 def payload_shapes(fields: DataFrame) -> DataFrame:

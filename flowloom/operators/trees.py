@@ -7,6 +7,7 @@ what an entry may hold is then decided by the same column expressions as elsewhe
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -23,13 +24,21 @@ RUNTIME_KEYS = ("captureId", "eventId", "receivedAt", "runId", "runtimeScopeId",
 ID = "^[{}]_[0-9a-f]{{64}}$"
 DOTTED = r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*$"
 
+#: An escape that may be half of a character beyond 16 bits.
+HALF = re.compile(r"\\u[dD][89a-fA-F]")
+
 ENTRIES = "array<struct<key:string,value:string,kind:string>>"
 
 
 def _mapped(schema: str, of: Callable[[object], object]):
     def each(text: str | None) -> object:
         try:
-            return None if text is None else of(json.loads(text))
+            if text is None:
+                return None
+            value = json.loads(text)
+            if HALF.search(text):  # half a character can't be written as text
+                json.dumps(value, ensure_ascii=False).encode()
+            return of(value)
         except (ValueError, RecursionError):
             return None
 
@@ -37,7 +46,7 @@ def _mapped(schema: str, of: Callable[[object], object]):
 
 
 def entries(text: Column) -> Column:
-    """Every member and element of a JSON text, at any depth: its key (null in a list), its text if it is a string, its kind; null if broken."""
+    """Every member and element of a JSON text, at any depth: its key (null in a list), its text if it is a string, its kind; null if broken, or if a string holds half a character."""
 
     def of(value: object) -> list[dict]:
         out, left = [], [(None, value)]
@@ -80,7 +89,7 @@ def holds_runtime_material(found: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Sorted keys, no spaces, characters as they are; null for what is no JSON or holds NaN or infinity."""
+    """Sorted keys, no spaces, characters as they are; null for what is no JSON or holds NaN, infinity or half a character."""
 
     def of(value: object) -> str | None:
         return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)

@@ -29,7 +29,11 @@ def test_paths_and_lines(spark):
 def test_nested_routes_join_their_parents(spark):
     rows = [("a", None, "app/", False), ("b", "a", None, False), ("c", "b", ":id", False), ("d", "c", "", False), ("e", "c", "/top//x/", False), ("f", "a", None, True), ("g", None, None, True), ("h", "gone", "x", False)]
     got = dict(map(tuple, frontend.full_routes(spark.createDataFrame(rows, "id string, parent string, declared string, index boolean")).collect()))
-    assert got == {"a": "/app", "b": None, "c": "/app/:id", "d": "/app/:id", "e": "/top/x", "f": "/app", "g": "/"}
+    assert got == {"a": "/app", "b": None, "c": "/app/:id", "d": "/app/:id", "e": "/top/x", "f": "/app", "g": "/", "h": None}
+    lost = [*rows, ("i", "h", "y", False), ("j", "k", "x", False), ("k", "l", "x", False), ("l", "j", "x", False), ("m", "l", "x", False)]
+    lost = spark.createDataFrame(lost, "id string, parent string, declared string, index boolean")
+    assert dict(map(tuple, frontend.lost_routes(lost).collect())) == {"h": "missing_parent", "i": "missing_parent", **dict.fromkeys("jklm", "circle")}
+    assert frontend.full_routes(lost).count() == 13 and frontend.lost_routes(lost.limit(0)).count() == 0
     assert frontend.full_routes(spark.createDataFrame([], "id string, parent string, declared string, index boolean")).count() == 0
 
 
@@ -65,6 +69,9 @@ def test_trees(spark):
     assert found(trees.holds_runtime_material) == [False] * 6 + [True, True, None, None]
     value = {"b": [1.5, {"z": None, "ü": "日"}], "a": {"Cookie": 1, "sessionId": [2], "ok": "x"}}
     texts = [json.dumps(value), '{"x": NaN}']
+    half = ['{"a":"\\ud800"}', '["\\uDFFF\\ud800"]', '{"\\ud83d\\ude00":1}']
+    assert column(spark, half, trees.canonical) == column(spark, half, trees.redacted) == [None, None, '{"\U0001f600":1}']
+    assert column(spark, half, lambda v: F.size(trees.entries(v))) == [-1, -1, 2] or column(spark, half, lambda v: trees.entries(v).isNull()) == [True, True, False]
     assert column(spark, texts, trees.canonical) == [json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False), None]
     assert json.loads(column(spark, texts, trees.redacted)[0]) == {"b": value["b"], "a": {"ok": "x"}}
 

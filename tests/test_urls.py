@@ -43,6 +43,11 @@ def test_constants(spark):
     assert symbols.url_constants(spark.createDataFrame([], "name string, ref string, text string")).count() == 0
 
 
+def test_a_long_chain_of_url_constants(spark):
+    rows = [("c0", None, "/x")] + [(f"c{k}", f"c{k - 1}", None) for k in range(1, 12)]
+    assert symbols.url_constants(spark.createDataFrame(rows, "name string, ref string, text string")).count() == 12
+
+
 def test_shapes(spark):
     rows = [("p", 1, 0, "a", "int"), ("p", 1, 1, "b", "str"), ("p", 2, 0, "b", "str"), ("q", 3, 0, "a", "int"), ("q", 4, 0, "z", "int"), ("r", 5, 0, "a", "int"), ("r", 6, 0, "a", "int")]
     got = symbols.payload_shapes(spark.createDataFrame(rows, "name string, shape int, ordinal int, field string, type string"))
