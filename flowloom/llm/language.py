@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.llm.text import id_bucket, whole_row
+from flowloom.llm.text import id_bucket, numbered_rows, whole_row
+from flowloom.plans.lineage import written
 
 #: Ranks in a profile; the out-of-place distance of an n-gram that a profile lacks.
 RANKS = 300
 #: A language's profile is fitted on about so many documents at most, chosen by a hash of their ids.
 FITTED = 4000
-#: Languages with the most labelled rows that are learned at most.
+#: Up to so many profiles travel to the tasks; more stay in a table, to which the documents' n-grams are joined.
 LANGUAGES = 1000
 
+Profiles = dict[str, np.ndarray] | DataFrame
+
 
 def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
@@ -42,17 +45,14 @@ def ranked(codes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:n]]
 
 
-def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
+def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED, languages: int = LANGUAGES) -> Profiles:
     """lang to its ``ranks`` most frequent n-grams, from the rows of ``labelled`` (doc_id, text, lang) with a lang.
 
-    At most ``languages`` values of lang are learned, those with the most rows.
+    All values of lang are learned. More than ``languages`` of them stay a table (lang, gram, rank).
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, most / n)))])[F.col("lang")]
-    sample = labelled.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_003)) < share * 1_000_003)
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows")) * 1_000_003
+    sample = labelled.join(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "lang").filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_003)) < share)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = letter_table()
@@ -65,13 +65,41 @@ def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED,
 
     counts = sample.select("text", "lang").mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= ranks)
+    top = written(top.select("lang", "gram", "rank"))
+    if top.select("lang").distinct().limit(languages + 1).count() > languages:
+        return top
     found: dict[str, list] = {}
     for r in top.orderBy("lang", "rank").collect():
         found.setdefault(r["lang"], []).append(r["gram"])
     return {lang: np.array(codes, np.uint64) for lang, codes in found.items()}
 
 
-def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RANKS) -> DataFrame:
+def _joined(docs: DataFrame, profiles: DataFrame, ranks: int) -> DataFrame:
+    """``predicted`` for profiles that stay a table: out-of-place distances by a join on the n-gram.
+
+    A language that shares no n-gram with a document has the largest distance; of these the first stands for all.
+    """
+
+    @F.pandas_udf("array<long>")
+    def tops(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        letters = letter_table()
+        for texts in batches:
+            yield pd.Series([ranked(*grams(t, letters), ranks).view(np.int64) for t in texts])
+
+    rows = numbered_rows(docs)
+    listed = written(rows.select("row", tops(F.col("doc.text").cast("string")).alias("top")))
+    each = listed.select("row", F.size("top").alias("n"), F.posexplode("top").alias("place", "gram"))
+    near = each.join(profiles, "gram").groupBy("row", "n", "lang").agg(F.sum(ranks - F.abs(F.col("place") - F.col("rank") + 1)).alias("gain"))
+    whole = F.col("n") * ranks
+    away = near.select("row", "n", F.struct((whole - F.col("gain")).alias("away"), "lang").alias("found"))
+    first = profiles.agg(F.min("lang").alias("lang"))
+    away = away.union(listed.filter(F.size("top") > 0).join(first).select("row", F.size("top"), F.struct((F.size("top") * ranks).cast("long"), "lang")))
+    least = away.groupBy("row", "n").agg(F.min("found").alias("found")).select("row", "found.lang", (1 - F.col("found.away") / whole).alias("score"))
+    found = F.struct(F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return rows.join(least, "row", "left").select("doc", found.alias("found"))
+
+
+def predicted(docs: DataFrame, profiles: Profiles, ranks: int = RANKS) -> DataFrame:
     """(doc, found): each row of ``docs`` as a struct, and a struct of lang_pred and score, from whole texts alone.
 
     The distance of a document to a language sums, over the document's ``ranks`` most
@@ -80,6 +108,8 @@ def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RAN
     less the distance as a part of the largest possible. Null texts, texts without a
     letter, and all texts when nothing was learned, give ``und`` and 0.
     """
+    if isinstance(profiles, DataFrame):
+        return _joined(docs, profiles, ranks)
     langs = sorted(profiles)
     known = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.empty(0, np.uint64)
     places = np.full((len(langs), len(known) + 1), -1, np.int64)

@@ -251,6 +251,11 @@ def test_language(spark):
     assert found[200] == found[201] == ("und", 0.0) and found[202][0] == "la" and found[None][0] == "el"
     assert all(found[i][0] == "la" and found[100 + i][0] == "el" for i in range(20)) and all(0 <= s <= 1 for _, s in found.values())
     assert {r.lang_pred for r in language.identified(table(spark, [(1, "abc", None)])).collect()} == {"und"}
+    docs = table(spark, rows)
+    few, many = (language.fitted_profiles(docs, languages=n) for n in (1000, 1))
+    assert isinstance(few, dict) and len(few) > 1 and not isinstance(many, dict)
+    told = lambda profiles: Counter((r.doc.doc_id, r.doc.text, r.found.lang_pred, round(r.found.score, 12)) for r in language.predicted(docs, profiles).collect())
+    assert told(few) == told(many)
     assert language.identified(table(spark, [])).count() == 0
 
 
