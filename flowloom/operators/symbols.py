@@ -1,10 +1,11 @@
-"""Names with one value: URL constants to a fixpoint, object shapes."""
+"""Names with one value: URL constants to a fixpoint, object shapes, shapes that calls hand on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.plans.fixpoint import spread
 from flowloom.plans.lineage import written
 
 
@@ -47,3 +48,46 @@ def payload_shapes(fields: DataFrame) -> DataFrame:
     names = lambda c: F.transform(c, lambda x: x["field"])
     misfits = shapes.join(largest, "name").filter(F.size(F.array_except(names("fields"), names("largest"))) > 0).select("name").distinct()
     return largest.join(misfits, "name", "left_anti").withColumnRenamed("largest", "fields")
+
+
+def payload_hints(functions: DataFrame, parameters: DataFrame, arguments: DataFrame, named: DataFrame) -> DataFrame:
+    """(fn, parameter, fields) of the parameters that calls give exactly one shape.
+
+    ``functions`` (fn, name), ``parameters`` (fn, index, parameter), ``arguments`` (callee,
+    owner, index, root, fields): an argument of a call to the name ``callee`` within the function
+    ``owner`` (null outside of all), either of literal ``fields`` or the variable ``root``;
+    ``named`` (name, fields) are the shapes of variables, as ``payload_shapes`` gives them.
+    A call counts if its name has one function. An argument that is a parameter of its owner
+    hands on that parameter's shapes, through any chain of calls. Of a parameter's shapes the
+    least and the greatest are kept, which tells one from several; only parameters whose shapes
+    changed are joined again.
+    """
+    single = functions.groupBy("name").agg(F.count("*").alias("n"), F.min("fn").alias("fn")).filter("n = 1").select(F.col("name").alias("callee"), "fn")
+    given = arguments.join(single, "callee").join(parameters, ["fn", "index"]).select("fn", "parameter", "owner", "root", "fields")
+    own = parameters.select(F.col("fn").alias("owner"), F.col("parameter").alias("root"), F.lit(True).alias("is_parameter"))
+    given = written(given.join(own, ["owner", "root"], "left"))
+    handed = written(given.filter("fields is null and is_parameter").select("owner", "root", "fn", "parameter").distinct())
+    known = given.filter("fields is null and is_parameter is null").drop("fields").join(named.select(F.col("name").alias("root"), "fields"), "root")
+    stated = given.filter("fields is not null").select("fn", "parameter", "fields").union(known.select("fn", "parameter", "fields")).filter(F.size("fields") > 0)
+
+    def further(changed: DataFrame) -> DataFrame:
+        return changed.withColumnsRenamed({"fn": "owner", "parameter": "root"}).join(handed, ["owner", "root"])
+
+    start = stated.select("fn", "parameter", F.col("fields").alias("least"), F.col("fields").alias("most"))
+    found = spread(start, further, ["fn", "parameter"], {"least": F.min, "most": F.max})
+    return found.filter("least = most").select("fn", "parameter", F.col("least").alias("fields"))
+
+
+def request_payloads(parts: DataFrame, parameters: DataFrame, hints: DataFrame, named: DataFrame, deletions: DataFrame) -> DataFrame:
+    """``parts`` (part, owner, root, fields, at) with what is known of their fields: those of a parameter's hint, of a literal or of a named shape.
+
+    Fields that the owner deletes from the variable before ``at`` (``deletions``: owner, root, field, at) are left out; unknown ones are empty.
+    """
+    own = parameters.select(F.col("fn").alias("owner"), F.col("parameter").alias("root"), F.lit(True).alias("is_parameter"))
+    hinted = hints.select(F.col("fn").alias("owner"), F.col("parameter").alias("root"), F.col("fields").alias("hint"))
+    shapes = named.select(F.col("name").alias("root"), F.col("fields").alias("shape"))
+    gone = deletions.withColumnRenamed("at", "deleted_at").join(parts.select("part", "owner", "root", "at"), ["owner", "root"]).filter("deleted_at < at").groupBy("part").agg(F.collect_set("field").alias("gone"))
+    rows = parts.join(own, ["owner", "root"], "left").join(hinted, ["owner", "root"], "left").join(shapes, "root", "left").join(gone, "part", "left")
+    fields = F.when(F.col("is_parameter"), F.col("hint")).otherwise(F.coalesce("fields", "shape"))
+    kept = F.filter(fields, lambda f: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), f["name"]))
+    return rows.select("part", F.coalesce(kept, F.array().cast(parts.schema["fields"].dataType)).alias("fields"))

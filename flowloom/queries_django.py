@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import frontend, scopes
+from flowloom.operators import frontend, scopes, symbols
 from flowloom.queries import query
 from flowloom.session import table
 from flowloom.sources import django_graph
@@ -72,3 +72,22 @@ def scope_innermost(spark, sf_dir):
     inner = scopes.innermost(points, spans, "owner").select("owner", "pos", F.col("span.start").alias("start"))
     around = scopes.enclosing(points, spans, "owner").groupBy("owner", "pos").agg(F.count("*").alias("depth"))
     return inner.join(around, ["owner", "pos"], "left").select("owner", "pos", "start", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+
+
+@query("""WITH RECURSIVE w(fn, shape) AS (SELECT p_partkey // 2, 'a' || p_size % 3 FROM part WHERE p_size % 5 = 0 AND (p_partkey // 2) % 13 <> 0
+UNION SELECT p_partkey // 2, shape FROM w JOIN part ON p_partkey = fn WHERE p_size % 5 <> 0 AND (p_partkey // 2) % 13 <> 0)
+SELECT fn, min(shape) AS shape FROM w WHERE fn IN (SELECT p_partkey FROM part) GROUP BY fn HAVING count(DISTINCT shape) = 1""")
+def payload_hints(spark, sf_dir):
+    """Each part is a function that calls that of half its number, with a literal or with what it was given; some share a name and are never sure."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k, "p_size")
+    twice = part.filter(k % 13 == 0).select(k, (k % 13).cast("string").alias("name"))
+    functions = part.filter(k % 13 != 0).select(k.alias("fn"), k.cast("string").alias("name")).union(twice)
+    parameters = part.select(k.alias("fn"), F.lit(0).alias("index"), F.lit("data").alias("parameter"))
+    literal = F.col("p_size") % 5 == 0
+    field = F.struct(F.concat(F.lit("a"), (F.col("p_size") % 3).cast("string")).alias("name"), F.lit("text").alias("type"))
+    callee = F.floor(k / 2).cast("string")
+    arguments = part.select(callee.alias("callee"), k.alias("owner"), F.lit(0).alias("index"), F.when(~literal, "data").alias("root"), F.when(literal, F.array(field)).alias("fields"))
+    named = spark.createDataFrame([], "name string, fields array<struct<name:string,type:string>>")
+    hints = symbols.payload_hints(functions, parameters, arguments, named)
+    return hints.select("fn", F.get("fields", F.lit(0))["name"].alias("shape"))
