@@ -1,12 +1,16 @@
 """Analyse fragments into a stored graph and read it back.
 
-A snapshot is a folder of Parquet tables that no reader sees until its row is appended to
-the table of runs; an older snapshot stays whole until then, and a job that dies half-way
-leaves the older one current.
+A snapshot is a folder of Parquet tables that no reader sees until a commit of the project
+names it; an older snapshot stays whole until then, and a job that dies half-way leaves the
+older one current. Commits are numbered, and of two writers that started from the same one
+only the first gets the next. Each commit holds the number of rows and a digest of every table.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -16,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from flowloom.model import Graph
-from flowloom.operators import assemble, overlay, validate
+from flowloom.operators import assemble, digests, overlay, validate
 from flowloom.operators.store import append_events
+from flowloom.plans.commits import CommitLog
 from flowloom.plans.lineage import written
 
 PARTS = {"nodes": assemble.NODES, "edges": assemble.EDGES, "routes": assemble.ROUTES, "diagnostics": assemble.DIAGNOSTIC}
@@ -35,6 +40,14 @@ class GraphContractError(ValueError):
     """A graph breaks the contract."""
 
 
+class SnapshotConflict(RuntimeError):
+    """Another writer has committed since this one started."""
+
+
+class SnapshotDamaged(RuntimeError):
+    """A stored table is not what was committed."""
+
+
 @dataclass
 class Store:
     """Snapshots, runs and events of one project and repository set under ``root``."""
@@ -52,7 +65,19 @@ class Store:
                 return None
             raise
 
-    def save(self, graph: Graph) -> None:
+    def _project(self) -> str:
+        return f"{self.root}/commits/{hashlib.sha256(self.project.encode()).hexdigest()}"
+
+    def _log(self) -> CommitLog:
+        return CommitLog(self.spark, f"{self._project()}/{hashlib.sha256(self.repository_set_id.encode()).hexdigest()}")
+
+    def version(self) -> int:
+        """The number of the last commit, 0 before the first."""
+        return self._log().latest()
+
+    def save(self, graph: Graph, based_on: int | None = None) -> None:
+        """Store ``graph`` as the commit after ``based_on``, by default the last one now; raises SnapshotConflict if there is such a commit."""
+        based_on = self.version() if based_on is None else based_on
         observed = lambda rows: F.exists("evidence", lambda e: e["kind"] == "observed")
         if any(not rows.filter(observed(rows)).isEmpty() for rows in (graph.nodes, graph.edges)):
             raise GraphContractError("observed evidence is not stored in snapshots")
@@ -61,8 +86,27 @@ class Store:
             rows = getattr(graph, name)
             rows = self.spark.createDataFrame([], schema) if rows is None else assemble.shaped(rows, schema)
             rows.write.parquet(f"{self.root}/snapshots/{version}/{name}")
+        parts = {name: digests.total(self._part(version, name)) for name in PARTS}
+        if not self._log().append(based_on + 1, json.dumps({"version": version, "parts": parts})):
+            self._record(version, "conflict", f"commit {based_on + 1} is another's")
+            raise SnapshotConflict(f"commit {based_on + 1} of {self.project} is another's")
         self._record(version, "saved", None)
 
+    def _part(self, version: str, name: str) -> DataFrame:
+        return self.spark.read.schema(PARTS[name]).parquet(f"{self.root}/snapshots/{version}/{name}")
+
+    def clean(self, hours: float = 24) -> list[str]:
+        """Delete snapshots that no commit of any project names and that have not changed for ``hours``; their names.
+
+        These are what writers left that died or lost a race; younger ones may still be written.
+        """
+        log = self._log()
+        named = {json.loads(r[0])["version"] for r in self.spark.read.option("recursiveFileLookup", True).text(f"{self.root}/commits", wholetext=True).select("value").toLocalIterator()} if log.folders(f"{self.root}/commits") else set()
+        gone = [v for v, at in log.folders(f"{self.root}/snapshots").items() if v not in named and at < (time.time() - hours * 3600) * 1000]
+        for v in gone:
+            log.delete(f"{self.root}/snapshots/{v}")
+        return gone
+
     def failed(self, reason: str) -> None:
         """Record a run that stored no snapshot; the older one stays current."""
         self._record(None, "failed", reason)
@@ -77,15 +121,20 @@ class Store:
         runs = self._table("runs")
         return None if runs is None else runs.filter((F.col("project") == self.project) & (F.col("repository_set_id") == self.repository_set_id))
 
-    def load(self) -> Graph:
-        runs = self._table("runs")
-        latest = [] if runs is None else runs.filter((F.col("project") == self.project) & (F.col("status") == "saved")).groupBy("repository_set_id").agg(F.max_by("version", "saved_at").alias("version"))
-        if runs is None or latest.isEmpty():
+    def load(self, number: int | None = None, check: bool = False) -> Graph:
+        """The graph of commit ``number``, by default the last; with ``check`` its tables are compared with what was committed."""
+        log = self._log()
+        number = log.latest() if number is None else number
+        if not number:
+            if log.folders(self._project()):
+                raise RepositorySetMismatch(self.repository_set_id)
             raise GraphNotFound(self.project)
-        row = latest.filter(F.col("repository_set_id") == self.repository_set_id).first()
-        if row is None:
-            raise RepositorySetMismatch(self.repository_set_id)
-        return Graph(**{name: self.spark.read.schema(schema).parquet(f"{self.root}/snapshots/{row.version}/{name}") for name, schema in PARTS.items()})
+        commit = json.loads(log.read(number))
+        if check:
+            bad = [name for name, told in commit["parts"].items() if list(digests.total(self._part(commit["version"], name))) != told]
+            if bad:
+                raise SnapshotDamaged(f"commit {number}: {', '.join(bad)}")
+        return Graph(**{name: self._part(commit["version"], name) for name in PARTS})
 
     def _events(self) -> DataFrame | None:
         """All stored events; the columns that folders are named after are text, whatever they look like."""
@@ -110,16 +159,22 @@ class Store:
 
 
 def analyze(store: Store, fragments: list[tuple[DataFrame, DataFrame, DataFrame | None]], proofs: DataFrame, namespaces: DataFrame) -> Graph:
-    """Assemble ``fragments`` (nodes, edges, routes), check ids, ends and conflicts, store the graph and return it; a breach is recorded as a failed run."""
+    """Assemble ``fragments`` (nodes, edges, routes), check ids, ends and conflicts, store the graph and return it; whatever goes wrong is recorded as a failed run.
+
+    The graph is stored as the commit after the last one at the start, so of two analyses at once one fails.
+    """
+    based_on = store.version()
     try:
         for nodes, _, _ in fragments:
             _strict(assemble.repeated_keys(nodes))
         graph, conflicts = assemble.merged([assemble.canonical(*f) for f in fragments], proofs, namespaces)
         _strict(conflicts)
         checked(graph)
-        store.save(graph)
-    except GraphContractError as e:
-        store.failed(str(e))
+        store.save(graph, based_on)
+    except SnapshotConflict:
+        raise
+    except Exception as e:
+        store.failed(str(e) if isinstance(e, GraphContractError) else f"{type(e).__name__}: {str(e)[:500]}")
         raise
     return store.load()
 

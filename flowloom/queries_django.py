@@ -1,11 +1,11 @@
-"""Queries over Django sources that Spark writes from the driver's tables, and over nested spans; with SQL."""
+"""Queries over Django sources that Spark writes from the driver's tables, nested spans, calls, and stored tables that should agree; with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import frontend, scopes, symbols
+from flowloom.operators import digests, frontend, order, scopes, symbols
 from flowloom.queries import query
 from flowloom.session import table
 from flowloom.sources import django_graph
@@ -91,3 +91,24 @@ def payload_hints(spark, sf_dir):
     named = spark.createDataFrame([], "name string, fields array<struct<name:string,type:string>>")
     hints = symbols.payload_hints(functions, parameters, arguments, named)
     return hints.select("fn", F.get("fields", F.lit(0))["name"].alias("shape"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'lost' WHEN o_totalprice > 300000 THEN 'repeated' ELSE 'altered' END AS rule
+FROM orders WHERE o_totalprice < 50000 OR o_totalprice > 300000 OR o_orderstatus = 'P'
+UNION ALL SELECT -c_custkey, 'added' FROM customer""")
+def table_differences(spark, sf_dir):
+    """Orders against a copy that lost the cheap ones, repeats the dear ones, alters some in between and has one more for each customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    kept = orders.filter("o_totalprice >= 50000")
+    dear = F.col("o_totalprice") > 300000
+    altered = kept.withColumn("o_custkey", F.when((F.col("o_orderstatus") == "P") & ~dear, None).otherwise(F.col("o_custkey")))
+    more = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit(0.0).cast(orders.schema["o_totalprice"].dataType).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
+    return digests.differences(orders, altered.union(kept.filter(dear)).unionByName(more), ["o_orderkey"])
+
+
+@query("""WITH r AS (SELECT p_partkey AS pos, p_name AS k1, p_partkey AS k2, lag(p_name) OVER w AS b1, lag(p_partkey) OVER w AS b FROM part WINDOW w AS (ORDER BY p_partkey))
+SELECT pos AS position, CASE WHEN k1 < b1 THEN 'unsorted' WHEN k1 = b1 THEN 'doubled' ELSE 'out_of_place' END AS rule FROM r WHERE b IS NOT NULL AND (k1 <= b1 OR pos <> b + 1)""")
+def canonical_order(spark, sf_dir):
+    """Parts by number, which their names should follow."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey")
+    return order.order_faults(rows, "p_partkey", "p_name")
