@@ -95,14 +95,14 @@ def payload_hints(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'lost' WHEN o_totalprice > 300000 THEN 'repeated' ELSE 'altered' END AS rule
 FROM orders WHERE o_totalprice < 50000 OR o_totalprice > 300000 OR o_orderstatus = 'P'
-UNION ALL SELECT -c_custkey, 'added' FROM customer""")
+UNION ALL SELECT -1 - c_custkey, 'added' FROM customer""")
 def table_differences(spark, sf_dir):
     """Orders against a copy that lost the cheap ones, repeats the dear ones, alters some in between and has one more for each customer."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     kept = orders.filter("o_totalprice >= 50000")
     dear = F.col("o_totalprice") > 300000
     altered = kept.withColumn("o_custkey", F.when((F.col("o_orderstatus") == "P") & ~dear, None).otherwise(F.col("o_custkey")))
-    more = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit(0.0).cast(orders.schema["o_totalprice"].dataType).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
+    more = table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit(0.0).cast(orders.schema["o_totalprice"].dataType).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
     return digests.differences(orders, altered.union(kept.filter(dear)).unionByName(more), ["o_orderkey"])
 
 
