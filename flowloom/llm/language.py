@@ -52,7 +52,10 @@ def fitted_profiles(labelled: DataFrame, ranks: int = RANKS, most: int = FITTED,
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows")) * 1_000_003
-    sample = labelled.join(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "lang").filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_003)) < share)
+    sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("rows")))
+    # a few languages travel to the texts; for many, both sides are shuffled and hot languages split
+    sizes = F.broadcast(sizes) if sizes.limit(languages + 1).count() <= languages else sizes
+    sample = labelled.join(sizes, "lang").filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_003)) < share)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = letter_table()
