@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.frontend import expected_label
 from flowloom.functions.identity import edge_id, node_id
 from flowloom.functions.paths import is_repo_path
 from flowloom.functions.text import is_secret_value
@@ -23,6 +24,19 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.select("id", F.explode(broken).alias("rule"))
 
 
+# Reasons of evidence by its kind.
+REASONS = {
+    "inferred": (
+        "ast_route_declaration", "ast_symbol_declaration", "ast_call", "ast_handler_binding", "ast_import_binding", "literal_url", "finite_url_domain", "request_payload_shape", "django_url_declaration",
+        "django_view_binding", "django_query_call", "external_boundary", "exact_endpoint", "declared_path", "configured_base", "dynamic_converter",
+    ),
+    "unresolved": (
+        "dynamic_target_unproven", "referenced_target_missing", "python_module_unproven", "python_module_ambiguous", "url_target_unmatched", "url_target_ambiguous", "unsupported_syntax",
+    ),
+    "observed": ("runtime_coherent_endpoint", "runtime_coherent_view", "runtime_coherent_resolution"),
+}
+
+
 def node_violations(nodes: DataFrame) -> DataFrame:
     """Kind, layer and, where the columns are there, the id from its parts, the label and the evidence."""
     layers = F.create_map(*[F.lit(x) for pair in LAYER_OF.items() for x in pair])
@@ -34,14 +48,19 @@ def node_violations(nodes: DataFrame) -> DataFrame:
         rules["id"] = F.col("id") == node_id(F.col("repository"), F.col("path"), F.col("kind"), F.col("identity_key"))
     if "label" in nodes.columns:
         rules["label"] = ~is_secret_value(F.col("label"), generic=False)
+    if {"label", "method", "normalized_path"} <= set(nodes.columns):
+        none = F.lit(None).cast("string")  # the authority of an external service is no column of nodes
+        rules["label_form"] = F.coalesce(F.col("label") == expected_label(F.col("kind"), F.col("method"), F.col("normalized_path"), none, none), F.lit(True))
     if "evidence" in nodes.columns:
         rules |= evidence_rules(F.col("evidence"))
     return violations(nodes, rules)
 
 
 def evidence_rules(evidence: Column) -> dict[str, Column]:
-    """1 to 32 items, sorted and distinct, event fields exactly on observed ones."""
+    """1 to 32 items, sorted and distinct, event fields exactly on observed ones, reasons of the catalogue of their kind."""
+    reasons = F.create_map(*[x for kind, known in REASONS.items() for x in (F.lit(kind), F.array(*map(F.lit, known)))])
     return {
+        "evidence_reason": F.forall(evidence, lambda e: e["reason"].isNull() | F.coalesce(F.array_contains(F.try_element_at(reasons, e["kind"]), e["reason"]), F.lit(False))),
         "evidence_size": F.size(evidence).between(1, 32),
         "evidence_order": evidence == F.array_sort(F.array_distinct(evidence)),
         "evidence_event": F.forall(evidence, lambda e: (e["kind"] == "observed") == (e["event_id"].isNotNull() & e["timestamp"].isNotNull())),

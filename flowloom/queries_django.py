@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import digests, frontend, order, scopes, symbols
+from flowloom.operators import digests, frontend, order, scopes, symbols, validate, variants
 from flowloom.queries import query
 from flowloom.session import table
 from flowloom.sources import django_graph
@@ -112,3 +112,33 @@ def canonical_order(spark, sf_dir):
     """Parts by number, which their names should follow."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey")
     return order.order_faults(rows, "p_partkey", "p_name")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS n FROM part), f AS (
+SELECT id, unnest([CASE WHEN n % 7 = 0 THEN '$' END, CASE WHEN n % 7 <> 0 AND n % 2 = 0 THEN '$.nodes[0].odd' END, CASE WHEN n % 7 <> 0 AND n % 3 = 0 THEN '$.nodes[1].key' END, CASE WHEN n % 7 <> 0 AND n % 5 = 0 THEN '$.name' END]) AS path,
+unnest([CASE WHEN n % 7 = 0 THEN 'broken' END, CASE WHEN n % 7 <> 0 AND n % 2 = 0 THEN 'unknown_key' END, CASE WHEN n % 7 <> 0 AND n % 3 = 0 THEN 'wrong_type' END, CASE WHEN n % 7 <> 0 AND n % 5 = 0 THEN 'missing_key' END]) AS rule FROM p)
+SELECT * FROM f WHERE rule IS NOT NULL""")
+def json_shape_faults(spark, sf_dir):
+    """A text for each part with, by its size, a strange key, a number for a text, no name or no end."""
+    n, k = F.col("p_size"), F.col("p_partkey").cast("string")
+    odd, key = F.when(n % 2 == 0, ',"odd":[{}]').otherwise(""), F.when(n % 3 == 0, k).otherwise(_text('"', k, '"'))
+    name, end = F.when(n % 5 == 0, "").otherwise('"name":"x",'), F.when(n % 7 == 0, "").otherwise("}")
+    text = _text("{", name, '"nodes":[{"key":"a"', odd, '},{"key":', key, "}]", end)
+    shape = {"$": {"name": "string", "nodes": "array"}, "$.nodes[*]": {"key": "string"}}
+    return variants.json_faults(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), shape)
+
+
+_REASON = "CASE event_type WHEN 'click' THEN 'ast_call' WHEN 'view' THEN 'dynamic_target_unproven' ELSE 'guessed' END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'unresolved' ELSE 'inferred' END AS kind, {_REASON} AS reason, CASE WHEN value < 50 THEN 'GET /a' ELSE 'GET' END AS label FROM events)
+SELECT id, 'evidence_reason' AS rule FROM e WHERE reason = 'guessed' OR (reason = 'ast_call') <> (kind = 'inferred') UNION ALL SELECT id, 'label_form' FROM e WHERE label <> 'GET /a'""")
+def node_rules(spark, sf_dir):
+    """Each event as an HTTP call whose evidence may have another kind's reason, and whose label may not say its path."""
+    kind = F.when(F.col("event_id") % 3 == 0, "unresolved").otherwise("inferred")
+    reason = F.when(F.col("event_type") == "click", "ast_call").when(F.col("event_type") == "view", "dynamic_target_unproven").otherwise("guessed")
+    none = F.lit(None).cast("string")
+    piece = F.struct(kind.alias("kind"), F.lit("a").alias("adapter"), F.lit("1").alias("adapter_version"), none.alias("event_id"), reason.alias("reason"), none.alias("timestamp"))
+    label = F.when(F.col("value") < 50, "GET /a").otherwise("GET")
+    nodes = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("http_call").alias("kind"), F.lit("http").alias("layer"), label.alias("label"), F.lit("GET").alias("method"), F.lit("/a").alias("normalized_path"), F.array(piece).alias("evidence"))
+    return validate.node_violations(nodes).select("id", "rule")
