@@ -48,7 +48,7 @@ def accounted(source: DataFrame, migrated: DataFrame, quarantined: DataFrame, ke
 
 def append_events(events: DataFrame, stored: DataFrame, path: str, by: tuple[str, ...] = ("project", "repository_set_id", "capture_id")) -> None:
     """Append events whose id is not stored yet in their scope; only the scopes that ``events`` names are read."""
-    scopes = F.broadcast(events.select(*by).distinct())  # the captures of one append
+    scopes = events.select(*by).distinct()
     known = stored.join(scopes, list(by), "left_semi").select(*by, "event_id")
     new = events.dropDuplicates([*by, "event_id"]).join(known, [*by, "event_id"], "left_anti")
     new.write.mode("append").partitionBy(*by).parquet(path)

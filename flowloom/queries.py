@@ -647,19 +647,20 @@ def legacy_migration(spark, sf_dir):
     return parsed.select("key", F.lit(None).cast("string").alias("reason")).union(quarantined.select("key", "reason"))
 
 
-@query()
+@query("""WITH s AS (SELECT 's' || s_suppkey AS app FROM supplier), u AS (
+SELECT app, unnest(['GET', 'POST']) AS method, 'items/<int:pk>/' AS p, 'items/{p0}/' AS q, 'item' AS def_name FROM s UNION ALL SELECT app, 'GET', 'all/', 'all/', 'listed' FROM s
+UNION ALL SELECT app, unnest(['GET', 'POST']), 'api/notes/', 'api/notes/', 'Notes' FROM s UNION ALL SELECT app, unnest(['GET', 'PUT', 'PATCH', 'DELETE']), 'api/notes/<str:pk>/', 'api/notes/{p0}/', 'Notes' FROM s)
+SELECT method, '/' || app || '/' || p AS declared_path, '/' || app || '/' || q AS normalized_path, app || '/views.py' AS def_path, def_name FROM u""")
 def django_endpoints(spark, sf_dir):
-    """A site that includes an app for each nation; an app has a view of two methods, one of none, and a router."""
-    k = F.col("n_nationkey").cast("string")
-    nations = table(spark, sf_dir, "nation")
-    listed = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("path('n"), k, F.lit("/', include('n"), k, F.lit(".urls'))")))), ", ")
-    site = nations.agg(F.concat(F.lit("from django.urls import include, path\nurlpatterns = ["), listed, F.lit("]\n")).alias("text")).select(F.lit("site/urls.py").alias("path"), "text")
-    own = "from django.urls import include, path\nfrom . import views\nrouter = Router()\nrouter.register('notes', views.Notes)\nurlpatterns = [path('items/<int:pk>/', views.item), path('all/', views.listed), path('api/', include(router.urls))]\n"
+    """A site for each supplier that includes an app: a view of two methods, one of none, a pattern that is never reached, and a router."""
+    k, suppliers = F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), table(spark, sf_dir, "supplier")
+    site = F.concat(F.lit("from django.urls import include, path\nurlpatterns = [path('"), k, F.lit("/', include('"), k, F.lit(".more'))]\n"))
+    own = "from django.urls import include, path\nfrom . import views\nrouter = Router()\nrouter.register('notes', views.Notes)\nurlpatterns = [path('items/<int:pk>/', views.item), path('all/', views.listed), path('all/', views.item), path('api/', include(router.urls))]\n"
     views = "@require_http_methods(['GET', 'POST'])\ndef item(request, pk):\n    pass\ndef listed(request):\n    pass\nclass Notes(ModelViewSet):\n    pass\n"
-    in_app = lambda name, source: nations.select(F.concat(F.lit("n"), k, F.lit(f"/{name}.py")).alias("path"), F.lit(source).alias("text"))
-    sources = site.union(in_app("urls", own)).union(in_app("views", views))
+    in_app = lambda name, source: suppliers.select(F.concat(k, F.lit(f"/{name}.py")).alias("path"), source.alias("text"))
+    sources = in_app("urls", site).union(in_app("more", F.lit(own))).union(in_app("views", F.lit(views)))
     modules = frontend.proved_modules(sources.select("path"), spark.createDataFrame([("",)], "root string"))
-    return django.endpoints(files.python_facts(sources), modules, spark.createDataFrame([("site/urls.py",)], "path string"))
+    return django.endpoints(files.python_facts(sources), modules, sources.select("path").filter(F.col("path").endswith("/urls.py")))
 
 
 def queries() -> dict[str, Query]:
