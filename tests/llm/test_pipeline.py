@@ -17,7 +17,7 @@ def test_pipeline_on_small_data(spark):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
     ids = {k: set(v.doc_id) for k, v in kept.items()}
     assert ids["line_dedup"] == ids["language_id"] and ids["mixing"] <= ids["decontamination"]
-    assert ids["decontamination"] < ids["simhash_near_dedup"] < ids["line_dedup"]
+    assert ids["decontamination"] < ids["near_dedup"] < ids["line_dedup"]
     assert (kept["mixing"].groupby(["doc_id", "text"]).copy.max() <= 2).all()
     texts = kept["line_dedup"]
     assert (texts.n_chars == texts.text.map(len)).all()
