@@ -191,3 +191,24 @@ def test_stream_counts_each_event_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 5
+
+
+def test_short_keys_give_what_ids_give(spark):
+    """The order of ids decides, not that of the keys that are joined in their place."""
+    told = lambda key: F.sha2(key.cast("string"), 256)
+    both = lambda ends: F.concat(told(ends["source"]), told(ends["target"]))
+    names, picks = traverse.Names(told, both), random.Random(5)
+    pairs = sorted({(picks.randrange(25), picks.randrange(25)) for _ in range(34)})
+    nodes = spark.createDataFrame([(k, "data") for k in range(25)], "id long, layer string")
+    edges = spark.createDataFrame(pairs, "source long, target long").select(F.struct("source", "target").alias("id"), "source", "target")
+    whole = edges.select(both(F.col("id")).alias("id"), told(F.col("source")).alias("source"), told(F.col("target")).alias("target"))
+    ids = nodes.withColumn("id", told(F.col("id")))
+    root, wide = spark.createDataFrame([(7,)], "node long"), spark.createDataFrame([(7,), (3,)], "node long")
+    named = lambda df: df.withColumn("node", told(F.col("node")))
+    same = lambda a, b: sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+    assert same(named(traverse.layout(nodes, edges, root, names)), traverse.layout(ids, whole, named(root)))
+    assert same(traverse.outline(nodes, edges, root, names), traverse.outline(ids, whole, named(root)))
+    assert same(traverse.first_edges(edges, wide, names).select(both(F.col("id")).alias("id")), traverse.first_edges(whole, named(wide)).select("id"))
+    assert same(named(traverse.focus(edges, root, names=names).withColumn("edge", both(F.col("edge")))), traverse.focus(whole, named(root)))
+    reached = traverse.bfs(edges, root)
+    assert same(project.flow_layers(nodes, edges, reached, both).withColumn("id", told(F.col("id"))), project.flow_layers(ids, whole, named(reached)))
