@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.plans.lineage import written
+
 # Diagnostics of events, and why an item counts as observed.
 CODES = {"ambiguous": "runtime_event_ambiguous", "unmatched": "runtime_event_unmatched", "conflict": "runtime_identity_conflict"}
 ENDPOINT, VIEW, RESOLUTION = "runtime_coherent_endpoint", "runtime_coherent_view", "runtime_coherent_resolution"
@@ -16,14 +18,17 @@ def match(events: DataFrame, urls: DataFrame, views: DataFrame, links: DataFrame
 
     ``urls`` (url, endpoint_id), ``views`` (view, view_name), ``links`` (url, view) from
     urls to views, ``calls`` (url, edge) into urls. The outcome depends on the endpoint
-    and the view name alone, so it is decided once for each distinct pair.
+    and the view name alone, so it is decided once for each distinct pair. Links count
+    only between one URL and one view that were asked for, so others are never counted,
+    and where links come from a join, Spark drops the others before that join.
     """
     pairs = events.select("endpoint_id", "view_name").distinct()
     u = urls.groupBy("endpoint_id").agg(F.count("*").alias("n_u"), F.min("url").alias("url"))
     v = views.groupBy("view_name").agg(F.count("*").alias("n_v"), F.min("view").alias("view"))
-    uv = links.groupBy("url", "view").agg(F.count("*").alias("n_uv"))
     i = calls.groupBy("url").agg(F.count("*").alias("n_i"), F.min("edge").alias("edge"))
-    s = pairs.join(u, "endpoint_id", "left").join(v, "view_name", "left").join(uv, ["url", "view"], "left").join(i, "url", "left").fillna(0, ["n_u", "n_v", "n_uv", "n_i"])
+    known = pairs.join(u, "endpoint_id", "left").join(v, "view_name", "left")
+    uv = _between(links, known.filter("n_u = 1 and n_v = 1")).groupBy("url", "view").agg(F.count("*").alias("n_uv"))
+    s = known.join(uv, ["url", "view"], "left").join(i, "url", "left").fillna(0, ["n_u", "n_v", "n_uv", "n_i"])
     named = F.col("view_name").isNotNull()
     off = (F.col("n_u") != 1) | (named & (F.col("n_v") != 1))
     outcome = (
@@ -34,6 +39,13 @@ def match(events: DataFrame, urls: DataFrame, views: DataFrame, links: DataFrame
     return events.join(decided, events["endpoint_id"].eqNullSafe(F.col("__e")) & events["view_name"].eqNullSafe(F.col("__v")), "left").drop("__e", "__v")
 
 
+def _between(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """``links`` whose URL and whose view are among those ``asked``; one column at a time, which goes below a join that makes the links."""
+    for end in ("url", "view"):
+        links = links.join(asked.select(end).distinct(), end, "left_semi")
+    return links
+
+
 def capped(evidence: DataFrame, key: str, *order: str, most: int = 32) -> DataFrame:
     """The first ``most`` distinct rows of each key in ``order``, ranked before anything is collected.
 
@@ -60,13 +72,15 @@ def written_back(observed: DataFrame, links: DataFrame, items: DataFrame, most:
     to ``most`` with what it has; items that gain some have a confidence of at least 0.95.
     """
     named = F.col("view_name").isNotNull()
-    linked = observed.join(links.select("url", "view", "link"), ["url", "view"], "left")
+    linked = observed.join(_between(links, observed).select("url", "view", "link"), ["url", "view"], "left")
     hit = lambda column, reason: F.struct(F.col(column).cast("string").alias("id"), F.lit(reason).alias("reason"))
     hits = F.array(hit("url", ENDPOINT), F.when(named, hit("view", VIEW)), F.when(named, hit("link", VIEW)), hit("edge", RESOLUTION))
     all_ = linked.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"), "event_id", "timestamp").select("h.*", "event_id", "timestamp")
-    first = capped(all_, "id", "reason", "event_id", "timestamp", most=most)
+    # as a table its size is known: where it is small, no item is shuffled
+    first = written(capped(all_, "id", "reason", "event_id", "timestamp", most=most))
     rank = F.row_number().over(W.partitionBy("id").orderBy("reason", "event_id", "timestamp"))
     evidence = first.withColumn("rank", rank).join(items.select("id", "n_evidence"), "id").filter(F.col("rank") + F.col("n_evidence") <= most).drop("rank", "n_evidence")
+    evidence = written(evidence)
     gained = evidence.groupBy("id").agg(F.count("*").alias("gained"))
     after = items.join(gained, "id", "left").fillna(0, ["gained"])
     return evidence, after.select("id", (F.col("n_evidence") + F.col("gained")).alias("n_evidence"), lifted(F.col("confidence"), F.col("gained") > 0).alias("confidence"))

@@ -212,3 +212,18 @@ def test_short_keys_give_what_ids_give(spark):
     assert same(named(traverse.focus(edges, root, names=names).withColumn("edge", both(F.col("edge")))), traverse.focus(whole, named(root)))
     reached = traverse.bfs(edges, root)
     assert same(project.flow_layers(nodes, edges, reached, both).withColumn("id", told(F.col("id"))), project.flow_layers(ids, whole, named(reached)))
+
+
+def test_links_that_nobody_asks_for_are_never_joined(spark):
+    """Links made by a join: those of other URLs go before it, not after."""
+    n = 20_000
+    url, view = spark.range(n).select(F.col("id").alias("url"), F.lit(1).alias("k")), spark.range(n).select(F.concat(F.lit("s"), "id").alias("view"), F.lit(1).alias("k"))
+    links = url.join(F.broadcast(view), "k").select("url", "view", F.concat_ws("-", "url", "view").alias("link"))
+    urls, views = url.select("url", F.col("url").alias("endpoint_id")), view.select("view", F.col("view").alias("view_name"))
+    events = spark.createDataFrame([(1, "t", 5, "s7"), (2, "t", 6, None), (3, "t", -1, None)], "event_id long, timestamp string, endpoint_id long, view_name string")
+    calls = spark.createDataFrame([(5, 50, "c"), (6, 60, "c")], "url long, edge long, source string")
+    found = overlay.match(events, urls, views, links, calls)
+    assert {(r.event_id, r.outcome) for r in found.collect()} == {(1, "observed"), (2, "observed"), (3, "unmatched")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depths = lambda text: [len(line) - len(line.lstrip(" :+-")) for line in plan if text in line]
+    assert max(depths("Join LeftSemi"), default=0) > min(depths("Join Inner")), "the URLs asked for are looked up below the join that makes the links"
