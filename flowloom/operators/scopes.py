@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowloom.plans.lineage import written
 
 
-def innermost(points: DataFrame, spans: DataFrame, *keys: str, before: bool = False) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, *keys: str, before: bool = False, count: str | None = None) -> DataFrame:
     """``points`` (keys, at, more) with ``span`` (start, end, more): the innermost of ``spans`` (keys, start, end, more) that holds ``at``, or null.
 
     Spans of one key are nested or apart; they hold their start but not their end, and
@@ -22,6 +22,7 @@ def innermost(points: DataFrame, spans: DataFrame, *keys: str, before: bool = Fa
     pairs. A key's rows are one window, so keys should be bounded, as a source file is.
     Rows whose keys are null are among themselves. With ``before``, spans that start at a
     position don't hold it yet, so a span's own start asks for the span around it.
+    ``count`` names a column for the number of spans that hold the position.
     """
     held = F.struct(*[c for c in spans.columns if c not in keys])
     asked = F.struct(*points.columns)
@@ -36,7 +37,8 @@ def innermost(points: DataFrame, spans: DataFrame, *keys: str, before: bool = Fa
     deep = events.withColumn("depth", F.sum("step").over(swept(*keys)))
     # a start counts itself, so spans and the positions in them have one depth; at depth 0 nothing is open
     found = deep.withColumn("span", F.last("span", ignorenulls=True).over(swept(*keys, "depth")))
-    return found.filter("point is not null").select("point.*", F.when(F.col("depth") > 0, F.col("span")).alias("span"))
+    around = [F.col("depth").alias(count)] if count else []
+    return found.filter("point is not null").select("point.*", F.when(F.col("depth") > 0, F.col("span")).alias("span"), *around)
 
 
 def enclosing(points: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:

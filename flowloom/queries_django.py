@@ -69,9 +69,8 @@ def scope_innermost(spark, sf_dir):
     spans = orders.select("owner", (F.col("o_orderkey") * 1000).alias("start"), (F.col("o_orderkey") * 1000 + 900).alias("end"))
     spans = spans.union(lines.groupBy("owner", at.alias("start")).agg(F.max(at + 1 + F.col("l_quantity").cast("long"))))
     points = lines.select("owner", (F.col("l_orderkey") * 1000 + (F.col("l_partkey") * 7 + F.col("l_linenumber") * 131) % 1000).alias("pos")).distinct().withColumn("at", F.col("pos"))
-    inner = scopes.innermost(points, spans, "owner").select("owner", "pos", F.col("span.start").alias("start"))
-    around = scopes.enclosing(points, spans, "owner").groupBy("owner", "pos").agg(F.count("*").alias("depth"))
-    return inner.join(around, ["owner", "pos"], "left").select("owner", "pos", "start", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    # one sweep: the spans open at a position are those around it
+    return scopes.innermost(points, spans, "owner", count="depth").select("owner", "pos", F.col("span.start").alias("start"), "depth")
 
 
 @query("""WITH RECURSIVE w(fn, shape) AS (SELECT p_partkey // 2, 'a' || p_size % 3 FROM part WHERE p_size % 5 = 0 AND (p_partkey // 2) % 13 <> 0

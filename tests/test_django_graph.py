@@ -195,3 +195,12 @@ def test_files_that_are_no_python_and_none(spark):
 def fragment_of_nothing(spark):
     files = spark.createDataFrame([], "path string, text string")
     return django_graph.django_fragment(files, spark.createDataFrame([], "path string, module string"), "backend").nodes.count()
+
+
+def test_a_sweep_counts_the_spans_around_a_position(spark):
+    from flowloom.operators import scopes
+
+    spans = spark.createDataFrame([("a", 0, 100), ("a", 10, 50), ("a", 20, 30), ("b", 5, 6)], "owner string, start long, end long")
+    points = spark.createDataFrame([("a", 25), ("a", 40), ("a", 100), ("b", 5), ("c", 1)], "owner string, at long")
+    found = scopes.innermost(points, spans, "owner", count="depth").select("owner", "at", "span.start", "depth")
+    assert {tuple(r) for r in found.collect()} == {("a", 25, 20, 3), ("a", 40, 10, 2), ("a", 100, None, 0), ("b", 5, 5, 1), ("c", 1, None, 0)}
