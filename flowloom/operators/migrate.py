@@ -30,7 +30,11 @@ def snapshots(rows: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     exploded rows of a table that is parsed once, and each check reads its own columns.
     """
     d = rows.select("key", "payload", F.from_json("payload", SNAPSHOT).alias("s"), timestamp_ms(F.col("created_at")).alias("created_at"))
-    d = written(d.withColumn("keys", F.array_sort(F.json_object_keys("payload"))))
+    keys = F.array_sort(F.json_object_keys("payload"))
+    fits = F.coalesce((keys == F.array(*map(F.lit, KEYS))) & (F.col("s.project") == project), F.lit(False))
+    early = F.when(F.col("s").isNull() | keys.isNull(), "invalid_payload").when(F.col("created_at").isNull(), "invalid_timestamp").when(~fits, "legacy_incompatible")
+    # what a snapshot itself decides is a short column, so the join with wrong ids takes payloads only where they are asked for
+    d = written(d.withColumn("early", early))
     n = d.select("key", F.explode("s.nodes").alias("n"))
     identity = F.coalesce("n.source.symbol", "n.label")
     bad_nodes = n.filter(~F.coalesce(F.col("n.id") == node_id(F.lit(project), F.col("n.source.path"), F.col("n.kind"), identity), F.lit(False)))
@@ -41,12 +45,7 @@ def snapshots(rows: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     bad_routes = r.filter(~F.coalesce(F.col("r.id").isNull() & expected.isNotNull() | (F.col("r.id") == expected), F.lit(False)))
     lost = r.select("key", F.col("r.nodeId").alias("id")).join(n.select("key", F.col("n.id").alias("id")), ["key", "id"], "left_anti")
     wrong = bad_nodes.select("key").union(bad_edges.select("key")).union(bad_routes.select("key")).union(lost.select("key")).distinct().withColumn("wrong", F.lit(True))
-    fits = (F.col("keys") == F.array(*map(F.lit, KEYS))) & (F.col("s.project") == project)
-    reason = (
-        F.when(F.col("s").isNull() | F.col("keys").isNull(), "invalid_payload").when(F.col("created_at").isNull(), "invalid_timestamp")
-        .when(~F.coalesce(fits, F.lit(False)) | F.col("wrong"), "legacy_incompatible")
-    )
-    judged = d.join(wrong, "key", "left").withColumn("reason", reason)
+    judged = d.join(wrong, "key", "left").withColumn("reason", F.coalesce("early", F.when(F.col("wrong"), "legacy_incompatible")))
     return judged.filter("reason is null").select("key", "created_at", "s"), judged.filter("reason is not null").select("key", "payload", "reason")
 
 

@@ -87,3 +87,17 @@ def test_order_without_sorting(spark, parts):
         last = at, k
     assert Counter(tuple(r) for r in order.order_faults(rows, "at", "k").collect()) == want
     assert order.order_faults(rows.limit(0), "at", "k").count() == 0
+
+
+def test_reasons_of_legacy_snapshots_are_joined_without_their_payloads(spark):
+    from flowloom.operators import migrate
+
+    whole = '{"project":"p","diagnostics":[],"nodes":[],"edges":[],"routes":[]}'
+    rows = spark.createDataFrame([("a", whole, "2024-01-02 03:04:05"), ("b", "{", "2024-01-02 03:04:05"), ("c", whole, "soon"), ("d", whole.replace('"p"', '"q"'), "2024-01-02 03:04:05"), ("e", whole.replace(',"routes":[]', ""), "2024-01-02 03:04:05")], "key string, payload string, created_at string")
+    parsed, quarantined = migrate.snapshots(rows, "p")
+    reasons = quarantined.select("key", "reason")
+    assert {tuple(r) for r in reasons.collect()} == {("b", "invalid_payload"), ("c", "invalid_timestamp"), ("d", "legacy_incompatible"), ("e", "legacy_incompatible")}
+    assert [r.key for r in parsed.collect()] == ["a"]
+    plan = reasons._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    left = plan[next(i for i, line in enumerate(plan) if "Join LeftOuter" in line) + 1]
+    assert "early#" in left and " s#" not in left and "payload#" not in left
