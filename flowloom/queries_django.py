@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import digests, frontend, order, scopes, symbols, validate, variants
 from flowloom.queries import query
 from flowloom.session import table
-from flowloom.sources import django_graph
+from flowloom.sources import django_graph, files
 
 
 def _text(*parts) -> Column:
@@ -28,13 +28,13 @@ def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     models = _text("from django.db import models\nclass C", k, "(models.Model):\n    pass\n")
     sources = F.array(*[F.struct(F.lit(name).alias("name"), text.alias("text")) for name, text in (("__init__", F.lit("")), ("urls", urls), ("views", views), ("models", models))])
-    return table(spark, sf_dir, "part").select(k.alias("k"), F.explode(sources).alias("s")).select(_text("a", F.col("k"), "/", F.col("s.name"), ".py").alias("path"), "s.text")
+    return files.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("k"), F.explode(sources).alias("s")).select(_text("a", F.col("k"), "/", F.col("s.name"), ".py").alias("path"), "s.text")
 
 
 def _fragment(spark: SparkSession, sf_dir: str) -> django_graph.Fragment:
-    files = apps(spark, sf_dir)
-    modules = frontend.proved_modules(files.select("path"), spark.createDataFrame([("",)], "root string"))
-    return django_graph.django_fragment(files, modules, "backend")
+    texts = apps(spark, sf_dir)
+    modules = frontend.proved_modules(texts.select("path"), spark.createDataFrame([("",)], "root string"))
+    return django_graph.django_fragment(texts, modules, "backend")
 
 
 _APPS = """WITH p AS (SELECT p_partkey, p_size AS n, 'a' || p_partkey AS app, 'a' || p_partkey || '/views.py' AS v FROM part),

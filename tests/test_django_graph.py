@@ -2,6 +2,9 @@
 
 import random
 
+import pandas as pd
+
+from flowloom import queries_django
 from flowloom.operators import assemble, frontend, scopes
 from flowloom.sources import django_graph, syntax
 
@@ -204,3 +207,18 @@ def test_a_sweep_counts_the_spans_around_a_position(spark):
     points = spark.createDataFrame([("a", 25), ("a", 40), ("a", 100), ("b", 5), ("c", 1)], "owner string, at long")
     found = scopes.innermost(points, spans, "owner", count="depth").select("owner", "at", "span.start", "depth")
     assert {tuple(r) for r in found.collect()} == {("a", 25, 20, 3), ("a", 40, 10, 2), ("a", 100, None, 0), ("b", 5, 5, 1), ("c", 1, None, 0)}
+
+
+def test_places_of_many_files_are_few_frames(spark):
+    batch = pd.DataFrame({"path": [f"{i}.py" for i in range(3000)], "text": [None if i % 5 == 0 else "def (" if i % 7 == 0 else "import a\na.b()\n" for i in range(3000)]})
+    found = list(syntax.frames(iter([batch])))
+    assert len(found) <= 2
+    want = [r for path, text in zip(batch["path"], batch["text"], strict=True) if text for r in syntax.places(path, text)]
+    assert [tuple(r) for f in found for r in f.itertuples(index=False)] == want
+    # whatever the kinds of rows in a frame, their positions stay whole numbers
+    places = syntax.python_places(spark.createDataFrame(batch.head(40)))
+    assert {tuple(r)[:2] + (r["at"], r["end"]) for r in places.collect()} == {r[:2] + (r[5], r[7]) for r in want if int(r[0][:-3]) < 40}
+
+
+def test_apps_are_parsed_by_many_tasks(spark):
+    assert queries_django.apps(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
