@@ -140,6 +140,8 @@ def endpoints(facts: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFra
     Routers give a collection and a detail url for each registration and one for each action
     of its view set; a collection or detail without methods answers GET.
     """
+    # both are asked for many times: sources are parsed once
+    facts, modules = written(facts), written(modules)
     found = written(included(facts, modules, roots))
     router = F.regexp_extract("expression", r"^include\((\w+)\.urls\)$", 1)
     views = found.filter(~F.col("expression").startswith("include(")).select("path", F.concat("prefix", "route").alias("declared"), F.regexp_replace("expression", r"\.as_view\(.*\)$", "").alias("expression"), "place", F.lit("view").alias("role"))

@@ -79,3 +79,26 @@ def test_no_files(spark):
     facts = files.python_facts(spark.createDataFrame([], "path string, text string"))
     modules = spark.createDataFrame([], "module string, path string")
     assert django.endpoints(facts, modules, spark.createDataFrame([], "path string")).count() == 0
+
+
+def test_endpoints_parse_sources_once_and_in_many_tasks(spark, monkeypatch):
+    from flowloom import queries as graph
+    from flowloom.sources import files as sources
+
+    parsed, seen = sources.python_facts, []
+    times = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            times.add(len(batch))
+            yield batch
+
+    def facts(rows):
+        seen.append(rows.rdd.getNumPartitions())
+        return parsed(rows.mapInPandas(counted, "path string, text string"))
+
+    monkeypatch.setattr(graph.files, "python_facts", facts)
+    found = graph.queries()["django_endpoints"](spark, "/root/testdata/sf0.001").collect()
+    suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert len(found) == 9 * suppliers
+    assert seen == [4] and times.value == 3 * suppliers
