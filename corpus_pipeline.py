@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, language, lines, mixing, resemble
+from flowloom.llm import decontaminate, language, lines, mixing, resemble, simhash
+from flowloom.llm.components import components
 from flowloom.llm.text import id_bucket, numbered_rows
 from flowloom.plans.lineage import settled, written
 from flowloom.session import table
@@ -43,14 +44,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def near_groups(texts: DataFrame) -> DataFrame:
+    """(row, component) of ``texts`` (row, text): the groups of op1's fingerprints, SimHash within 3 bits, joined with those of exact resemblance.
+
+    That radius reaches few near copies that are not identical, so resemblance adds what it
+    leaves apart. Either kind of group is named by a row of its own, so a row's two names are a link.
+    """
+    prints = simhash.near_duplicates(texts.withColumnRenamed("row", "doc_id")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("near"))
+    both = written(resemble.resemblance_groups(texts).join(prints, "row"))
+    roots = components(both.filter("component <> near").select(F.col("component").alias("a"), F.col("near").alias("b")).distinct())
+    return both.join(roots.toDF("component", "root"), "component", "left").select("row", F.coalesce("root", "component").alias("component"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates exactly one row stays: of the least id, null ids last; of equal ids the least row number.
 
-    Null and blank texts are one group. Very long texts are compared whole. Of repeated
+    Near-duplicates are rows that links of SimHash fingerprints within 3 bits or of a shingle
+    similarity of 0.8 connect. Null and blank texts are one group. Very long texts are compared whole. Of repeated
     rows one stays. An empty table gives an empty one.
     """
     rows = numbered_rows(docs.select(*COLUMNS))
-    placed = settled(spark, lambda: rows.select("row", "doc.doc_id").join(resemble.resemblance_groups(rows.select("row", "doc.text")), "row"))
+    placed = settled(spark, lambda: rows.select("row", "doc.doc_id").join(near_groups(rows.select("row", "doc.text")), "row"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = placed.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
     gone = placed.join(best, "component").filter("row <> best.row").select("row")

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from flowloom.llm import resemble
+from flowloom.llm import resemble, simhash
+from flowloom.llm.text import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,3 +115,16 @@ def test_stages_take_clashing_columns_and_empty_tables(spark):
         assert got.columns[:5] == list(corpus_pipeline.COLUMNS), name
         assert sorted(map(repr, got.collect())) == sorted(map(repr, stage(spark, docs, sf_dir).collect())), name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_near_dedup_joins_what_fingerprints_link(spark):
+    notice, text = prose(3, 1) * 120, " ".join
+    a, b, c = text(notice + prose(12, 2)), text(notice + prose(12, 3)), text(prose(150, 4))
+    x, y = simhash.simhash(words(a)), simhash.simhash(words(b))
+    assert (x ^ y).bit_count() <= 3
+    sets = [set(resemble.shingle_set(t).tolist()) for t in (a, b)]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    # d resembles b alone, so one group is made of links of both kinds
+    d = text([*notice, *prose(12, 3), "added"])
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, [(5, a), (4, b), (3, d), (2, c)]), "").collect())
+    assert got == [2, 3]
