@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +35,8 @@ REMEMBERED = 400_000
 LONGEST = 40
 #: States of the lattice that are kept after each character.
 STATES = 64
-#: Costs of a word of the vocabulary as a whole, of a border beside it in a longer token, and how much cheaper than the plain reading it must be.
-WORD, BORDER, CLEARLY = 8.0, 2.0, 2.0
+#: Costs of a word of the vocabulary as a whole, and of a border beside it in a longer token.
+WORD, BORDER = 8.0, 2.0
 #: The least weight of such a word as a part of the strongest word's: letters of weaker ones also stand in texts by chance.
 ARC = 0.8
 #: States that cost so much more than the cheapest do not go on either.
@@ -70,18 +70,15 @@ def _folds() -> np.ndarray:
 
 
 class Vocabulary:
-    """Finds words in any disguise of a text: signs for letters, repeats, dropped signs, gaps, or other letters around them."""
+    """Finds the stretches of a text that a word may stand in, in any disguise, and reads them by the channel's lattice."""
 
     def __init__(self, words: list[str], costs: np.ndarray):
         import ahocorasick
 
-        self.costs, self.folds, self.automaton = costs, _folds(), ahocorasick.Automaton()
-        by_fold: dict[str, list[str]] = {}
-        for w in words:
-            by_fold.setdefault(self.folded(w)[0], []).append(w)
-        for fold, same in by_fold.items():
+        self.channel, self.words, self.folds, self.automaton = Channel(costs, words), set(words), _folds(), ahocorasick.Automaton()
+        for fold in {self.folded(w)[0] for w in words}:
             if len(fold) > 2:
-                self.automaton.add_word(fold, (len(fold), same))
+                self.automaton.add_word(fold, len(fold))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -93,46 +90,46 @@ class Vocabulary:
         new = np.concatenate(([True], letters[1:] != letters[:-1])) if len(at) else np.zeros(0, bool)
         return letters[new].astype("<u4").tobytes().decode("utf-32-le"), at[new], at[np.append(new[1:], True)] if len(at) else at
 
-    def plainly(self, text: str) -> float:
-        """The cost of reading a stretch of text as it is written."""
-        codes = _TABLE[np.frombuffer((" " + " ".join(text.split()) + " ").encode("utf-32-le", "replace"), "<u4")]
-        codes = np.concatenate(([EDGE], codes))
-        signs = int((codes == OTHER).sum())
-        return float(self.costs[codes[:-2], codes[1:-1], codes[2:]].sum()) + KEPT * signs if len(codes) > 3 else 0.0
-
-    def hidden(self, text: str) -> set[str]:
-        """Words that read more cheaply than the pieces of ``text`` (lower case) that they are hidden in.
+    def stretches(self, text: str) -> list[tuple[int, int]]:
+        """Where whole pieces of ``text`` (lower case) have to be read together, in order and apart.
 
-        Every place whose letters are those of a word is judged, however many gaps, signs
-        and repeats are between them. Across gaps a word must begin and end where a piece does.
+        These are runs of single characters, and all pieces that the letters of one word
+        lie in, whatever gaps, repeats and signs that stand for none are between them or letters
+        around them. Elsewhere no word arc goes over a gap, so a gap there is a border and pieces are read one by one.
         """
-        if not len(self.automaton):
-            return set()
-        letters, at, again = self.folded(text)
-        found: set[str] = set()
-        for last, (size, same) in self.automaton.iter(letters):
-            start, end = int(again[last - size + 1]), int(at[last]) + 1
-            begin = max((m.end() for m in _GAP.finditer(text, max(0, start - 64), start)), default=max(0, start - 64))
-            stop = next((m.start() for m in _GAP.finditer(text, end, end + 64)), min(len(text), end + 64))
-            before, core, after = text[begin:start], text[start:end], text[end:stop]
-            gaps = len(core.split()) - 1
-            fold_before, fold_after = self.folded(before)[0], self.folded(after)[0]
-            # what is left of the pieces may repeat the word's first or last letter, or be signs that stand for nothing
-            loose = fold_before not in ("", letters[last - size + 1]) or fold_after not in ("", letters[last])
-            if gaps and loose:
-                continue
-            for w in same:
-                written = core.replace(" ", "")
-                changed = sum(c not in w for c in written)
-                known = WORD + GAP * gaps + SUBSTITUTED * changed + REPEATED * max(0, len(written) - len(w))
-                if loose:
-                    known += sum(BORDER + self.plainly(x) for x, f in ((before, fold_before), (after, fold_after)) if f)
-                if known + CLEARLY < self.plainly(text[begin:stop]):
-                    found.add(w)
-        return found
+        found = [m.span() for m in _SINGLE.finditer(text)]
+        if len(self.automaton):
+            letters, at, again = self.folded(text)
+            for last, size in self.automaton.iter(letters):
+                begin, stop = int(again[last - size + 1]), int(at[last]) + 1
+                while begin and not text[begin - 1].isspace():
+                    begin -= 1
+                end = _GAP.search(text, stop)
+                found.append((begin, end.start() if end else len(text)))
+        out: list[tuple[int, int]] = []
+        for begin, stop in sorted(found):
+            if out and begin < out[-1][1]:
+                out[-1] = out[-1][0], max(stop, out[-1][1])
+            else:
+                out.append((begin, stop))
+        return out
 
+    def pieces(self, text: str) -> tuple[set[str], set[str]]:
+        """The distinct stretches of ``text`` (lower case), and the distinct tokens outside of them."""
+        found, rest, at = set(), [], 0
+        for begin, stop in self.stretches(text):
+            found.add(text[begin:stop])
+            rest.append(text[at:begin])
+            at = stop
+        rest.append(text[at:])
+        return found, {t for r in rest for t in r.split()}
 
-_GAP = re.compile(r"\s+")
+    def hidden(self, text: str) -> set[str]:
+        """The words of the vocabulary that are read in the stretches of ``text`` (lower case)."""
+        return {w for run in self.pieces(text)[0] for w in self.channel.rejoined(run).split()} & self.words
+
+
+_GAP = re.compile(r"\s")
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -168,11 +165,22 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 class Channel:
-    """Restores the words of a text."""
+    """Restores the words of a text; ``words`` are arcs of its lattice, besides the single characters."""
 
-    def __init__(self, costs: np.ndarray):
+    def __init__(self, costs: np.ndarray, words: Iterable[str] = ()):
         self.costs = costs.tolist()
         self.known: dict[str, str] = {}
+        self.letters = [frozenset(w) for w in words]
+        #: The trie: for each node the nodes that follow by a letter, and the word that ends there.
+        self.trie: list[tuple[dict[str, int], str]] = [({}, "")]
+        for w in words:
+            node = 0
+            for c in w:
+                if c not in (after := self.trie[node][0]):
+                    after[c] = len(self.trie)
+                    self.trie.append(({}, ""))
+                node = after[c]
+            self.trie[node] = self.trie[node][0], w
 
     def decoded(self, text: str) -> str:
         """The likeliest words behind ``text``: a Viterbi path through its readings under the language model.
@@ -181,11 +189,20 @@ class Channel:
         that repeats the one before, may be dropped; so may white space, which else is a
         border; and a border may stand where none is written. Only the ``STATES`` cheapest
         states within ``MARGIN`` go on from a character, so that time follows the text's length.
+
+        A known word is a path of its own through the same characters, at one cost for all
+        its letters. It may begin and end inside a token, at the cost of a border, but then
+        holds no white space. Its states are few and none is dropped.
         """
         costs = self.costs
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
+        words = self._can_hold(text)
+        inside: dict[tuple[int, str, bool, bool], tuple[float, tuple | None]] = {}
         for ch in text:
             after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+            if words:
+                self._ended(inside, states, ch.isspace())
+                inside = self._inside(inside, states, ch)
             limit = min(cost for cost, _ in states.values()) + MARGIN if len(states) > 1 else 1e300
             if ch in _CODE:  # a letter: it is read as itself, dropped as a repeat, or begins a word
                 code = _CODE[ch]
@@ -233,6 +250,8 @@ class Channel:
                     if old is None or old[0] > new:
                         after[key] = new, way
             states = after if len(after) <= STATES else dict(sorted(after.items(), key=lambda s: s[1][0])[:STATES])
+        if words:
+            self._ended(inside, states, True)
         path = min(((cost + (costs[a][b][EDGE] if b != EDGE or path is None else 0.0), path) for (a, b, _), (cost, path) in states.items()), key=lambda s: s[0])[1]
         letters = []
         while path:
@@ -240,6 +259,52 @@ class Channel:
             letters.append(c)
         return "".join(reversed(letters))
 
+    def _can_hold(self, text: str) -> bool:
+        """Whether all letters of some known word stand, or are stood for, in ``text``."""
+        have = set(text).union(*(STANDS_FOR[c] for c in set(text) if c in STANDS_FOR)) if self.letters else ()
+        return any(word <= have for word in self.letters)
+
+    def _ended(self, inside: dict, states: dict, border: bool) -> None:
+        """Adds to ``states`` the known words that end here, at a written border or inside a token."""
+        for (node, _, _, gaps), (cost, path) in inside.items():
+            word = self.trie[node][1]
+            if word and (border or not gaps):
+                new = cost + (0.0 if border else BORDER)
+                if (old := states.get((EDGE, EDGE, ""))) is None or old[0] > new:
+                    states[(EDGE, EDGE, "")] = new, ((path, word), " ")
+
+    def _inside(self, inside: dict, states: dict, ch: str) -> dict:
+        """States (node, last character, begun inside a token, holds gaps) in known words after ``ch``, from those before it and from those outside."""
+        after: dict[tuple[int, str, bool, bool], tuple[float, tuple | None]] = {}
+
+        def put(key: tuple[int, str, bool, bool], cost: float, path: tuple | None) -> None:
+            if (old := after.get(key)) is None or old[0] > cost:
+                after[key] = cost, path
+
+        if ch.isspace():
+            for (node, last, begun, _), (cost, path) in inside.items():
+                if not begun:
+                    put((node, last, begun, True), cost + GAP, path)
+            return after
+        sign, readings = not ch.isalpha(), [(c, SUBSTITUTED) for c in STANDS_FOR.get(ch, "")]
+        readings.append((ch, KEPT if sign else 0.0))
+        for (node, last, begun, gaps), (cost, path) in inside.items():
+            for c, extra in readings:
+                if (child := self.trie[node][0].get(c)) is not None:
+                    put((child, ch, begun, gaps), cost + extra, path)
+            if ch == last:
+                put((node, ch, begun, gaps), cost + REPEATED, path)
+            elif sign:
+                put((node, last, begun, gaps), cost + (LOST if len(readings) > 1 else DROPPED), path)
+        first = [(child, extra) for c, extra in readings if (child := self.trie[0][0].get(c)) is not None]
+        if first:
+            for (a, b, _), (cost, path) in states.items():
+                begun = b != EDGE
+                start = cost + WORD + (BORDER + self.costs[a][b][EDGE] if begun else 0.0)
+                for child, extra in first:
+                    put((child, ch, begun, False), start + extra, (path, " ") if begun else path)
+        return after
+
     def restored(self, token: str) -> str:
         """The word, or words, behind a token. A token of different letters alone has one reading and needs no search."""
         token = _RUNS.sub("", token.strip(_FRAME)).strip(_FRAME)
@@ -330,15 +395,15 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = FITTED, least: int =
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc, score): each row of ``docs`` as a struct, and the evidence of all its restored words: one less the chance that none is toxic.
 
-    Tokens are decoded each by itself. The strongest words are also arcs of their own: wherever
-    the letters of one stand in the text, whatever gaps, signs and repeats are between or
-    letters around them, the word is read if that costs less than the pieces as written.
+    The strongest words are arcs of the lattice. Pieces that such a word, or a run of single
+    characters, may lie in are decoded together, with the gaps between them as edges that
+    are dropped or are borders; other tokens are decoded each by itself.
     """
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        channel, weights = Channel(model.costs), model.weights
-        hidden = Vocabulary(model.strong(), model.costs)
+        weights, vocabulary = model.weights, Vocabulary(model.strong(), model.costs)
+        channel = vocabulary.channel
         lowest = min(0.25, model.prior / 2)
         known: dict[str, tuple[tuple[str, float], ...]] = {}
 
@@ -350,8 +415,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for text in texts:
                 found: dict[str, float] = {}
-                low = (text or "").lower()
-                for token in set(low.split()):
+                runs, tokens = vocabulary.pieces((text or "").lower())
+                for token in tokens:
                     ws = known.get(token)
                     if ws is None:
                         if len(known) > REMEMBERED:
@@ -359,8 +424,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                         ws = known[token] = weighed(channel.restored(token))
                     if ws:
                         found.update(ws)
-                for w in hidden.hidden(low):
-                    found.update(weighed(w))
+                for run in runs:
+                    found.update(weighed(channel.rejoined(run)))
                 none = 1.0 - lowest
                 for x in found.values():
                     none *= 1.0 - x
