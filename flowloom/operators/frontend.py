@@ -16,6 +16,8 @@ from flowloom.plans.ranking import numbered
 
 #: Members of a template's domains multiplied: more than so many paths count as unbounded.
 MOST_PATHS = 4096
+#: Rows of members in a part, parts at most that a task writes to as it reads (Spark's threshold for writing without sorting), parts of a domain.
+ROWS, STREAMED, BUCKETS = 400_000, 200, 64
 
 
 def frameworks(files: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -62,25 +64,47 @@ def lost_routes(routes: DataFrame) -> DataFrame:
     return missed.select("id", F.lit("missing_parent").alias("rule")).union(rest.select("id", F.lit("circle")))
 
 
+def dealt_parts(rows: DataFrame) -> int:
+    """Partitions that hold about ``ROWS`` each, at least as many as shuffles have, else ``STREAMED`` at most."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(STREAMED, -(-rows.count() // ROWS)))
+
+
 def bounded_templates(templates: DataFrame, members: DataFrame) -> DataFrame:
     """(id, path, placeholders) of templates (id, path) with members (id, token, value) of their placeholders; unprovable ones are left out.
 
     A placeholder holds token, member_count, accepted_converters and segment_index. Each
     must be a whole segment and have a converter that accepts all its members, and the
     members multiplied must be at most ``MOST_PATHS``.
+
+    Members are dealt as they are read, over parts that grow in number with them, so that
+    neither the reading task nor a part holds more than its share; a domain of many
+    members lies in up to ``BUCKETS`` parts and is counted there. The rest is dealt by id.
     """
-    fits = [F.bool_and(F.col("value").rlike(CONVERTER_MEMBERS[c])).alias(c) for c in BUILT_IN_CONVERTERS]
+    parts = dealt_parts(members)
+    bit = {c: 1 << i for i, c in enumerate(BUILT_IN_CONVERTERS)}
+    fits = reduce(Column.bitwiseOR, [F.when(F.col("value").rlike(CONVERTER_MEMBERS[c]), n).otherwise(0) for c, n in bit.items()])
+    dealt = members.select("id", "token", "value", F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).cast("int").alias("bucket")).repartition(parts, "id", "token", "bucket")
+    counted = dealt.distinct().groupBy("id", "token", "bucket").agg(F.count("*").alias("n"), F.bit_and(F.when(F.col("value").isNotNull(), fits)).alias("fits")).drop("bucket")
+    domains = counted.repartition(parts, "id").groupBy("id", "token").agg(F.sum("n").alias("n"), F.bit_and("fits").alias("fits")).filter("token is not null")
+    by_id = domains.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("n", "fits")))).alias("domains"))
+
     segments = F.split(F.substring("path", F.lit(2), F.char_length("path")), "/")
-    tokens = templates.select("id", "path", F.posexplode(segments).alias("segment_index", "segment")).filter(F.col("segment").rlike(r"^\{\w+\}$"))
-    tokens = tokens.select("id", "segment_index", F.regexp_extract("segment", r"^\{(\w+)\}$", 1).alias("token"))
-    domains = members.distinct().groupBy("id", "token").agg(F.count("*").alias("member_count"), *fits)
-    accepted = F.filter(F.array(*[F.when(F.col(c), c) for c in BUILT_IN_CONVERTERS]), lambda c: c.isNotNull())
-    both = tokens.join(domains.select("id", "token", "member_count", accepted.alias("accepted_converters")), ["id", "token"], "left")
-    record = F.struct("segment_index", "token", "member_count", "accepted_converters")
-    size = F.exp(F.sum(F.ln(F.coalesce("member_count", F.lit(MOST_PATHS + 1)))))
-    found = both.groupBy("id").agg(F.array_sort(F.collect_list(record)).alias("placeholders"), size.alias("paths"), F.bool_and(F.coalesce(F.size("accepted_converters") > 0, F.lit(False))).alias("ok"))
+    at = F.transform(segments, lambda s, i: F.struct(i.alias("segment_index"), F.regexp_extract(s, r"^\{(\w+)\}$", 1).alias("token")))
     loose = F.regexp_replace("path", r"/\{\w+\}(?=/|$)", "/").rlike(r"[{}?#\\\s]")
-    return templates.filter(~loose & F.col("path").startswith("/")).join(found.filter(F.col("ok") & (F.col("paths") < MOST_PATHS + 0.5)), "id").select("id", "path", "placeholders")
+    declared = templates.filter(~loose & F.col("path").startswith("/")).select("id", "path").repartition(parts, "id")
+    both = declared.join(by_id, "id").withColumn("tokens", F.filter(at, lambda t: t.token != "")).filter(F.size("tokens") > 0)
+
+    def accepted(domain: Column) -> Column:
+        return F.filter(F.array(*[F.when(domain.fits.bitwiseAND(n) != 0, c) for c, n in bit.items()]), lambda c: c.isNotNull())
+
+    def record(t: Column) -> Column:
+        domain = F.try_element_at("domains", t.token)
+        return F.struct(t.segment_index.alias("segment_index"), t.token.alias("token"), domain.n.alias("member_count"), accepted(domain).alias("accepted_converters"))
+
+    found = both.select("id", "path", F.transform("tokens", record).alias("placeholders"))
+    paths = F.aggregate("placeholders", F.lit(1.0), lambda size, p: size * F.coalesce(p.member_count, F.lit(MOST_PATHS + 1)))
+    return found.filter(F.forall("placeholders", lambda p: F.size(p.accepted_converters) > 0) & (paths <= MOST_PATHS))
 
 
 def most_confident(declarations: DataFrame, key: str = "key") -> DataFrame:
