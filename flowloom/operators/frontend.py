@@ -162,11 +162,12 @@ def proved_modules(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, module) of Python files (path) below roots (root, "" for the top): the dotted name from the deepest root.
 
     A file whose deepest root gives no name of identifiers falls back to the next one; manage.py has none.
-    Every folder above a file is one row, so that roots are found by an equi-join.
+    Every folder above a file is one row, so that roots are found by an equi-join; a project has few
+    roots, which go to all tasks, where Spark, that does not know their number, would send the files.
     """
     parts = F.split("path", "/")
     ups = files.select("path", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"))
-    at = ups.withColumn("root", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/")).join(roots.select("root").distinct(), "root")
+    at = ups.withColumn("root", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/")).join(F.broadcast(roots.select("root").distinct()), "root")
     rest = F.slice("parts", F.col("depth") + 1, F.size("parts"))
     names = F.transform(rest, lambda p: F.regexp_replace(p, r"\.py$", ""))
     proper = F.forall(names, lambda n: n.rlike(r"^[A-Za-z_]\w*$")) & (F.element_at(rest, -1) != "manage.py")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.plans.joins import shuffled
 from flowloom.plans.lineage import written
 
 
@@ -52,7 +53,7 @@ def enclosing(points: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     levels = []
     while not level.isEmpty():
         levels.append(level)
-        outer = level.withColumn("__start", F.col("span.start")).join(parents, [*keys, "__start"])
+        outer = level.withColumn("__start", F.col("span.start")).join(shuffled(parents), [*keys, "__start"])
         level = written(outer.select(*[F.col("__outer").alias(c) if c == "span" else (F.col(c) + 1).alias(c) if c == "out" else c for c in level.columns]))
     return reduce(DataFrame.union, levels) if levels else level
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.paths import django_route
+from flowloom.plans.joins import shuffled
 from flowloom.plans.lineage import written
 
 # Methods of generic views, of view sets and of their actions.
@@ -93,7 +94,7 @@ def view_methods(facts: DataFrame) -> DataFrame:
     named = F.when(F.col("short").isin("api_view", "require_http_methods"), F.from_json(F.get_json_object("target", "$.args"), "array<string>"))
     named = named.when(F.col("short") == "require_GET", F.array(F.lit("GET"))).when(F.col("short") == "require_POST", F.array(F.lit("POST"))).when(F.col("short") == "require_safe", F.array(F.lit("GET"), F.lit("HEAD")))
     functions = facts.filter("kind = 'function'").select("path", F.col("name").alias("parent"))
-    decorated = d.join(functions, ["path", "parent"], "left_semi").select(F.col("path").alias("def_path"), F.col("parent").alias("def_name"), F.lit("view").alias("role"), F.explode(named).alias("method"))
+    decorated = d.join(shuffled(functions), ["path", "parent"], "left_semi").select(F.col("path").alias("def_path"), F.col("parent").alias("def_name"), F.lit("view").alias("role"), F.explode(named).alias("method"))
 
     classes = facts.filter("kind in ('class', 'model')").select(F.col("path").alias("def_path"), F.col("name").alias("def_name"), F.posexplode_outer(F.split("target", ",")).alias("at", "base")).withColumn("base", _last(F.trim("base")))
     rows = [(b, "view", m) for b, m in GENERIC_METHODS.items()] + [(b, r, m) for b, roles in VIEWSET_METHODS.items() for r, m in roles.items()]
@@ -101,7 +102,7 @@ def view_methods(facts: DataFrame) -> DataFrame:
     inherited = classes.join(known, "base").groupBy("def_path", "def_name", "role").agg(F.min_by("methods", "at").alias("methods"))
     own = facts.filter("kind = 'function' and parent is not null").select(F.col("path").alias("def_path"), F.col("parent").alias("def_name"), _last(F.col("name")).alias("child"))
     actions = F.broadcast(spark.createDataFrame([(a, r, m) for a, (r, m) in ACTION_METHODS.items()] + [(m, "view", m.upper()) for m in HTTP_METHODS], "child string, role string, method string"))
-    members = own.join(classes.select("def_path", "def_name").distinct(), ["def_path", "def_name"], "left_semi").join(actions, "child").join(inherited, ["def_path", "def_name", "role"], "left_anti")
+    members = own.join(shuffled(classes.select("def_path", "def_name").distinct()), ["def_path", "def_name"], "left_semi").join(actions, "child").join(shuffled(inherited), ["def_path", "def_name", "role"], "left_anti")
     stated = inherited.select("def_path", "def_name", "role", F.explode("methods").alias("method"))
     return decorated.union(stated).union(members.select(*decorated.columns)).withColumn("method", F.upper("method")).distinct()
 

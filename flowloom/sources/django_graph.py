@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from flowloom.functions import urls as targets
 from flowloom.functions.text import authority
 from flowloom.operators.scopes import enclosing, innermost, reaching
+from flowloom.plans.joins import shuffled
 from flowloom.plans.lineage import written
 from flowloom.sources.django import view_methods, viewset_actions
 from flowloom.sources.files import python_facts
@@ -64,7 +65,7 @@ def bindings(places: DataFrame, defs: DataFrame, modules: DataFrame) -> DataFram
     """(path, name, start, end, symbol, full): what a name means in a scope, a definition of the file or an imported full name; definitions come first."""
     own = modules.groupBy("path").agg(F.count("*").alias("n"), F.first("module").alias("own")).withColumn("own", F.when(F.col("n") == 1, F.split("own", r"\.")))
     level = F.coalesce(_detail("level").cast("int"), F.lit(0))
-    i = places.filter("kind = 'import'").select("path", "name", "value", "at", level.alias("level")).join(own.select("path", "own"), "path", "left")
+    i = places.filter("kind = 'import'").select("path", "name", "value", "at", level.alias("level")).join(shuffled(own.select("path", "own")), "path", "left")
     kept = F.coalesce(F.size("own"), F.lit(0)) - F.col("level") + F.col("path").rlike(r"(^|/)__init__\.py$").cast("int")
     package = F.slice(F.coalesce("own", F.array().cast("array<string>")), F.lit(1), F.greatest(kept, F.lit(0)))
     above = (F.col("level") > 0) & ((kept < 0) | F.col("own").isNull() | ((kept == 0) & (F.col("level") > 1)))
@@ -97,13 +98,13 @@ def resolved(refs: DataFrame, bound: DataFrame, defs: DataFrame, modules: DataFr
     full = near.filter("full is not null").select("ref", _dots(F.col("full"), F.col("more")).alias("full"))
     split = full.select("ref", "full", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k"))
     split = split.select("ref", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), ".").alias("module"), F.array_join(F.slice(parts, F.col("k") + 1, F.size(parts)), ".").alias("rest"))
-    longest = split.join(known, "module").groupBy("ref").agg(F.max_by(F.struct("files", "module_path", "rest"), "k").alias("m"))
-    there = full.join(longest, "ref", "left").withColumn("root", F.substring_index("full", ".", 1)).join(roots.withColumn("ours", F.lit(True)), "root", "left")
+    longest = split.join(shuffled(known), "module").groupBy("ref").agg(F.max_by(F.struct("files", "module_path", "rest"), "k").alias("m"))
+    there = full.join(shuffled(longest), "ref", "left").withColumn("root", F.substring_index("full", ".", 1)).join(shuffled(roots.withColumn("ours", F.lit(True))), "root", "left")
     outcome = F.when(F.col("m.files") > 1, "ambiguous").when(F.col("m").isNull() & F.col("ours").isNull(), "outside").when(F.col("m").isNotNull() & (F.col("m.rest") == ""), "module").otherwise("unresolved")
     imported = there.select("ref", F.when(F.col("m.files") == 1, F.col("m.module_path")).alias("def_path"), F.col("m.rest").alias("def_name"), outcome.alias("missed"))
-    tried = local.union(imported).join(defs.select(F.col("path").alias("def_path"), F.col("symbol").alias("def_name"), F.col("kind").alias("def_kind")), ["def_path", "def_name"], "left")
+    tried = local.union(imported).join(shuffled(defs.select(F.col("path").alias("def_path"), F.col("symbol").alias("def_name"), F.col("kind").alias("def_kind"))), ["def_path", "def_name"], "left")
     got = tried.select("ref", F.col("def_path").alias("module"), F.when(F.col("def_kind").isNotNull(), F.col("def_path")).alias("def_path"), F.col("def_name").alias("rest"), F.when(F.col("def_kind").isNotNull(), F.col("def_name")).alias("def_name"), "def_kind", F.when(F.col("def_kind").isNotNull(), "exact").otherwise(F.col("missed")).alias("outcome"))
-    return numbered.join(got, "ref", "left").withColumn("outcome", F.coalesce("outcome", F.lit("outside"))).drop("ref")
+    return numbered.join(shuffled(got), "ref", "left").withColumn("outcome", F.coalesce("outcome", F.lit("outside"))).drop("ref")
 
 
 def url_roots(places: DataFrame, modules: DataFrame, included: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def url_roots(places: DataFrame, modules: DataFrame, included: DataFrame) -> Dat
     stated = settings.agg(F.count("*").alias("n"), F.count("value").alias("literal"), F.countDistinct("value").alias("values"), F.min("value").alias("module"))
     named = stated.filter("n = literal and values = 1").join(modules, "module").groupBy("module").agg(F.count("*").alias("files"), F.min("path").alias("path")).filter("files = 1").select("path")
     files = places.select("path").distinct().filter(F.col("path").endswith("urls.py"))
-    free = files.join(included.select("path").distinct(), "path", "left_anti")
+    free = files.join(shuffled(included.select("path").distinct()), "path", "left_anti")
     marked = written(named.select("path", F.lit(0).alias("order")).union(stated.filter("n > 0").select(F.lit(None).cast("string"), F.lit(0))).union(free.select("path", F.lit(1))).union(files.select("path", F.lit(2))))
     first = marked.agg(F.min("order").alias("order"))
     return marked.join(first, "order").filter("path is not null").select("path")
@@ -139,13 +140,13 @@ def url_entries(places: DataFrame, bound: DataFrame, defs: DataFrame, modules: D
     lists = places.filter("kind in ('assign', 'url', 'extend') and inside = ''").select("path", F.col("name").alias("list")).distinct()
     by_text = entries.filter("module is not null").select("entry", "module")
     known = modules.groupBy("module").agg(F.count("*").alias("files"), F.min("path").alias("to_path")).filter("files = 1")
-    by_text = by_text.join(known, "module").select("entry", "to_path", F.lit("urlpatterns").alias("to_list"))
+    by_text = by_text.join(shuffled(known), "module").select("entry", "to_path", F.lit("urlpatterns").alias("to_list"))
     named = entries.filter("expression is not null").select("entry", "path", "at", "expression")
-    own = named.join(lists.withColumnRenamed("list", "expression"), ["path", "expression"]).select("entry", F.col("path").alias("to_path"), F.col("expression").alias("to_list"))
-    elsewhere = resolved(named.join(own.select("entry"), "entry", "left_anti"), bound, defs, modules).filter("module is not null and outcome in ('module', 'unresolved')")
+    own = named.join(shuffled(lists.withColumnRenamed("list", "expression")), ["path", "expression"]).select("entry", F.col("path").alias("to_path"), F.col("expression").alias("to_list"))
+    elsewhere = resolved(named.join(shuffled(own.select("entry")), "entry", "left_anti"), bound, defs, modules).filter("module is not null and outcome in ('module', 'unresolved')")
     elsewhere = elsewhere.select("entry", F.col("module").alias("to_path"), F.when(F.col("outcome") == "module", "urlpatterns").otherwise(F.col("rest")).alias("to_list"))
-    leads = written(by_text.union(own).union(elsewhere.join(lists.toDF("to_path", "to_list"), ["to_path", "to_list"], "left_semi").select("entry", "to_path", "to_list")))
-    entries = written(entries.join(leads, "entry", "left").drop("entry"))
+    leads = written(by_text.union(own).union(elsewhere.join(shuffled(lists.toDF("to_path", "to_list")), ["to_path", "to_list"], "left_semi").select("entry", "to_path", "to_list")))
+    entries = written(entries.join(shuffled(leads), "entry", "left").drop("entry"))
     roots = url_roots(places, modules, entries.filter("kind = 'url' and to_path <> path").select(F.col("to_path").alias("path")))
 
     key = F.struct("path", "list")
@@ -153,7 +154,7 @@ def url_entries(places: DataFrame, bound: DataFrame, defs: DataFrame, modules: D
     level = written(start.withColumn("seen", F.array(key)))
     levels = []
     while not level.isEmpty():
-        here = level.join(entries, ["path", "list"]).withColumns({"place": F.concat("above", "place"), "index": F.concat("before", "index")})
+        here = level.join(shuffled(entries), ["path", "list"]).withColumns({"place": F.concat("above", "place"), "index": F.concat("before", "index")})
         goes = F.col("to_path").isNotNull() & F.col("route").isNotNull()
         levels.append(here.filter(~goes & (F.col("kind") == "url")).select("root", "path", "prefix", "route", "view", "router", "unknown", "index", "place", "at", "line", "end_line"))
         # the index of a list called urlpatterns starts anew, that of another goes on
@@ -199,7 +200,7 @@ def url_patterns(entries: DataFrame, facts: DataFrame, bound: DataFrame, defs: D
     unfit = plain.filter("view is null")
     nth = F.row_number().over(W.partitionBy("path", "router").orderBy("ordinal")) - 1
     registered = facts.filter("kind = 'register'").select("path", F.col("parent").alias("router"), F.col("name").alias("registered"), F.col("target").alias("set"), "ordinal").withColumn("nth", nth)
-    sets = entries.filter("router is not null").join(registered, ["path", "router"])
+    sets = entries.filter("router is not null").join(shuffled(registered), ["path", "router"])
     base = joined(joined(F.col("prefix"), F.coalesce("route", F.lit(""))), F.col("registered"))
     base = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))
     role = lambda name, more, *k: F.struct(F.lit(name).alias("role"), F.lit(more).alias("more"), F.array(*map(F.lit, k)).cast("array<int>").alias("k"))
@@ -212,8 +213,8 @@ def url_patterns(entries: DataFrame, facts: DataFrame, bound: DataFrame, defs: D
     asked = plain.filter("view is not null").select(columns).union(sets.select(columns)).withColumnRenamed("view", "expression")
     placed = written(resolved(asked, bound, defs, modules))
     methods = view_methods(facts)
-    found = placed.join(methods, ["def_path", "def_name", "role"], "left").withColumn("method", F.coalesce("method", F.lit("GET")))
-    actions = placed.filter("role <> 'view'").join(viewset_actions(facts), ["def_path", "def_name", "role"])
+    found = placed.join(shuffled(methods), ["def_path", "def_name", "role"], "left").withColumn("method", F.coalesce("method", F.lit("GET")))
+    actions = placed.filter("role <> 'view'").join(shuffled(viewset_actions(facts)), ["def_path", "def_name", "role"])
     after = F.array(F.lit(2), F.when(F.col("role") == "detail", 1).otherwise(0))
     stem = F.when(F.col("role") == "detail", F.slice("index", F.lit(1), F.size("index") - 1)).otherwise(F.col("index"))
     actions = actions.withColumns({"route": F.concat("route", F.rtrim("action", F.lit("/")), F.lit("/")), "index": F.concat(stem, F.array(F.lit(2))), "place": F.concat(F.slice("place", F.lit(1), F.size("place") - 1), after)})
@@ -222,7 +223,7 @@ def url_patterns(entries: DataFrame, facts: DataFrame, bound: DataFrame, defs: D
     bad = all_.filter("url is null").select("path").union(unfit.select("path")).distinct().select(F.lit("unresolved_django_url").alias("code"), "path")
     good = all_.filter("url is not null").select("*", "url.declared", "url.normalized", "url.shadow", "url.converters")
     earliest = good.groupBy("shadow").agg(F.min("order").alias("first"))
-    good = good.join(earliest, "shadow").filter(F.col("order") == F.col("first"))
+    good = good.join(shuffled(earliest), "shadow").filter(F.col("order") == F.col("first"))
     keep = ["path", "at", "line", "end_line", "index", "declared", "converters", "def_path", "def_name", "def_kind", "outcome"]
     first = good.groupBy("method", "normalized").agg(F.min_by(F.struct(*keep), F.struct("order", "declared")).alias("u"))
     return first.select("method", "normalized", "u.*"), bad
@@ -233,8 +234,8 @@ def reached_owners(views: DataFrame, calls: DataFrame) -> DataFrame:
     seen = written(views.select("path", "symbol").distinct())
     level, levels = seen, [seen]
     while not level.isEmpty():
-        called = level.join(calls, ["path", "symbol"]).select(F.col("def_path").alias("path"), F.col("def_name").alias("symbol")).distinct()
-        level = written(called.join(reduce(DataFrame.union, levels), ["path", "symbol"], "left_anti"))
+        called = level.join(shuffled(calls), ["path", "symbol"]).select(F.col("def_path").alias("path"), F.col("def_name").alias("symbol")).distinct()
+        level = written(called.join(shuffled(reduce(DataFrame.union, levels)), ["path", "symbol"], "left_anti"))
         levels.append(level)
     return reduce(DataFrame.union, levels)
 
@@ -251,11 +252,11 @@ def boundaries(places: DataFrame, defs: DataFrame) -> DataFrame:
     sets = written(_scopes(sets, defs).withColumn("scope", F.when(module_wide, -1).otherwise(F.col("scope_start"))))
     uses = written(_scopes(asked.withColumn("use", F.monotonically_increasing_id()), defs).withColumnRenamed("scope_start", "scope").drop("scope_end"))
     named = uses.filter("name is not null").select("use", "path", "name", "at", "scope")
-    local = named.join(sets.select("path", "name", "scope").distinct(), ["path", "name", "scope"], "left_semi")
-    late = named.join(local.select("use"), "use", "left_anti").withColumns({"at": F.when(F.col("scope") == -1, F.col("at")).otherwise(F.lit(LAST - 1)), "scope": F.lit(-1).cast("long")})
+    local = named.join(shuffled(sets.select("path", "name", "scope").distinct()), ["path", "name", "scope"], "left_semi")
+    late = named.join(shuffled(local.select("use")), "use", "left_anti").withColumns({"at": F.when(F.col("scope") == -1, F.col("at")).otherwise(F.lit(LAST - 1)), "scope": F.lit(-1).cast("long")})
     told = sets.select("path", "name", "scope", F.col("after").alias("at"), "start", "end", "value")
     known = reaching(local.union(late.select(local.columns)), told, "path", "name", "scope").select("use", F.col("value").alias("meant"))
-    found = uses.join(known, "use", "left").withColumn("url", F.coalesce("value", "meant"))
+    found = uses.join(shuffled(known), "use", "left").withColumn("url", F.coalesce("value", "meant"))
     around = enclosing(found.select("path", "at", "rank", "url", "method"), defs.select("path", "start", "end", "symbol"), "path")
     return around.groupBy("path", F.col("span.symbol").alias("symbol")).agg(F.min_by(F.struct("url", "method"), "rank").alias("b")).select("path", "symbol", "b.url", "b.method")
 
@@ -279,19 +280,19 @@ def django_fragment(files: DataFrame, modules: DataFrame, repository: str) -> Fr
     raw = places.filter("kind = 'call'").select("path", "at", "line", "end_line", "rank", F.coalesce("value", "name").alias("expression"), F.col("value").alias("model"), _detail("operation").alias("operation"))
     called = written(resolved(raw.filter("expression is not null"), bound, defs, modules))
     bases = defs.select(F.col("path").alias("def_path"), F.col("symbol").alias("def_name"), F.exists(F.split("bases", ","), lambda b: (b == "Model") | b.endswith(".Model")).alias("is_model"))
-    called = written(called.join(bases, ["def_path", "def_name"], "left").withColumn("query", F.coalesce(F.col("model").isNotNull() & F.col("is_model"), F.lit(False))))
+    called = written(called.join(shuffled(bases), ["def_path", "def_name"], "left").withColumn("query", F.coalesce(F.col("model").isNotNull() & F.col("is_model"), F.lit(False))))
     owned = written(enclosing(called, defs.select("path", "start", "end", "symbol"), "path").withColumn("symbol", F.col("span.symbol")).drop("span", "out"))
     helpers = owned.filter("not query and model is null and def_kind = 'function'").select("path", "symbol", "def_path", "def_name").distinct()
     owners = written(reached_owners(views, helpers))
 
-    in_view = owners.join(views.withColumn("is_view", F.lit(True)), ["path", "symbol"], "left").join(defs.select("path", "symbol", "line", "end_line"), ["path", "symbol"])
+    in_view = owners.join(shuffled(views.withColumn("is_view", F.lit(True))), ["path", "symbol"], "left").join(shuffled(defs.select("path", "symbol", "line", "end_line")), ["path", "symbol"])
     stem = F.when(F.col("is_view"), "view").otherwise("function")
     owner_keys = written(in_view.withColumn("key", F.concat_ws(":", stem, "path", "symbol")))
-    keys = owner_keys.select("path", "symbol", F.col("key").alias("owner"))
+    keys = shuffled(owner_keys.select("path", "symbol", F.col("key").alias("owner")))
     invoked = helpers.join(keys, ["path", "symbol"]).select("owner", F.concat_ws(":", F.lit("function"), "def_path", "def_name").alias("target"), "def_path", "def_name")
     invoked = written(invoked.filter("owner <> target").distinct())
     # a view that is also called is a function as well
-    functions = invoked.select(F.col("def_path").alias("path"), F.col("def_name").alias("symbol")).distinct().join(defs, ["path", "symbol"])
+    functions = invoked.select(F.col("def_path").alias("path"), F.col("def_name").alias("symbol")).distinct().join(shuffled(defs), ["path", "symbol"])
 
     nth = F.row_number().over(W.partitionBy("path", "symbol").orderBy("at", "rank"))
     queries = owned.filter("query").join(keys, ["path", "symbol"]).withColumn("nth", nth)
@@ -302,7 +303,7 @@ def django_fragment(files: DataFrame, modules: DataFrame, repository: str) -> Fr
 
     text = lambda value: F.lit(value).cast("string")
     none = text(None)
-    own = modules.groupBy("path").agg(F.count("*").alias("n"), F.min("module").alias("module")).filter("n = 1").select("path", "module")
+    own = shuffled(modules.groupBy("path").agg(F.count("*").alias("n"), F.min("module").alias("module")).filter("n = 1").select("path", "module"))
     qualified = F.when(F.col("module").isNotNull(), _dots(F.col("module"), F.col("symbol")))
 
     def node(rows: DataFrame, kind: str, key: Column, identity: Column, label: Column, confidence: float, reason: str, kinds: str = "inferred", **more: Column) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scopes, reaching values, URL lists and the fragment of small Django projects."""
 
 import random
+import re
 
 import pandas as pd
 
@@ -222,3 +223,21 @@ def test_places_of_many_files_are_few_frames(spark):
 
 def test_apps_are_parsed_by_many_tasks(spark):
     assert queries_django.apps(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_no_table_that_grows_with_the_files_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def planned(rows):
+        plans.append(rows._jdf.queryExecution().sparkPlan().toString())
+        return written(rows)
+
+    written = django_graph.written
+    monkeypatch.setattr(django_graph, "written", planned)
+    monkeypatch.setattr(scopes, "written", planned)
+    found = fragment(spark, SHOP)
+    plans += [rows._jdf.queryExecution().sparkPlan().toString() for rows in (found.nodes, found.edges, found.routes, found.diagnostics)]
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    # one row of ROOT_URLCONF, one number, the project's roots, fixed tables of base classes and methods
+    assert {name for line in joins for name in re.findall(r"(\w+)#", line.split("],")[0])} <= {"module", "order", "root", "base", "child"}
+    assert sum("[module#" in line for line in joins) <= 1 and any("SortMergeJoin" in plan for plan in plans)
