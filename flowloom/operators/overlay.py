@@ -80,9 +80,11 @@ def written_back(observed: DataFrame, links: DataFrame, items: DataFrame, most:
     first = written(capped(all_, "id", "reason", "event_id", "timestamp", most=most))
     rank = F.row_number().over(W.partitionBy("id").orderBy("reason", "event_id", "timestamp"))
     evidence = first.withColumn("rank", rank).join(items.select("id", "n_evidence"), "id").filter(F.col("rank") + F.col("n_evidence") <= most).drop("rank", "n_evidence")
-    evidence = written(evidence)
-    gained = evidence.groupBy("id").agg(F.count("*").alias("gained"))
-    after = items.join(gained, "id", "left").fillna(0, ["gained"])
+    # ranks have no gaps, so what fits is a number, and items are gone through once
+    fresh = written(first.groupBy("id").agg(F.count("*").alias("fresh")))
+    room = most - F.col("n_evidence")
+    gained = F.when(room > 0, F.least(F.col("fresh"), room)).otherwise(0)
+    after = items.join(fresh, "id", "left").fillna(0, ["fresh"]).withColumn("gained", gained)
     return evidence, after.select("id", (F.col("n_evidence") + F.col("gained")).alias("n_evidence"), lifted(F.col("confidence"), F.col("gained") > 0).alias("confidence"))
 
 

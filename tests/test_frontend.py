@@ -111,3 +111,26 @@ def test_overlay_writes_back_what_fits(spark):
         9: ("runtime_identity_conflict", ["u4", "v1"]), 10: ("runtime_event_ambiguous", ["u1", "v2", "v3"]),
     }
     assert math.isclose(after.agg(F.sum("confidence")).first()[0], 0.95 + 0.99 + 0.5 + 0.95 + 0.5)
+
+
+def test_items_of_the_overlay_are_made_once_and_by_many_tasks(spark):
+    from flowloom import queries_frontend
+
+    links = queries_frontend._overlay(spark, "/root/testdata/sf0.001")[3]
+    assert links.rdd.getNumPartitions() > 1
+    assert queries_frontend._overlay(spark, "/root/testdata/sf0.001")[1].rdd.getNumPartitions() == 1  # customers are one part of a file
+    rows = lambda n: "c_custkey" in n
+    after = queries_frontend.overlay_write_back(spark, "/root/testdata/sf0.001")
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("customer.parquet" in line or rows(line) and "Relation" in line for line in plan.splitlines()) == 2  # as URLs and in links
+
+
+def test_what_fits_of_new_evidence_is_a_number(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    observed = df([("u", "v", "e", "n", f"t{i}", i) for i in range(6)], "url string, view string, edge string, view_name string, timestamp string, event_id int")
+    items = df([("u", n, 0.5) for n in (0, 27, 30, 32, 40, None)], "id string, n_evidence int, confidence double")
+    for item in items.collect():
+        evidence, after = overlay.written_back(observed, df([], "url string, view string, link string"), df([item], items.schema))
+        fits = 0 if item.n_evidence is None else max(0, min(6, 32 - item.n_evidence))
+        assert [r.event_id for r in evidence.orderBy("event_id").collect()] == list(range(fits))
+        assert [tuple(r) for r in after.collect()] == [("u", None if item.n_evidence is None else item.n_evidence + fits, 0.95 if fits else 0.5)]
