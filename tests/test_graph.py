@@ -227,3 +227,13 @@ def test_links_that_nobody_asks_for_are_never_joined(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     depths = lambda text: [len(line) - len(line.lstrip(" :+-")) for line in plan if text in line]
     assert max(depths("Join LeftSemi"), default=0) > min(depths("Join Inner")), "the URLs asked for are looked up below the join that makes the links"
+
+
+def test_flow_lists_hold_an_edge_once_however_often_it_is_given(spark):
+    nodes = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), ("y", 4)], "layer string, id long")
+    pairs = [(1, 2), (1, 2), (1, 3), (3, 3), (4, 1)]
+    edges = spark.createDataFrame(pairs, "source long, target long").select(F.struct("source", "target").alias("id"), "source", "target")
+    reached = spark.createDataFrame([(1,), (2,), (3,), (9,)], "node long")
+    told = lambda e: F.concat_ws("-", e["source"].cast("string"), e["target"].cast("string"))
+    found = {(r.layer, r.id, tuple(r.incoming), tuple(r.outgoing)) for r in project.flow_layers(nodes, edges, reached, told).collect()}
+    assert found == {("x", 1, ("4-1",), ("1-2", "1-3")), ("x", 2, ("1-2",), ()), ("y", 3, ("1-3", "3-3"), ("3-3",))}
