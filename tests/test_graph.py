@@ -1,6 +1,7 @@
 """Graph operators on small inputs with known results."""
 
 import hashlib
+import itertools
 import json
 import random
 
@@ -237,3 +238,12 @@ def test_flow_lists_hold_an_edge_once_however_often_it_is_given(spark):
     told = lambda e: F.concat_ws("-", e["source"].cast("string"), e["target"].cast("string"))
     found = {(r.layer, r.id, tuple(r.incoming), tuple(r.outgoing)) for r in project.flow_layers(nodes, edges, reached, told).collect()}
     assert found == {("x", 1, ("4-1",), ("1-2", "1-3")), ("x", 2, ("1-2",), ()), ("y", 3, ("1-3", "3-3"), ("3-3",))}
+
+
+def test_edges_of_a_target_stand_together_in_what_is_written(spark):
+    from flowloom import queries
+
+    rows = queries.edge_identity(spark, "/root/testdata/sf0.001").filter("kind in ('carries', 'accesses')").withColumn("part", F.spark_partition_id()).collect()
+    runs = sum(1 for _ in itertools.groupby(rows, key=lambda r: (r.part, r.kind, r.target)))
+    targets, parts = len({(r.kind, r.target) for r in rows}), len({(r.kind, r.part) for r in rows})
+    assert runs <= targets + parts < len(rows) / 2
