@@ -247,3 +247,30 @@ def test_edges_of_a_target_stand_together_in_what_is_written(spark):
     runs = sum(1 for _ in itertools.groupby(rows, key=lambda r: (r.part, r.kind, r.target)))
     targets, parts = len({(r.kind, r.target) for r in rows}), len({(r.kind, r.part) for r in rows})
     assert runs <= targets + parts < len(rows) / 2
+
+
+def test_an_outline_tells_ids_for_rows_not_for_comparisons(spark, monkeypatch):
+    plans, nodes = [], spark.createDataFrame([(i,) for i in range(7)], "id long")
+    pairs = [(0, k) for k in range(1, 6)] + [(3, 1), (6, 2)]
+    edges = spark.createDataFrame(pairs, "source long, target long").select(F.struct("source", "target").alias("id"), "source", "target")
+    # ids that differ after their heads only, and some that differ before
+    names = traverse.Names(lambda n: n.cast("string"), lambda e: F.concat(F.when(e["target"] % 2 == 0, "same head of twelve ").otherwise("a"), (9 - e["target"]).cast("string"), F.lit("/"), e["source"].cast("string")))
+    numbered_ = traverse.numbered
+
+    def seen(rows, *keys, **more):
+        if more.get("within"):
+            plans.append((more["within"], more.get("made", {})))
+        return numbered_(rows, *keys, **more)
+
+    monkeypatch.setattr(traverse, "numbered", seen)
+    listed = [r.id for r in traverse.outline(nodes, edges, spark.createDataFrame([(0,)], "node long"), names).orderBy("rank").collect()]
+    of = lambda source, *targets: sorted((f"same head of twelve {9 - t}" if t % 2 == 0 else f"a{9 - t}") + f"/{source}" for t in targets)
+    order = sorted(range(1, 6), key=lambda t: of(0, t))
+    assert listed == ["0", *of(0, 1, 2, 3, 4, 5), *[x for t in order for x in [str(t), *(of(3, 1) if t == 3 else [])]], "6", *of(6, 2)]
+    assert len(plans) == 1 and "head" in plans[0][0] and set(plans[0][1]) == {"later", "head"}
+
+
+def test_plain_ids_are_those_of_json(spark):
+    rows = spark.createDataFrame([("n_0a", 12), ("e", None)], "a string, k long")
+    found = rows.select(identity.stable_id("x_", "edge", F.col("a"), F.col("k"), plain=True).alias("p"), identity.stable_id("x_", "edge", F.col("a"), F.col("k")).alias("j")).collect()
+    assert found[0].p == found[0].j == "x_" + hashlib.sha256(b'["edge","n_0a","12"]').hexdigest() and found[1].p is None
